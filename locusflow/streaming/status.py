@@ -1,0 +1,18 @@
+"""Status counts of reads that arrive as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from locusflow.config import CountConfig
+from locusflow.operators.classify import classify
+
+
+def stream_status(alignments: DataFrame, chroms: DataFrame, cfg: CountConfig) -> DataFrame:
+    """(sample_idx, status, n) of a streaming ``alignments``, for update or complete mode.
+
+    The filters keep no state; the state is one counter per sample and status.
+    """
+    reads = classify(alignments, chroms, cfg)
+    return reads.groupBy("sample_idx", F.coalesce("status", F.lit("Passed")).alias("status")).agg(F.count("*").alias("n"))
