@@ -24,22 +24,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate group; repeated rows of one id are one."""
     kept = near_duplicates(docs).where("id = component").select("id").distinct()
-    named = docs.withColumn("_id", row_id(F.col("doc_id"), F.col("text")))
-    out = named.join(kept.select(F.col("id").alias("_id")), "_id", "left_semi")
-    return out.dropDuplicates(["_id"]).drop("_id")
+    named = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
+    out = named.join(kept.select(F.col("id").alias("__id")), "__id", "left_semi")
+    return out.dropDuplicates(["__id"]).drop("__id")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    leaks = find_leaks(docs, benchmark(spark, sf_dir)).select(F.col("id").alias("_id")).distinct()
-    return docs.withColumn("_id", row_id(F.col("doc_id"), F.col("text"))).join(leaks, "_id", "left_anti").drop("_id")
+    leaks = find_leaks(docs, benchmark(spark, sf_dir)).select(F.col("id").alias("__id")).distinct()
+    return docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text"))).join(leaks, "__id", "left_anti").drop("__id")
 
 
 def mix_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    times = mix_sources(docs).where("times > 0").select(F.col("doc_id").alias("_doc"), "times").distinct()
-    joined = docs.join(times, docs.doc_id.eqNullSafe(times._doc))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    times = mix_sources(docs).where("times > 0").select(F.col("doc_id").alias("__doc"), F.col("times").alias("__times")).distinct()
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__doc"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
 
 
 def virtual_slot_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

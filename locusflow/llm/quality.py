@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusflow.llm.common import documents, texts
 from locusflow.llm.training import crc_mod, labels, sample_texts
@@ -126,20 +127,21 @@ def learn(docs: DataFrame, marks: DataFrame, train: Column, sample: int = SAMPLE
     return train_boosted(np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float))
 
 
-def score_quality(docs: DataFrame, model: Boosted) -> DataFrame:
-    """``docs`` with ``score``; null and empty texts score as texts of nothing but zeros."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # TREES trees of 2^DEPTH nodes
+def score_quality(docs: DataFrame, model: Boosted, name: str = "score") -> DataFrame:
+    """``docs`` with the score as column ``name``, in the place of any of that name.
+
+    Null and empty texts score as texts of nothing but zeros.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # TREES trees of 2^DEPTH nodes
+    docs = docs.drop(name)
     names = docs.columns
 
     def run(batches):
         for b in batches:
             x = np.array([statistics(t) for t in texts(b)], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x))], names=[*names, "score"])
-
-    from pyspark.sql.types import DoubleType, StructType
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x))], names=[*names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(name, "double"))
 
 
 def train_rows() -> Column:
@@ -159,4 +161,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_low_quality(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The documents whose score is at least THRESHOLD, with their columns."""
-    return score_quality(docs, learn(docs, marks, train_rows())).where(F.col("score") >= THRESHOLD).drop("score")
+    return score_quality(docs, learn(docs, marks, train_rows()), "__score").where(F.col("__score") >= THRESHOLD).drop("__score")

@@ -101,11 +101,14 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with ``shard``: one pass for the slots' bytes, then a join with the map, without shuffling texts."""
-    slotted = docs.withColumn("vslot", virtual_slot(F.col("doc_id"), F.col("text"), slots))
-    loads, _ = slot_loads(slotted.select("vslot", size_bytes(F.col("text")).alias("size")), slots)
-    table = docs.sparkSession.createDataFrame(list(enumerate(SlotMap.build(loads, shards).shard_of)), "vslot int, shard int")
-    return slotted.join(F.broadcast(table), "vslot").drop("vslot")  # the map has `slots` rows
+    """``docs`` with ``shard``, in the place of any such column.
+
+    One pass for the slots' bytes, then a join with the map, without shuffling texts.
+    """
+    slotted = docs.drop("shard").withColumn("__vslot", virtual_slot(F.col("doc_id"), F.col("text"), slots))
+    loads, _ = slot_loads(slotted.select(F.col("__vslot").alias("vslot"), size_bytes(F.col("text")).alias("size")), slots)
+    table = docs.sparkSession.createDataFrame(list(enumerate(SlotMap.build(loads, shards).shard_of)), "__vslot int, shard int")
+    return slotted.join(F.broadcast(table), "__vslot").drop("__vslot")  # the map has `slots` rows
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
