@@ -86,3 +86,21 @@ def texts(batch, name: str = "text"):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bits of the filter of ``may_hold``: 2^23 bits are a table of 2^17 words.
+FILTER_BITS = 1 << 23
+
+
+def may_hold(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` (id, ...) whose id may be among ``ids`` (id): all that are, and a few others.
+
+    A bitmap of fixed size is broadcast, whatever the number of ids, so rows that
+    a later join by id would drop need not be shuffled. A full bitmap drops none.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    word, bit = F.floor(at / F.lit(64)).cast("int"), (at % 64).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    table = ids.select(word.alias("__word"), one.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    held = rows.withColumns({"__word": word, "__bit": one}).join(F.broadcast(table), "__word")
+    return held.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).drop("__word", "__bit", "__bits")

@@ -16,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import cut, documents, mix, row_id
+from locusflow.llm.common import cut, documents, may_hold, mix
 
 LENGTH, WINDOW, GRAM = 400, 256, 16
 CONTEXT = LENGTH - WINDOW
 #: Longer texts are parsed in pieces of so many string starts.
 PIECE = 1 << 19
+#: Contexts with more distinct phrases are compared string by string over all tasks.
+CROWD = 2048
+#: Bits for how many starts follow a phrase's first.
+MORE = 9
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _tables: dict = {}
 
@@ -57,9 +61,10 @@ def parse(raw: np.ndarray):
     n = len(raw) - LENGTH + 1
     g = raw.astype(np.uint64) + np.uint64(1)
     base, width = _BASES[0], 1
-    while width < GRAM:
-        g = g[:-width] * base + g[width:]
-        base, width = base * base, 2 * width
+    with np.errstate(over="ignore"):
+        while width < GRAM:
+            g = g[:-width] * base + g[width:]
+            base, width = base * base, 2 * width
     low = np.uint64((1 << 24) - 1)
     x = (mix(g[: n + WINDOW - 1]) & ~low) | np.arange(n + WINDOW - 1, dtype=np.uint64)
     width = 1
@@ -75,60 +80,133 @@ def parse(raw: np.ndarray):
 
 
 def phrases(docs: DataFrame) -> DataFrame:
-    """(id, v, lo, hi, ctx, phrase): the parse of all texts (id, v, text)."""
+    """(id, starts, ctx, phrase): the parse of all texts (id, text); ``starts`` packs the first start and how many follow."""
 
     def run(batches):
         for batch in batches:
             got = []
-            for i, v, t in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), batch.column("text"), strict=True):
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 raw = np.frombuffer((t.as_py() or "").encode("utf-8", "replace"), np.uint8)
                 for at, piece in pieces(raw):
                     first, last, ctx, phrase = parse(piece)
-                    got.append((np.full(len(first), i), np.full(len(first), v, np.int32), first + at, last + at, ctx.view(np.int64), phrase.view(np.int64)))
-            cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 6
-            kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["id", "v", "lo", "hi", "ctx", "phrase"])
+                    got.append((np.full(len(first), i), (first + at) << MORE | (last - first), ctx.view(np.int64), phrase.view(np.int64)))
+            cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "starts", "ctx", "phrase"])
 
-    return docs.mapInArrow(run, "id long, v int, lo int, hi int, ctx long, phrase long")
+    return docs.mapInArrow(run, "id long, starts long, ctx long, phrase long")
 
 
-def string_hashes(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(h1, h2, id, v, s, one): hashes of the strings that start in ``ranges`` (id, v, lo, hi, one) of texts."""
-    wanted = ranges.groupBy("id", "v").agg(F.collect_list(F.struct("lo", "hi", "one")).alias("r"))
+def string_hashes(raw: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all strings of ranges lo .. lo+n, and two hashes of each."""
+    s = np.repeat(lo - np.concatenate(([0], np.cumsum(n + 1)[:-1])), n + 1) + np.arange((n + 1).sum())
+    return s, *(Hashes(raw, x).of(s, s + LENGTH) for x in _BASES)
+
+
+def phrase_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(ctx, id, lo, more, one, bytes) of the phrases at ``places`` (ctx, id, starts, one)."""
+    wanted = places.groupBy("id").agg(F.collect_list(F.struct("ctx", "starts", "one")).alias("r"))
 
     def run(batches):
         for batch in batches:
             got = []
-            for i, v, t, r in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), batch.column("text"), batch.column("r").to_pylist(), strict=True):
-                raw = np.frombuffer(t.as_py().encode("utf-8", "replace"), np.uint8)
-                for at, piece in pieces(raw):
-                    own = [x for x in r if at <= x["lo"] < at + PIECE]
-                    if own:
-                        a, b = (Hashes(piece, x) for x in _BASES)
-                        s = np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in own])
-                        one = np.repeat([x["one"] for x in own], [x["hi"] - x["lo"] + 1 for x in own])
-                        got.append((a.of(s - at, s - at + LENGTH).view(np.int64), b.of(s - at, s - at + LENGTH).view(np.int64), np.full(len(s), i), np.full(len(s), v), s, one))
-            cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 6
-            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["h1", "h2", "id", "v", "s", "one"])
+            for i, t, r in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("r").to_pylist(), strict=True):
+                raw = t.as_py().encode("utf-8", "replace")
+                for x in r:
+                    lo, more = x["starts"] >> MORE, x["starts"] & (1 << MORE) - 1
+                    got.append((x["ctx"], i, lo, more, x["one"], raw[lo : lo + more + LENGTH]))
+            cols = list(zip(*got, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ctx", "id", "lo", "more", "one", "bytes"])
+
+    return may_hold(docs, places).join(wanted, "id").select("id", "text", "r").mapInArrow(run, "ctx long, id long, lo int, more int, one boolean, bytes binary")
+
+
+def repeats_among(rows: list) -> list[tuple[int, int, int]]:
+    """(id, lo, hi) of strings of phrases (id, lo, more, one, bytes) that another phrase has too, if ``one``."""
+    keys, spots = [], []
+    for k, (_, _, more, _, raw) in enumerate(rows):
+        s, a, b = string_hashes(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), np.array([more]))
+        keys.append(np.stack((a, b), axis=1))
+        spots.append(np.stack((np.full(len(s), k), s), axis=1))
+    keys, spots = np.concatenate(keys), np.concatenate(spots)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys, spots = keys[order], spots[order]
+    same = (keys[1:] == keys[:-1]).all(axis=1)
+    twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    out = []
+    for k, s in sorted(map(tuple, spots[twice].tolist())):
+        i, lo, _, one, _ = rows[k]
+        if one:
+            if out and out[-1][0] == i and out[-1][2] == lo + s - 1:
+                out[-1] = (i, out[-1][1], lo + s)
+            else:
+                out.append((i, lo + s, lo + s))
+    return out
+
+
+def ranges_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "lo", "hi"])
+
+
+def repeats_by_context(rows: DataFrame) -> DataFrame:
+    """Repeated strings of contexts with few phrases, each context in one task, a few contexts at a time."""
 
-    return docs.join(wanted, ["id", "v"]).select("id", "v", "text", "r").mapInArrow(run, "h1 long, h2 long, id long, v int, s int, one boolean")
+    def run(batches):
+        held: list = []
+        for b in batches:
+            for ctx, *row in zip(*(b.column(c).to_pylist() for c in ("ctx", "id", "lo", "more", "one", "bytes")), strict=True):
+                if len(held) >= CROWD and held[-1][0] != ctx:
+                    yield ranges_batch(repeats_among([r for _, r in held]))
+                    held = []
+                held.append((ctx, row))
+        if held:
+            yield ranges_batch(repeats_among([r for _, r in held]))
+
+    return rows.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(run, "id long, lo int, hi int")
+
+
+def repeats_by_string(rows: DataFrame) -> DataFrame:
+    """Repeated strings of contexts with very many phrases: all strings are dealt out by hash."""
+
+    def run(batches):
+        for batch in batches:
+            for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                got = []
+                for i, lo, more, one, raw in zip(*(b.column(c).to_pylist() for c in ("id", "lo", "more", "one", "bytes")), strict=True):
+                    s, h1, h2 = string_hashes(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), np.array([more]))
+                    got.append((h1.view(np.int64), h2.view(np.int64), np.full(len(s), i), (s + lo).astype(np.int32), np.full(len(s), one)))
+                cols = [np.concatenate(c) for c in zip(*got, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "id", "lo", "one"])
+
+    strings = rows.mapInArrow(run, "h1 long, h2 long, id long, lo int, one boolean")
+    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    return strings.where("one").join(twice, ["h1", "h2"], "left_semi").select("id", "lo", F.col("lo").alias("hi"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(id, v, lo, hi): ranges of starts of repeated strings in texts (id, v, text)."""
-    parsed = cut(phrases(docs))
+    """(id, lo, hi): ranges of starts of repeated strings in texts (id, text).
+
+    The parse is made twice rather than kept: it costs less than its space.
+    """
+    parsed = phrases(docs)
     ctx = parsed.groupBy("ctx").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b"))
     ctx = cut(ctx.where("n > 1").select("ctx", (F.col("a") != F.col("b")).alias("varied")))
     shared = cut(parsed.join(ctx, "ctx"))
-    # The dictionary of the phrases under repeated contexts, each with one place of its own.
-    dictionary = cut(shared.groupBy("ctx", "phrase").agg(F.count("*").alias("n"), F.first("varied").alias("varied"), F.min(F.struct("id", "v", "lo", "hi")).alias("at")))
-    whole = shared.join(dictionary.where("n > 1").select("ctx", "phrase"), ["ctx", "phrase"], "left_semi").select("id", "v", "lo", "hi")
-    places = dictionary.where("varied").select("at.*", (F.col("n") == 1).alias("one"))
-    strings = cut(string_hashes(docs, places))
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    parts = strings.where("one").join(twice, ["h1", "h2"], "left_semi").select("id", "v", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    return whole.unionByName(parts)
+    # The dictionary of the phrases under contexts that have several, each with one place of its own.
+    varied = shared.where("varied")
+    dictionary = cut(varied.groupBy("ctx", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("id", "starts")).alias("at")))
+    again = varied.join(dictionary.where("n > 1").select("ctx", "phrase"), ["ctx", "phrase"], "left_semi")
+    whole = shared.where("not varied").select("id", "starts").unionByName(again.select("id", "starts"))
+    first = F.shiftright("starts", MORE)
+    whole = whole.select("id", first.cast("int").alias("lo"), (first + F.col("starts").bitwiseAND(F.lit((1 << MORE) - 1))).cast("int").alias("hi"))
+    crowds = dictionary.groupBy("ctx").agg((F.count("*") > CROWD).alias("crowd"))
+    places = dictionary.join(crowds, "ctx").select("ctx", "at.*", (F.col("n") == 1).alias("one"), "crowd")
+    out = whole.unionByName(repeats_by_context(phrase_bytes(docs, cut(places.where("not crowd")))))
+    crowded = cut(places.where("crowd"))
+    if crowded.limit(1).count():
+        out = out.unionByName(repeats_by_string(cut(phrase_bytes(docs, crowded))))
+    return out
 
 
 def removed(n: int, ranges: list) -> list[tuple[int, int]]:
@@ -149,8 +227,9 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     repeated rows are repeats of each other, rows of one id are told apart by
     their texts, further columns are ignored, an empty table gives no rows.
     """
-    rows = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), F.hash("text").alias("v"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = repeated_ranges(rows.select("id", "v", "text")).groupBy("id", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = cut(repeated_ranges(rows.select("id", "text")))
+    ranges = found.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
 
     def run(batches):
         for batch in batches:
@@ -165,9 +244,14 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(ranges, ["id", "v"], "left").select("doc_id", "text", "r")
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    hit = may_hold(rows, found.select("id")).join(ranges, "id").select("doc_id", "text", "r").mapInArrow(run, schema)
+    n = F.octet_length("text").cast("bigint").alias("n_bytes")
+    zero = F.lit(0).cast("bigint")
+    rest = rows.select("id", "doc_id", n, F.sha2("text", 256).alias("kept_sha256")).join(ranges.select("id"), "id", "left_anti")
+    hit = hit.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return hit.unionByName(rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_strings(documents(spark, sf_dir)).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return dedup_strings(documents(spark, sf_dir))
