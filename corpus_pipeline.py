@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.common import row_id, shared_dir
 from locusflow.llm.decontaminate import benchmark, find_leaks
-from locusflow.llm.mixing import mix_sources
+from locusflow.llm.mixing import take_documents
 from locusflow.llm.quality import reject_low_quality
 from locusflow.llm.sharding import assign_shards
-from locusflow.llm.simhash import near_duplicates
+from locusflow.llm.simhash import keep_one
 from locusflow.llm.training import labels
 
 
@@ -22,11 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group; repeated rows of one id are one."""
-    kept = near_duplicates(docs).where("id = component").select("id").distinct()
-    named = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
-    out = named.join(kept.select(F.col("id").alias("__id")), "__id", "left_semi")
-    return out.dropDuplicates(["__id"]).drop("__id")
+    """The document with the least id of each near-duplicate group; of several rows of one id, the least text."""
+    return keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    times = mix_sources(docs).where("times > 0").select(F.col("doc_id").alias("__doc"), F.col("times").alias("__times")).distinct()
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__doc"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    return take_documents(docs)
 
 
 def virtual_slot_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

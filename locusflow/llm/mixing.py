@@ -71,25 +71,48 @@ def budget_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.select("skey", "budget_id", (F.col("prefix") + nearer.cast("bigint")).alias("threshold"))
 
 
-def mix_sources(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target and taken, the words that the mix takes.
+def mix_columns() -> dict[str, Column]:
+    """What the mix reads of a document: skey, its source's key; size in words; h, the hash of its id."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+    return {"skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "size": word_count(F.col("text")), "h": mix_hash(key)}
+
 
-    A source below its target is taken whole as often as fits, and its remainder
-    by threshold. Null texts have size 0, a null doc_id is told by its text, rows
-    of one doc_id are taken alike, an empty table gives an empty result, further
-    columns are ignored.
+def mix_plan(rows: DataFrame) -> DataFrame:
+    """(skey, source_size, target, whole, threshold) from rows (source, skey, size, h): one row per source.
+
+    A source below its target is taken ``whole`` times as a whole, and once more
+    where the hash lies below ``threshold``.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    rows = cut(docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), word_count(F.col("text")).alias("size"), mix_hash(key).alias("h")))
     sizes = rows.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    targets = source_targets(sizes)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    targets = cut(targets.withColumn("whole", whole))
+    targets = cut(source_targets(sizes).withColumn("whole", whole))
     budgets = targets.select("skey", F.lit(0).alias("budget_id"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")).where("budget > 0")
-    found = budget_thresholds(rows, budgets)
-    mixed = rows.join(targets, "skey").join(found.drop("budget_id"), "skey", "left")
+    return cut(targets.join(budget_thresholds(rows, budgets).select("skey", "threshold"), "skey", "left"))
+
+
+def mix_sources(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target and taken, the words that the mix takes.
+
+    Null texts have size 0, a null doc_id is told by its text, rows of one doc_id
+    are taken alike, an empty table gives an empty result, further columns are
+    ignored.
+    """
+    rows = cut(docs.select("doc_id", "source", *(c.alias(n) for n, c in mix_columns().items())))
     times = F.col("whole") + F.coalesce((F.col("h") < F.col("threshold")).cast("bigint"), F.lit(0))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return rows.join(mix_plan(rows), "skey").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+
+
+def take_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it.
+
+    Only the plan, one row per source, is joined to the texts, which stay where they are.
+    """
+    columns = mix_columns()
+    plan = mix_plan(cut(docs.select("source", *(c.alias(n) for n, c in columns.items()))))
+    plan = plan.select(F.col("skey").alias("__skey"), F.struct("whole", "threshold").alias("__plan"))
+    joined = docs.withColumns({"__skey": columns["skey"], "__h": columns["h"]}).join(plan, "__skey")
+    times = F.col("__plan.whole") + F.coalesce((F.col("__h") < F.col("__plan.threshold")).cast("int"), F.lit(0))
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named.join(least, "root").select("fp", "component"), "fp")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the least id.
+
+    Rows of one id are one document, of which the row with the least text stays.
+    """
+    kept = cut(near_duplicates(docs).where("id = component").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("n")))
+    named = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
+    out = named.join(kept.where("n = 1").select("__id"), "__id", "left_semi")
+    if kept.where("n > 1").limit(1).count():
+        least = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")
+        several = named.join(kept.where("n > 1").select("__id"), "__id", "left_semi").groupBy("__id").agg(least)
+        out = out.unionByName(several.select("__id", "row.*"))
+    return out.drop("__id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     out = near_duplicates(documents(spark, sf_dir))

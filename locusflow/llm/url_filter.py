@@ -17,9 +17,11 @@ from locusflow.llm.training import labels
 
 BAD = "label=bad"
 #: Least share and number of labelled pages that a rule must cover, least confidence, and least lift over the rate of bad pages.
-SUPPORT, LEAST_PAGES, CONFIDENCE, LEAST_LIFT = 0.001, 5, 0.5, 2.0
+SUPPORT, LEAST_PAGES, CONFIDENCE, LEAST_LIFT = 0.001, 8, 0.9, 2.0
 # Listed rules as (verdict, host, path).
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+# Words in a host that mark a page as bad for the miner.
+SEEDS = ("ads", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -114,9 +116,23 @@ def judge_urls(pages: DataFrame, listed: DataFrame, mined: DataFrame) -> DataFra
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", verdict.alias("verdict"), "mined")
 
 
+def seeded(url: Column, seeds=SEEDS) -> Column:
+    """Whether a word of the host is one of ``seeds``."""
+    return F.arrays_overlap(F.split(host_of(url), "[^a-z0-9]+"), F.array(*map(F.lit, seeds)))
+
+
+def labelled_urls(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """(url, bad) to mine from: pages with a quality label of their id, and pages whose host has a seed word, which are bad.
+
+    A page with two labels is bad if either is. Null ids have no label.
+    """
+    known = marks.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("low"))
+    seed = seeded(F.col("url"))
+    return pages.join(known, "page_id", "left").where(seed | F.col("low").isNotNull()).select("url", (seed | F.coalesce("low", F.lit(False))).alias("bad"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of all pages; a page is bad for the miner if the label of its id says low quality."""
+    """Verdicts of all pages: the listed rules', else block where a mined rule fits."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    marks = labels(spark, sf_dir).where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
     listed = spark.createDataFrame(list(LISTED), "verdict string, host string, path string")
-    return judge_urls(pages, listed, mine_rules(pages.join(marks, "page_id")))
+    return judge_urls(pages, listed, mine_rules(labelled_urls(pages, labels(spark, sf_dir))))
