@@ -1,0 +1,218 @@
+"""Toxicity, quality, surrogates and URL rules."""
+
+import os
+import re
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from locusflow.llm import quality, surrogate, toxicity, url_filter
+from locusflow.llm.training import labels
+from tests.llm import brute
+
+D, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(D), reason="needs the test tables")
+
+
+def held_out_hits(spark, rows, label):
+    truth = {r.doc_id: r[label] for r in labels(spark, LARGER).collect()}
+    return [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
+
+
+@needs_data
+def test_quality_query(spark):
+    rows = quality.op9_quality(spark, LARGER).collect()
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    hits = held_out_hits(spark, rows, "quality")
+    assert np.mean([a == b for a, b in hits]) >= 0.95
+
+
+@needs_data
+def test_toxicity_query(spark):
+    rows = toxicity.op1_toxicity(spark, LARGER).collect()
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    hits = held_out_hits(spark, rows, "toxic")
+    assert np.mean([a == b for a, b in hits]) >= 0.93
+
+
+def test_trees_walk_like_plain_code():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    y = (x[:, 0] + x[:, 3] ** 2 > 1).astype(float)
+    model = quality.train_boosted(x, y)
+    z = []
+    for row in x[:50]:
+        total = model.start
+        for f, t, v in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - (2**quality.DEPTH - 1)]
+        z.append(total)
+    assert model.score(x[:50]) == pytest.approx(1 / (1 + np.exp(-np.array(z))))
+    assert np.mean((model.score(x) > 0.5) == y) > 0.95
+    constant = quality.train_boosted(x[:0], y[:0]).score(x[:3])
+    assert constant.tolist() == [0.5] * 3
+
+
+def test_scores_of_awkward_rows(spark):
+    docs = brute.frame(spark)
+    marks = spark.createDataFrame([(1, 0, 0), (3, 1, 1), (None, 1, 1), (5, None, None), (7, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    for rows in (
+        quality.score_quality(docs, quality.learn(docs, marks, quality.train_rows())).select("doc_id", "text", "score").collect(),
+        toxicity.score_toxicity(docs, toxicity.learn(docs, marks)).collect(),
+    ):
+        assert len(rows) == len(brute.TEXTS) and all(0 <= r.score <= 1 for r in rows)
+        assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1  # null and empty alike
+    none, nothing = brute.frame(spark, []), labels_of(spark)
+    assert quality.score_quality(none, quality.learn(none, nothing, quality.train_rows())).count() == 0
+    assert toxicity.score_toxicity(none, toxicity.learn(none, nothing)).count() == 0
+
+
+def labels_of(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def model_of_idiots(spark):
+    text = "the idiot and the moron met a loser near the trash while this worthless clown said good book too"
+    return toxicity.language_model(brute.frame(spark, [(i, text, "s") for i in range(40)]))
+
+
+@pytest.mark.parametrize(("noisy", "plain"), [("1d10t", "idiot"), ("m0r0n", "moron"), ("tr@sh", "trash"), ("idioooot", "idiot"), ("l.o.s.e.r", "loser"), ("w0rth1e55", "worthless"), ("goooood", "good"), ("plain", "plain")])
+def test_noisy_words_are_restored(model_of_idiots, noisy, plain):
+    assert toxicity.Restorer(model_of_idiots).words(f"the {noisy}, said") >= {plain}
+
+
+def test_spaced_letters_are_joined(model_of_idiots):
+    assert "idiot" in toxicity.Restorer(model_of_idiots).words("such an i d i o t here")
+
+
+def test_viterbi_finds_the_cheapest_reading(model_of_idiots):
+    """Against all readings of the lattice."""
+    lm = model_of_idiots
+
+    def every(token, at=0):
+        if at == len(token):
+            yield "", 0.0
+        else:
+            for j, letters, price in toxicity.steps(token)[at]:
+                for rest, cost in every(token, j):
+                    yield letters + rest, price + cost
+
+    def cost(read, price):
+        s = [0, 0, *(0 if c == " " else int(toxicity.SYMBOL_OF[ord(c)]) for c in read), 0]
+        return price + sum(lm[a, b, c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+    for token in ("1d10t", "6o0d", "m.o.r.0.n", "looooser", "t h e"):
+        best = min((cost(r, p), r) for r, p in every(token))
+        got = toxicity.viterbi(token, lm)
+        assert min(cost(r, p) for r, p in every(token) if r == got) == pytest.approx(best[0])
+
+
+def test_restored_texts(spark, model_of_idiots):
+    rows = toxicity.restore_texts(brute.frame(spark, [(1, "An 1D10T!", "s"), (2, None, "s"), (3, "", "s")]), model_of_idiots).collect()
+    assert {r.doc_id: r.restored for r in rows} == {1: "an idiot", 2: None, 3: ""}
+
+
+def test_permutations_keep_values_apart():
+    for n in (1, 2, 3):
+        plain = [f"{i:0{n}d}" for i in range(10**n)]
+        assert sorted(surrogate.permute(p, "0123456789", "x", "t") for p in plain) == plain
+
+
+@pytest.mark.parametrize(
+    ("text", "shape"),
+    [
+        ("mail anna.b7@mail.example.com now", r"mail [a-z]{4}\.[a-z]\d@[a-z]{4}\.[a-z]{7}\.com now"),
+        ("call +1 (310) 555-4510.", r"call \+1 \(\d{3}\) \d{3}-\d{4}\."),
+        ("from 10.1.2.3 to", r"from \d+\.\d+\.\d+\.\d+ to"),
+        ("card 4111 1111 1111 1111 ok", r"card \d{4} \d{4} \d{4} \d{4} ok"),
+        ('token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"', r'token = "[0-9a-f]{40}"'),
+        ("Frau Anna Schmidt kam", r"Frau [A-Z][a-z]+ [A-Z][a-z]{6} kam"),
+    ],
+)
+def test_surrogates_keep_the_format(text, shape):
+    new, n, _ = surrogate.replace(text, {})
+    assert n == 1 and new != text and re.fullmatch(shape, new)
+    assert surrogate.replace(text, {})[0] == new
+
+
+def test_cards_keep_their_check_digit_and_names_their_gender():
+    assert surrogate.luhn(surrogate.surrogate_of("card", "4111111111111111"))
+    women, men = surrogate.GIVEN[:2]
+    assert surrogate.surrogate_of("name", "anna berg").split()[0].capitalize() in women
+    assert surrogate.surrogate_of("name", "paul berg").split()[0].capitalize() in men
+    assert re.fullmatch("[а-яё]+ [а-яё]+", surrogate.surrogate_of("name", "иван петров"))
+
+
+def test_taken_surrogates_get_a_further_try(spark):
+    """The surrogate of the first address is itself an entity of the corpus."""
+    first = "ab@mail.example.com"
+    second = surrogate.surrogate_of("email", first)
+    docs = brute.frame(spark, [(1, f"to {first}", "s"), (2, f"or {second} or {first}", "s"), (3, None, None), (None, "", None)])
+    for limit in (surrogate.BROADCAST_FIXES, 0):
+        out = {r.doc_id: r for r in surrogate.surrogate_documents(docs, limit).collect()}
+        one, (a, b) = out[1].text.split()[1], out[2].text.split()[1::2]
+        assert one == b != a and not {one, a} & {first, second}
+        assert (out[2].n_mentions, out[2].n_entities, out[3].text, out[None].text) == (2, 2, None, "")
+
+
+@needs_data
+def test_surrogate_query(spark):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+    found = lambda texts: {(k, surrogate.normal(k, t[a:b])) for t in texts for a, b, k in surrogate.entities(t)}
+    rows = surrogate.op3_surrogates(spark, LARGER).collect()
+    assert len(rows) == len(before) and all((r.text == before[r.doc_id]) == (r.n_mentions == 0) for r in rows)
+    real, new = found(before.values()), found(r.text for r in rows)
+    assert not real & new and len(new) == len(real) > 50
+
+
+def plain_verdict(url):
+    host = path = ""
+    if url and "://" in url:
+        host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1], re.S).groups()
+        host = host.translate(brute.UPPER)
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.LISTED if ("." + host).endswith("." + h) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+@needs_data
+def test_url_query(spark):
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{LARGER}/pages.parquet").collect()}
+    rows = url_filter.op6_url_filter(spark, LARGER).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        host, path, rule, verdict = plain_verdict(pages[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("block" if r.mined else "allow"))
+
+
+def test_awkward_urls(spark):
+    urls = [None, "", "no scheme", "HTTP://WWW.Example.NET", "https://example.net/en/x?y#z", "ftp://a.b.example.com/de/", "://net/", "x://net?q", "a://b://net/", "https://notnet/", "s://fr.org/fr", "s://org/fr/", "http://x.org/fr/\n?", "http://example.net/en/x?y#z"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(None, urls[4], None), (4, urls[4], None)], "page_id long, url string, rule string")
+    listed = spark.createDataFrame(list(url_filter.LISTED), "verdict string, host string, path string")
+    rows = url_filter.judge_urls(pages, listed, url_filter.mine_rules(spark.createDataFrame([], "url string, bad boolean"))).collect()
+    assert len(rows) == len(urls) + 2
+    for r in rows:
+        host, path, rule, verdict = plain_verdict(urls[4 if r.page_id is None else r.page_id])
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict or "allow")
+    assert url_filter.judge_urls(pages.limit(0), listed, url_filter.mine_rules(spark.createDataFrame([], "url string, bad boolean"))).count() == 0
+
+
+def test_rules_are_mined_pruned_and_matched(spark):
+    rows = [(f"http://shop{i}.bad.example/buy/{i}?ref=1", True) for i in range(20)] + [(f"http://site{i}.good.example/read/{i}", False) for i in range(60)]
+    mined = url_filter.mine_rules(spark.createDataFrame([*rows, (None, True), ("http://x.y/z", None)], "url string, bad boolean"))
+    rules = {tuple(r.tokens) for r in mined.collect()}
+    assert ("h:bad",) in rules and all(len(t) == 1 for t in rules)
+    urls = spark.createDataFrame([("http://new.bad.example/",), ("http://new.good.example/read/1",)], "url string")
+    hit = {r.url for r in url_filter.matched_rules(urls, mined).collect()}
+    assert hit == {"http://new.bad.example/"}
+
+
+def test_seed_words_and_labels(spark):
+    pages = spark.createDataFrame([(1, "http://m.casino-win.example/x"), (2, "http://plain.example/"), (3, "http://other.example/"), (4, "http://broadcast.example/bets"), (None, None)], "page_id long, url string")
+    marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {(r.url, r.bad) for r in url_filter.labelled_urls(pages, marks).collect()}
+    assert got == {("http://m.casino-win.example/x", True), ("http://plain.example/", True), ("http://other.example/", True)}
