@@ -5,10 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from locusflow.llm.common import row_id, shared_dir
-from locusflow.llm.decontaminate import benchmark, find_leaks
+from locusflow.llm.common import shared_dir
+from locusflow.llm.decontaminate import benchmark, without_leaks
 from locusflow.llm.mixing import take_documents
 from locusflow.llm.quality import reject_low_quality
 from locusflow.llm.sharding import assign_shards
@@ -28,8 +27,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    leaks = find_leaks(docs, benchmark(spark, sf_dir)).select(F.col("id").alias("__id")).distinct()
-    return docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text"))).join(leaks, "__id", "left_anti").drop("__id")
+    return without_leaks(docs, benchmark(spark, sf_dir))
 
 
 def mix_to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

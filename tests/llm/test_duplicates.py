@@ -112,7 +112,12 @@ def test_short_items_in_long_documents(spark):
     found = decontaminate.find_leaks(brute.frame(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string"), block_bytes=200)
     expected = brute.leaks(docs, items)
     assert {(r.id if r.id < 1 << 62 else None, r.item_id) for r in found.collect()} == expected and expected
+    kept = decontaminate.without_leaks(brute.frame(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string"), block_bytes=200)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == sorted((i or 0, t) for i, t in docs if t and i not in {d for d, _ in expected})
+    assert {r.doc_id for r in kept.collect() if not r.text} == {12, 13}
     empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.without_leaks(brute.frame(spark), empty).count() == len(brute.TEXTS)
+    assert decontaminate.without_leaks(brute.frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert decontaminate.find_leaks(brute.frame(spark), empty).count() == 0
 
 
