@@ -5,7 +5,9 @@ document is cut into blocks of q shingles, and three neighbouring blocks form a
 window, so an item lies whole in some window of comparable size. An item that a
 window contains shares the least hash under each of K permutations with
 probability of at least a quarter, so one of K agrees but for one time in ten
-thousand. Documents with such an item are then verified by their exact shingles.
+thousand. An item that repeats itself has fewer distinct shingles than q, so that
+bound fails; all but a few of its shingles must be in a document, hence one of those
+few and one more, and these are looked up themselves, without any chance of a miss. Documents with such an item are then verified by their exact shingles.
 """
 
 from __future__ import annotations
@@ -59,11 +61,13 @@ class Index:
     sets: list[set]
     lengths: list[int]
     classes: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]
+    #: By shingle length, hashes of repetitive items and whose they are.
+    exact: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, items: list[tuple]) -> Index:
+    def of(cls, items: list[tuple], threshold: float = THRESHOLD) -> Index:
         """Items (id, text): fewer than five words make one shingle of their own length; no words, none."""
-        ids, sets, lengths, found = [], [], [], {}
+        ids, sets, lengths, found, repetitive = [], [], [], {}, {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -74,22 +78,42 @@ class Index:
             lengths.append(n)
             h = np.unique(shingle_hashes(words, n))
             size = 1 << (len(words) - n + 1).bit_length() - 1
+            if len(h) < size:
+                m = len(sets[-1])
+                needed = next(k for k in range(int(threshold * m), m + 2) if k / m >= threshold or k > m)
+                some = h[: max(1, m - max(1, needed) + 1)]
+                repetitive.setdefault(n, []).append((some, np.full(len(some), len(ids) - 1)))
+                continue
             found.setdefault(n, {}).setdefault(size, []).append((len(ids) - 1, signatures(h, max(1, len(h)))[:, 0] + SALT))
-        classes = {}
+        classes, exact = {}, {}
+        for n, rows in repetitive.items():
+            keys, own = map(np.concatenate, zip(*rows, strict=True))
+            order = np.argsort(keys, kind="stable")
+            exact[n] = keys[order], own[order]
         for n, by in found.items():
             for size, rows in by.items():
                 keys, own = np.concatenate([s for _, s in rows]), np.repeat([i for i, _ in rows], K)
                 order = np.argsort(keys, kind="stable")
                 classes.setdefault(n, {})[size] = (keys[order], own[order])
-        return cls(ids, sets, lengths, classes)
+        return cls(ids, sets, lengths, classes, exact)
 
     def candidates(self, words: list[bytes]) -> set[int]:
-        """Items that share a least hash with a window of the document."""
+        """Items that share a least hash with a window of the document, and repetitive ones that share a hash they cannot do without."""
         out: set[int] = set()
-        for n, by in self.classes.items():
-            h = shingle_hashes(words, n)
+
+        def look_up(keys, own, seen):
+            lo, hi = np.searchsorted(keys, seen), np.searchsorted(keys, seen, side="right")
+            for i in np.flatnonzero(lo < hi):
+                out.update(own[lo[i] : hi[i]].tolist())
+
+        for n in sorted(self.classes.keys() | self.exact.keys()):
+            h, by = shingle_hashes(words, n), self.classes.get(n)
             if not len(h):
                 continue
+            if n in self.exact:
+                look_up(*self.exact[n], np.unique(h))
+            if not by:
+                continue
             sizes = sorted(by)
             base = signatures(h, sizes[0])
             for size in sizes:
@@ -101,11 +125,7 @@ class Index:
                     window = np.minimum(base[:, :-1], base[:, 1:])
                     if window.shape[1] > 1:
                         window = np.minimum(window[:, :-1], base[:, 2:])
-                keys, own = by[size]
-                seen = np.unique(window + SALT[:, None])
-                lo, hi = np.searchsorted(keys, seen), np.searchsorted(keys, seen, side="right")
-                for i in np.flatnonzero(lo < hi):
-                    out.update(own[lo[i] : hi[i]].tolist())
+                look_up(*by[size], np.unique(window + SALT[:, None]))
         return out
 
     def matches(self, words: list[bytes], threshold: float):
@@ -147,7 +167,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     schema = f"id long, item_id {items.schema['item_id'].dataType.simpleString()}, containment double, n_shingles int"
     out = spark.createDataFrame([], schema)
     for block in item_blocks(items, block_bytes):
-        index = spark.sparkContext.broadcast(Index.of(block))  # at most block_bytes of text
+        index = spark.sparkContext.broadcast(Index.of(block, threshold))  # at most block_bytes of text
 
         def run(batches, index=index):
             ix = index.value
@@ -173,7 +193,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     """
     spark = docs.sparkSession
     for block in item_blocks(items, block_bytes):
-        index = spark.sparkContext.broadcast(Index.of(block))  # at most block_bytes of text
+        index = spark.sparkContext.broadcast(Index.of(block, threshold))  # at most block_bytes of text
 
         def run(batches, index=index):
             for b in batches:

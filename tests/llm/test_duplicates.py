@@ -121,6 +121,20 @@ def test_short_items_in_long_documents(spark):
     assert decontaminate.find_leaks(brute.frame(spark), empty).count() == 0
 
 
+def test_items_that_repeat_themselves(spark):
+    """One repeated word or phrase, once or scattered in ordinary text, against brute force."""
+    rng = np.random.default_rng(11)
+    prose = lambda n: [f"p{x}" for x in rng.integers(0, 5000, n)]
+    phrases = [[f"r{i}x{j}" for j in range(k)] for i, k in enumerate((1, 1, 2, 7, 20, 20, 33))]
+    items = [(i, " ".join((p * 200)[:200])) for i, p in enumerate(phrases)] + [(50, " ".join(prose(40)))]
+    docs = [(100 + i, " ".join(prose(400) + (p * 9)[: len(p) + 4] + prose(400))) for i, p in enumerate(phrases)]
+    docs += [(200 + i, " ".join(prose(300) + (p * 9)[: max(5, int(0.9 * len(p)) + 4)] + prose(300))) for i, p in enumerate(phrases)] + [(300, items[-1][1]), (301, " ".join(prose(500)))]
+    rows, frame = brute.frame(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")
+    expected = brute.leaks(docs, items)
+    assert {(r.id, r.item_id) for r in decontaminate.find_leaks(rows, frame).collect()} == expected and len(expected) > 12
+    assert {r.doc_id for r in decontaminate.without_leaks(rows, frame).collect()} == {i for i, _ in docs} - {i for i, _ in expected}
+
+
 @needs_data
 def test_fingerprint_query(spark):
     docs = sorted(((r.doc_id, r.text or "") for r in table(spark).select("doc_id", "text").collect()), reverse=True)
