@@ -38,6 +38,8 @@ BEGINNINGS = range(3, 8)
 THRESHOLD, EVIDENCE = 0.3, 7
 CACHE = 200_000
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
+#: Symbols at a token's edges that can be no letters.
+_EDGE = re.compile(_STRIP.pattern.replace(r"[\W_]", rf"(?:(?![{re.escape(''.join(LEET))}])[\W_])"))
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
 
@@ -135,20 +137,25 @@ class Restorer:
         self.lm, self.known = lm, {}
 
     def token(self, raw: str) -> str:
-        """Edges of symbols go, then noise inside is decoded; plain words stay as they are."""
+        """Plain words stay as they are, all else is decoded; symbols at the edges may be letters or go."""
         if raw.isalpha() and not _RUN.search(raw):
             return raw
-        t = _STRIP.sub("", raw)
+        t = _EDGE.sub("", raw)
         if t.isalpha() and not _RUN.search(t):
-            if raw[:1] not in LEET:
-                return t
-        if sum(map(str.isalpha, t)) * 2 < len(t) and not t[:1] in LEET:
-            return t if t.isalpha() else ""
+            return t
         if len(t) > 40:
             return t
-        if raw[:1] in LEET and t:  # a leading symbol may be a letter
-            t = raw[0] + t if raw[0] != t[0] else t
-        return viterbi(t, self.lm) if any(map(str.isalpha, t)) or len(t) <= 12 else ""
+        return viterbi(t, self.lm) if any(map(str.isalpha, t)) or len(t) <= 12 and any(map(str.isalnum, t)) else ""
+
+    def readings(self, raw: str) -> tuple[str, ...]:
+        """The plain reading, and the word between edges of symbols that the reading took for letters."""
+        if raw.isalpha() and not _RUN.search(raw):
+            return (raw,)
+        bare = _STRIP.sub("", raw)
+        whole = bare.isalpha() and not _RUN.search(bare)
+        if whole and LEET.keys().isdisjoint(raw):
+            return (bare,)
+        return tuple(filter(None, (self.token(raw), bare if whole else "")))
 
     def words(self, text: str | None) -> set[str]:
         """Distinct restored words of a whole text, lower-cased."""
@@ -163,9 +170,8 @@ class Restorer:
             if w is None:
                 if len(self.known) >= CACHE:
                     self.known.clear()
-                w = self.known[t] = self.token(t)
-            if w:
-                out.add(w)
+                w = self.known[t] = self.readings(t)
+            out.update(w)
         return out
 
 

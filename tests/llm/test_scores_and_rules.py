@@ -85,6 +85,14 @@ def test_noisy_words_are_restored(model_of_idiots, noisy, plain):
     assert toxicity.Restorer(model_of_idiots).words(f"the {noisy}, said") >= {plain}
 
 
+@pytest.mark.parametrize(("noisy", "plain"), [("h473", "hate"), ("d13", "die"), ("f4990t", "faggot"), ("k1!1", "kil"), ("a$$", "ass"), ("idio+", "idiot"), ("$7upid", "stupid"), ("kill!", "kill"), ("(die)", "die")])
+def test_words_with_more_symbols_than_letters_are_restored(spark, noisy, plain):
+    text = "they hate to die so kill the stupid idiot or that ass and faggot they all said"
+    lm = toxicity.language_model(brute.frame(spark, [(i, text, "s") for i in range(40)]))
+    assert plain in toxicity.Restorer(lm).words(f"the {noisy}, said")
+    assert toxicity.Restorer(lm).token(f"{noisy},") == plain
+
+
 def test_spaced_letters_are_joined(model_of_idiots):
     assert "idiot" in toxicity.Restorer(model_of_idiots).words("such an i d i o t here")
 
