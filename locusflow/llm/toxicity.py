@@ -37,11 +37,13 @@ MARKED = 0.8
 BEGINNINGS = range(3, 8)
 THRESHOLD, EVIDENCE = 0.3, 7
 CACHE = 200_000
+#: Longer tokens are decoded anew each time, so that the memory of tokens stays small.
+KEPT = 100
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 #: Symbols at a token's edges that can be no letters.
 _EDGE = re.compile(_STRIP.pattern.replace(r"[\W_]", rf"(?:(?![{re.escape(''.join(LEET))}])[\W_])"))
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
 
 
 def _symbols() -> np.ndarray:
@@ -91,11 +93,12 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 def steps(token: str) -> list[list[tuple[int, str, float]]]:
     """The lattice of a token: per place its arcs (next place, letters read, cost)."""
-    out = []
+    out, ends = [], list(range(1, len(token) + 1))
+    for i in range(len(token) - 2, -1, -1):
+        if token[i] == token[i + 1]:
+            ends[i] = ends[i + 1]
     for i, c in enumerate(token):
-        arcs, j = [], i + 1
-        while j < len(token) and token[j] == c:
-            j += 1
+        arcs, j = [], ends[i]
         if c.isalpha():
             if j - i >= 3:
                 arcs += [(j, c, ONCE_COST), (j, c * 2, TWICE_COST)]
@@ -110,31 +113,60 @@ def steps(token: str) -> list[list[tuple[int, str, float]]]:
     return out
 
 
-def viterbi(token: str, lm: np.ndarray) -> str:
-    """The likeliest plain reading of a token; ties go to the reading that sorts first."""
+def _first(p: tuple | None, q: tuple | None) -> bool:
+    """Whether reading ``p`` sorts before ``q``; both are chains (number of letters, letter, chain before)."""
+    m, n, less = p[0] if p else 0, q[0] if q else 0, False
+    shorter = m < n
+    while p and p[0] > n:
+        p = p[2]
+    while q and q[0] > m:
+        q = q[2]
+    same = True
+    while p is not q:
+        if p[1] != q[1]:
+            same, less = False, p[1] < q[1]
+        p, q = p[2], q[2]
+    return shorter if same else less
+
+
+def viterbi(token: str, lm) -> str:
+    """The likeliest plain reading of a token; ties go to the reading that sorts first.
+
+    A place has at most SYMBOLS^2 states, and a state points back to the letter
+    before, so time and memory are in proportion to the token's length.
+    """
     lattice = steps(token)
-    best: list[dict] = [{} for _ in range(len(token) + 1)]
-    best[0] = {(0, 0): (0.0, "")}
+    best: dict[int, dict] = {0: {(0, 0): (0.0, None)}}
     sym = lambda x: 0 if x == " " else int(SYMBOL_OF[ord(x)]) if ord(x) < len(SYMBOL_OF) else 27 + ord(x) % 5
+    known = {x: sym(x) for arcs in lattice for _, letters, _ in arcs for x in letters}
     for i, arcs in enumerate(lattice):
-        for (a, b), (cost, read) in best[i].items():
+        for (a, b), (cost, read) in best.pop(i, {}).items():
             for j, letters, price in arcs:
-                x, y, c = a, b, cost + price
+                x, y, c, r = a, b, cost + price, read
                 for letter in letters:
-                    s = sym(letter)
-                    c, x, y = c + lm[x, y, s], y, s
-                new, old = (c, read + letters), best[j].get((x, y))
-                if old is None or new < old:
-                    best[j][(x, y)] = new
-        best[i] = {}
-    return min((c + lm[x, y, 0], read) for (x, y), (c, read) in best[-1].items())[1]
+                    s = known[letter]
+                    c, x, y, r = c + lm[x][y][s], y, s, (r[0] + 1 if r else 1, letter, r)
+                at = best.setdefault(j, {})
+                old = at.get((x, y))
+                if old is None or c < old[0] or c == old[0] and _first(r, old[1]):
+                    at[(x, y)] = (c, r)
+    end = None
+    for (x, y), (c, r) in best[len(token)].items():
+        c += lm[x][y][0]
+        if end is None or c < end[0] or c == end[0] and _first(r, end[1]):
+            end = (c, r)
+    out, read = [], end[1]
+    while read:
+        out.append(read[1])
+        read = read[2]
+    return "".join(reversed(out))
 
 
 class Restorer:
     """Plain readings of texts, with a bounded memory of tokens."""
 
     def __init__(self, lm: np.ndarray):
-        self.lm, self.known = lm, {}
+        self.lm, self.known = lm.tolist(), {}  # plain lists are faster to look up one by one
 
     def token(self, raw: str) -> str:
         """Plain words stay as they are, all else is decoded; symbols at the edges may be letters or go."""
@@ -143,9 +175,7 @@ class Restorer:
         t = _EDGE.sub("", raw)
         if t.isalpha() and not _RUN.search(t):
             return t
-        if len(t) > 40:
-            return t
-        return viterbi(t, self.lm) if any(map(str.isalpha, t)) or len(t) <= 12 and any(map(str.isalnum, t)) else ""
+        return viterbi(t, self.lm) if any(map(str.isalnum, t)) else ""
 
     def readings(self, raw: str) -> tuple[str, ...]:
         """The plain reading, and the word between edges of symbols that the reading took for letters."""
@@ -162,15 +192,17 @@ class Restorer:
         low = (text or "").lower()
         tokens = set(low.split())
         out = set()
-        if sum(len(t) == 1 for t in tokens) >= 3:
+        if any(len(t) == 1 for t in tokens):
             for m in _SPACED.finditer(low):
-                out.update(viterbi(m.group(), self.lm).split() if len(m.group()) <= 200 else m.group().replace(" ", "").split())
+                out.update(viterbi(m.group(), self.lm).split())
         for t in tokens:
             w = self.known.get(t)
             if w is None:
                 if len(self.known) >= CACHE:
                     self.known.clear()
-                w = self.known[t] = self.readings(t)
+                w = self.readings(t)
+                if len(t) <= KEPT:
+                    self.known[t] = w
             out.update(w)
         return out
 
@@ -301,7 +333,7 @@ def restore_texts(docs: DataFrame, lm: np.ndarray) -> DataFrame:
         for b in batches:
             out = []
             for t in texts(b):
-                low = _SPACED.sub(lambda m: viterbi(m.group(), r.lm) if len(m.group()) <= 200 else m.group(), t.lower()) if t is not None else None
+                low = _SPACED.sub(lambda m: viterbi(m.group(), r.lm), t.lower()) if t is not None else None
                 out.append(None if low is None else " ".join(filter(None, map(r.token, low.split()))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "restored"])
 

@@ -97,6 +97,17 @@ def test_spaced_letters_are_joined(model_of_idiots):
     assert "idiot" in toxicity.Restorer(model_of_idiots).words("such an i d i o t here")
 
 
+def test_long_and_short_runs_are_decoded(model_of_idiots):
+    """No length is too long to decode, and three spaced letters are enough."""
+    r = toxicity.Restorer(model_of_idiots)
+    sentence = "the idiot and the moron met a loser near the trash while this worthless clown said good book too " * 20
+    spaced = " ".join(sentence.replace(" ", ""))
+    assert len(spaced) > 2000 and {"idiot", "moron"} <= r.words("well, " + spaced) and max(map(len, r.words(spaced))) < 40
+    assert r.token("._.".join("w0rthle55" * 8)) == "worthless" * 8
+    assert "too" in r.words("x; t o o") and "met" in r.words("they m e t")
+    assert len(r.token("a" + "1" * 20_000)) < 20_001 and r.token("b" + "-" * 100_000) == "b"
+
+
 def test_viterbi_finds_the_cheapest_reading(model_of_idiots):
     """Against all readings of the lattice."""
     lm = model_of_idiots
