@@ -16,8 +16,8 @@ from locusflow.llm.common import cut
 from locusflow.llm.training import labels
 
 BAD = "label=bad"
-#: Least share and number of labelled pages that a rule must cover, least confidence, and least lift over the rate of bad pages.
-SUPPORT, LEAST_PAGES, CONFIDENCE, LEAST_LIFT = 0.001, 8, 0.9, 2.0
+#: Least number of bad labelled pages that a rule must cover, least confidence, and how many times rarer clean pages must be under it than among all.
+LEAST_PAGES, CONFIDENCE, LEAST_GAIN = 8, 0.9, 2.0
 # Listed rules as (verdict, host, path).
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 # Words in a host that mark a page as bad for the miner.
@@ -53,27 +53,44 @@ def url_tokens(url: Column) -> Column:
     ))
 
 
-def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(rule, tokens, size, anchor, confidence) from rows (url, bad); none if no row is bad.
+def mine_rules(labelled: DataFrame, least_pages: int = LEAST_PAGES, confidence: float = CONFIDENCE) -> DataFrame:
+    """(rule, tokens, size, anchor, confidence) from rows (url, bad); none if no row is bad, or all are.
 
     A rule goes if the same rule without one of its tokens is at least as confident.
+    Hence a token of bad pages alone is in no longer rule, and tokens of just the
+    same pages not in one rule: patterns are mined without the former, and with one
+    of the latter, for which the others are put in afterwards.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule string, tokens array<string>, size int, anchor string, confidence double")
     items = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull())
-    if not items.where("bad").limit(1).count():
+    pages = cut(items.select(F.monotonically_increasing_id().alias("row"), url_tokens(F.col("url")).alias("own"), "bad"))
+    n, n_bad = pages.agg(F.count("*"), F.count_if("bad")).first()
+    if n_bad in (0, n):
         return empty
-    baskets = items.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items"))
-    support = max(support, LEAST_PAGES / items.count())
-    if support > 1:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.col("lift") >= LEAST_LIFT))
-    found = cut(found.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule", F.array_join("tokens", " & ")))
+    each = pages.select("row", "bad", F.explode("own").alias("token"))
+    same = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (1, 2)]  # tells the set of pages by 128 bits
+    counts = cut(each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), *same))
+    able = counts.where(F.col("n_bad") >= least_pages)
+    found = able.where("n_bad = n").select(F.array("token").alias("tokens"), F.lit(1.0).alias("confidence"))
+    classes = cut(able.where("n_bad < n").groupBy("n", "n_bad", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("token"), "members"))
+    # Tokens of least_pages bad pages and a clean one: few beside the pages, so they are broadcast.
+    held = each.join(F.broadcast(classes.select("token")), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("own"))
+    baskets = cut(held.select(F.concat("own", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items")))
+    m = baskets.count()
+    if m >= least_pages:
+        model = FPGrowth(itemsCol="items", minSupport=(least_pages - 0.5) / m, minConfidence=confidence).fit(baskets)
+        gain = (1 - F.col("confidence")) * LEAST_GAIN <= 1 - n_bad / n
+        found = found.unionByName(model.associationRules.where((F.col("consequent")[0] == BAD) & gain).select(F.array_sort("antecedent").alias("tokens"), "confidence"))
+    found = cut(found.withColumn("rule", F.array_join("tokens", " & ")))
     shorter = found.where(F.size("tokens") > 1).select("rule", "confidence", F.explode(F.transform("tokens", lambda t: F.array_join(F.array_remove("tokens", t), " & "))).alias("part"))
     needless = shorter.join(found.select(F.col("rule").alias("part"), F.col("confidence").alias("c")), "part").where("c >= confidence").select("rule").distinct()
     kept = found.join(needless, "rule", "left_anti")
-    often = baskets.select(F.explode("items").alias("anchor")).groupBy("anchor").count()
+    choices = kept.select("rule", "confidence", F.explode("tokens").alias("token")).join(classes, "token", "left").groupBy("rule", "confidence").agg(F.collect_list(F.coalesce("members", F.array("token"))).alias("lists"))
+    start = F.expr("array(cast(array() as array<string>))")
+    every = F.aggregate("lists", start, lambda done, own: F.flatten(F.transform(done, lambda d: F.transform(own, lambda x: F.concat(d, F.array(x))))))
+    kept = cut(choices.select("confidence", F.explode(every).alias("tokens")).select("confidence", F.array_sort("tokens").alias("tokens")).withColumn("rule", F.array_join("tokens", " & ")))
+    often = counts.select(F.col("token").alias("anchor"), F.col("n").alias("count"))
     filed = kept.select("rule", F.explode("tokens").alias("anchor")).join(often, "anchor").groupBy("rule").agg(F.min(F.struct("count", "anchor"))["anchor"].alias("anchor"))
     return cut(kept.join(filed, "rule").select("rule", "tokens", F.size("tokens").alias("size"), "anchor", "confidence"))
 
@@ -131,8 +148,18 @@ def labelled_urls(pages: DataFrame, marks: DataFrame) -> DataFrame:
     return pages.join(known, "page_id", "left").where(seed | F.col("low").isNotNull()).select("url", (seed | F.coalesce("low", F.lit(False))).alias("bad"))
 
 
+def contrasted(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """``labelled_urls``; if no page of it is clean, with the pages that have neither label nor seed word as clean ones."""
+    labelled = labelled_urls(pages, marks)
+    if labelled.where("not bad").limit(1).count():
+        return labelled
+    known = marks.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("page_id"))
+    rest = pages.join(known, "page_id", "left_anti").where(F.col("url").isNotNull() & ~seeded(F.col("url")))
+    return labelled.unionByName(rest.select("url", F.lit(False).alias("bad")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all pages: the listed rules', else block where a mined rule fits."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     listed = spark.createDataFrame(list(LISTED), "verdict string, host string, path string")
-    return judge_urls(pages, listed, mine_rules(labelled_urls(pages, labels(spark, sf_dir))))
+    return judge_urls(pages, listed, mine_rules(contrasted(pages, labels(spark, sf_dir))))

@@ -230,6 +230,28 @@ def test_rules_are_mined_pruned_and_matched(spark):
     assert hit == {"http://new.bad.example/"}
 
 
+def test_small_bad_hosts_of_large_tables_and_common_bad_pages(spark):
+    """Eight pages suffice beside 12,000 others, and rules remain where bad pages are the most."""
+    small = [(f"http://small.example/{'x/' * (i % 3)}", True) for i in range(8)]
+    clean = [(f"http://c{i % 50}.fine.test/read/{i}", False) for i in range(12_000)]
+    rules = {tuple(r.tokens) for r in url_filter.mine_rules(spark.createDataFrame(small + clean, "url string, bad boolean")).collect()}
+    assert ("d:small.example",) in rules and ("h:fine",) not in rules
+    hot = [(f"http://hot.bad.example/{i}?a=1", True) for i in range(300)]
+    rules = {tuple(r.tokens) for r in url_filter.mine_rules(spark.createDataFrame(hot + clean[:100], "url string, bad boolean")).collect()}
+    assert ("h:bad",) in rules and ("s:http",) not in rules
+    pages = spark.createDataFrame([(i, f"http://casino.example/{i}") for i in range(20)] + [(i, f"http://c{i}.fine.test/") for i in range(20, 60)], "page_id long, url string")
+    rules = {tuple(r.tokens) for r in url_filter.mine_rules(url_filter.contrasted(pages, labels_of(spark))).collect()}
+    assert ("h:casino",) in rules and ("s:http",) not in rules
+
+
+def test_rules_of_tokens_that_go_together(spark):
+    """Twenty-five tokens of the same pages, among them a clean one, would be 2^25 patterns; each alone is a rule."""
+    path = "/".join(f"seg{chr(97 + i)}" for i in range(25))
+    rows = [(f"http://x.example/{path}", i > 0) for i in range(30)] + [(f"http://y{i}.test/", False) for i in range(60)]
+    rules = {tuple(r.tokens) for r in url_filter.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert all(len(t) == 1 for t in rules) and {("p:sega",), ("p:segy",), ("d:x.example",)} <= rules
+
+
 def test_seed_words_and_labels(spark):
     pages = spark.createDataFrame([(1, "http://m.casino-win.example/x"), (2, "http://plain.example/"), (3, "http://other.example/"), (4, "http://broadcast.example/bets"), (None, None)], "page_id long, url string")
     marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
