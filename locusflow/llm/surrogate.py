@@ -2,14 +2,17 @@
 
 An entity's surrogate is a keyed permutation of its letters and digits within
 their kinds, so equal entities get equal surrogates everywhere and different ones
-different surrogates. Emails, phone, card, account and identity numbers, IP
-addresses, secrets and titled names are found. A global check gives a further
-try to surrogates that equal some real entity or one another.
+different surrogates. Letters of scripts without groups of their own are exchanged
+within their block of the character table. Emails, phone, card, account and identity numbers, IP
+addresses, secrets and titled names are found. A global check gives further tries
+to surrogates that equal some real entity or one another, until none does; after
+ROUNDS tries surrogates grow longer, so that free ones do not run out.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -42,6 +45,8 @@ GIVEN = (
 )
 #: Letters that are exchanged within their group: vowels for vowels keeps names speakable, scripts stay apart.
 GROUPS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+#: Blocks of one script that are longer than 128 places: Chinese characters and Hangul.
+BLOCKS = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7B0))
 HEX = "0123456789abcdef"
 FIND = re.compile("|".join(PATTERNS.values()))
 _QUICK = re.compile(r"[0-9@]|(?i:token|secret|password|passwd|api.?key)")
@@ -69,6 +74,21 @@ def permute(symbols: str, alphabet: str, kind: str, tweak: str) -> str:
     return spell(x, u) + spell(y, n - u)
 
 
+@cache
+def block_of(c: str) -> str:
+    """The lower-case letters outside GROUPS that ``c`` is exchanged with; none if ``c`` is no such letter."""
+    fits = lambda x: x.isalpha() and x == x.lower() and x.upper().lower() == x == x.title().lower() and not any(x in g for g in GROUPS)
+    if not fits(c):
+        return ""
+    own = next(((a, b) for a, b in BLOCKS if a <= ord(c) < b), (ord(c) & ~0x7F, (ord(c) | 0x7F) + 1))
+    return "".join(filter(fits, map(chr, range(*own))))
+
+
+def longer(value: str, kind: str, tweak: str, alphabet: str, n: int) -> str:
+    """``n`` keyed symbols of an alphabet, to make a surrogate longer."""
+    return "".join(alphabet[_number(kind, f"{tweak}+{value}", i, "", len(alphabet))] for i in range(n))
+
+
 def luhn(digits: str) -> bool:
     d = [int(c) for c in digits]
     return sum(d[-1::-2]) % 10 + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2]) % 10 in (0, 10)
@@ -81,6 +101,13 @@ def exchange(value: str, kind: str, tweak: str, groups=GROUPS) -> str:
         at = [i for i, c in enumerate(value) if c in g]
         for i, c in zip(at, permute("".join(value[i] for i in at), g, kind, tweak), strict=True):
             out[i] = c
+    rest: dict[str, list[int]] = {}
+    for i, c in enumerate(value):
+        if not any(c in g for g in groups) and block_of(c):
+            rest.setdefault(block_of(c), []).append(i)
+    for g, at in rest.items():
+        for i, c in zip(at, permute("".join(value[i] for i in at), g, kind, tweak), strict=True):
+            out[i] = c
     return "".join(out)
 
 
@@ -94,8 +121,20 @@ def gender_list(word: str):
 
 
 def surrogate_of(kind: str, value: str, attempt: int = 0) -> str:
-    """The surrogate of a normal form, in normal form."""
+    """The surrogate of a normal form, in normal form; after ROUNDS attempts a longer one, except of IP addresses."""
     tweak = str(attempt)
+    more = 0 if attempt <= ROUNDS or kind == "ip" else attempt - ROUNDS + 1
+    if more:
+        digits = kind in ("card", "phone", "iban", "ssn")
+        alphabet = "0123456789" if digits else HEX if kind == "secret" else next((a for a in (block_of(value[-1]), *GROUPS[1:]) if value[-1] in a), GROUPS[1])
+        if kind == "card":
+            new = exchange(value, kind, tweak) + longer(value, kind, tweak, alphabet, more)
+            return next(new + c for c in "0123456789" if luhn(new + c) == luhn(value))
+        new, end = surrogate_of(kind, value, attempt - ROUNDS - 1), longer(value, kind, tweak, alphabet, more)
+        if kind == "email":
+            local, _, domain = new.partition("@")
+            return local + longer(value, kind, tweak, GROUPS[2], more) + "@" + domain
+        return new + end
     if kind == "ip":
         n = 0
         for part in value.split("."):
@@ -135,7 +174,7 @@ def redress(kind: str, shown: str, new: str) -> str:
     """A surrogate in the dress of the mention: its separators and its letters' case."""
     out, chars = [], iter(new)
     if kind in ("card", "phone", "iban"):
-        new = "".join(next(chars) if not re.match(r"[ .()|-]", c) else c for c in shown)
+        new = "".join(next(chars) if not re.match(r"[ .()|-]", c) else c for c in shown) + "".join(chars)
     if len(new) != len(shown) or kind == "name":
         if kind == "name":
             return shown.upper() and " ".join(w.upper() if s.isupper() and len(s) > 1 else w.capitalize() for w, s in zip(new.split(" "), shown.split(" "), strict=True))
@@ -153,8 +192,9 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     for m in NAME.finditer(text):
         a, b = m.span("name")
         words = m.group("name").split(" ")
-        kept = words[: 2 if len(words) > 1 and words[1][0].isupper() else 1]
-        if words[0][0].isupper() and not any(a < y and x < b for x, y, _ in found):
+        capital = [w[0] == w[0].title() for w in words]  # as are letters of scripts without case
+        kept = words[: 2 if capital[-1] else 1]
+        if capital[0] and not any(a < y and x < b for x, y, _ in found):
             found.append((a, a + len(" ".join(kept)), "name"))
     return sorted(found)
 
@@ -195,16 +235,16 @@ def with_surrogates(values: DataFrame) -> DataFrame:
     return values.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, new string")
 
 
-def further_tries(values: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def further_tries(values: DataFrame) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate is taken.
 
     ``values`` are the corpus's distinct entities. A surrogate is taken if it is
     an entity of the corpus or another entity's surrogate; of several that meet, the
-    least entity keeps it. Each round gives the losers their next try.
+    least entity keeps it. Each round gives the losers their next try, until there are none.
     """
     real = values.select("kind", F.col("value").alias("new"))
     now = cut(with_surrogates(values.withColumn("attempt", F.lit(0))))
-    for _ in range(rounds):
+    while True:
         keeper = now.groupBy("kind", "new").agg(F.min("value").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("kind", "new", "keeper")
         taken = now.join(real, ["kind", "new"], "left_semi").select("kind", "value", "attempt")
         lost = now.join(keeper, ["kind", "new"]).where("value <> keeper").select("kind", "value", "attempt")

@@ -178,6 +178,22 @@ def test_taken_surrogates_get_a_further_try(spark):
         assert (out[2].n_mentions, out[2].n_entities, out[3].text, out[None].text) == (2, 2, None, "")
 
 
+def test_no_surrogate_stays_taken(spark):
+    """Names of scripts without groups are replaced, and a full space of short names goes over to longer ones."""
+    for name in ("王伟", "محمد", "דוד", "राम", "김철수", "გიორგი", "öß", "ß"):
+        assert surrogate.surrogate_of("name", name, surrogate.ROUNDS + 1) != name
+    assert all(surrogate.surrogate_of("name", n) != n for n in ("王伟", "محمد", "דוד", "김철수", "გიორგი"))
+    names = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"] + ["王伟", "გიორგი", "김철수"]
+    docs = brute.frame(spark, [(i, f"then Dr {n.title()} came", "s") for i, n in enumerate(names)] + [(999, "password=--------- ok", "s")])
+    before = {n for r in docs.collect() for a, b, k in surrogate.entities(r.text) for n in [surrogate.normal(k, r.text[a:b])]}
+    rows = surrogate.surrogate_documents(docs).collect()
+    new = [r.text.split("Dr ")[1].split(" ")[0].lower() if "Dr" in r.text else r.text.split("=")[1].split(" ")[0] for r in rows if r.n_mentions]
+    assert len(set(new)) == len(new) == 109 and not set(new) & before
+    card = surrogate.surrogate_of("card", "4111111111111111", surrogate.ROUNDS + 1)
+    assert len(card) > 16 and surrogate.luhn(card)
+    assert surrogate.redress("card", "4111 1111 1111 1111", card).replace(" ", "") == card
+
+
 @needs_data
 def test_surrogate_query(spark):
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
