@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +46,36 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of ``cut`` that each open ``scratch`` block has to remove.
+_scratch: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``cut`` writes inside the block go at its end; what is read from them must be written by then."""
+    own: list[str] = []
+    _scratch.append(own)
+    try:
+        yield
+    finally:
+        _scratch.remove(own)
+        for path in own:
+            remove(spark, path)
+
+
 def row_id(doc_id: Column, text: Column) -> Column:
     """``doc_id``, or for rows without one a number above all real ids, told by the text."""
     return F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
@@ -88,19 +115,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Bits of the filter of ``may_hold``: 2^23 bits are a table of 2^17 words.
-FILTER_BITS = 1 << 23
+#: Bits a key of the filter of ``split_by_keys``, and its least and most bits: 2^26 bits are 8 MB.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 26
 
 
-def may_hold(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``rows`` (id, ...) whose id may be among ``ids`` (id): all that are, and a few others.
+def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of ``keys``, rows that surely have none).
 
-    A bitmap of fixed size is broadcast, whatever the number of ids, so rows that
-    a later join by id would drop need not be shuffled. A full bitmap drops none.
+    A bitmap of a size in proportion to the number of keys, 8 MB at most, is
+    broadcast, so rows that a later join would not touch need not be shuffled. Beyond
+    some ten million keys the bitmap fills and more rows are held for the join.
     """
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    word, bit = F.floor(at / F.lit(64)).cast("int"), (at % 64).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    table = ids.select(word.alias("__word"), one.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
-    held = rows.withColumns({"__word": word, "__bit": one}).join(F.broadcast(table), "__word")
-    return held.where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0).drop("__word", "__bit", "__bits")
+    n = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * n).bit_length()))
+    at = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits))
+    word, bit = F.floor(at / F.lit(64)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
+    table = cut(keys.select(word.alias("__word"), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits")))
+    held = rows.withColumns({"__word": word, "__bit": bit}).join(F.broadcast(table), "__word", "left")  # 2^20 words at most
+    may = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    return tuple(held.where(c).drop("__word", "__bit", "__bits") for c in (may, ~may))
+
+
+def may_hold(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` (id, ...) whose id may be among ``ids`` (id): all that are, and a few others."""
+    return split_by_keys(rows, ids, "id")[0]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from locusflow.llm.common import NO_ID, cut, documents, row_id, texts, words_of
+from locusflow.llm.common import NO_ID, cut, documents, row_id, split_by_keys, texts, words_of
 from locusflow.llm.components import connected_components
 
 SHINGLE, SEED, BITS, RADIUS = 4, 42, 64, 2
@@ -48,14 +48,19 @@ def simhash(words: list[bytes]) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint, as a signed long, of each row's whole text."""
+    """(id, th, fp): id and hash of each row's whole text, and its 64-bit fingerprint as a signed long."""
 
     def run(batches):
         for b in batches:
             fp = np.fromiter((simhash(words_of(t)) for t in texts(b)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp)], names=["id", "th", "fp"])
 
-    return docs.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), "text").mapInArrow(run, "id long, fp long")
+    return docs.select(*row_key(), "text").mapInArrow(run, "id long, th long, fp long")
+
+
+def row_key(id_: str = "id", th: str = "th") -> tuple:
+    """What tells a row: its id and the hash of its text."""
+    return row_id(F.col("doc_id"), F.col("text")).alias(id_), F.xxhash64("text").alias(th)
 
 
 @lru_cache(64)
@@ -128,37 +133,59 @@ def links_in_cell(fps: np.ndarray, radius: np.ndarray, free: int) -> tuple[np.nd
     order = np.argsort(variants)
     own, variants = own[order], variants[order]
     same = np.flatnonzero(variants[1:] == variants[:-1])
-    return forest(fps[own[same]], fps[own[same + 1]])
+    a, b = fps[own[same]], fps[own[same + 1]]
+    near = np.bitwise_count(a ^ b) <= 2 * RADIUS
+    return forest(a[near], b[near])
 
 
 def radius_left(fps: np.ndarray, cells: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return RADIUS - np.bitwise_count((fps ^ cells) & mask).astype(np.int64)
 
 
-def emit_cells(fps: np.ndarray, bits: int, crowded: np.ndarray):
-    """(fp, cell, bits of the cell) for all cells that a fingerprint's ball touches; crowded ones are cut finer."""
+def emit_cells(fps: np.ndarray, bits: int, crowded: list[np.ndarray]):
+    """(fp, cell, bits of the cell) for all cells that a fingerprint's ball touches.
+
+    ``crowded`` lists, step by step of FINER more bits, the cells that are cut finer.
+    """
     rows, cells, left = cells_of(fps, np.full(len(fps), RADIUS), BITS, bits)
-    hot = np.isin(cells, crowded)
-    out = [(fps[rows[~hot]], cells[~hot], np.full((~hot).sum(), bits))]
-    if hot.any():
-        sub, fine, _ = cells_of(fps[rows[hot]], left[hot], BITS - bits, FINER)
-        out.append((fps[rows[hot]][sub], cells[hot][sub] | fine, np.full(len(sub), bits + FINER)))
+    out = []
+    for hot_cells in [*crowded, np.zeros(0, np.uint64)]:
+        hot = np.isin(cells, hot_cells)
+        out.append((fps[rows[~hot]], cells[~hot], np.full((~hot).sum(), bits)))
+        if not hot.any():
+            break
+        sub, fine, left = cells_of(fps[rows[hot]], left[hot], BITS - bits, FINER)
+        rows, cells, bits = rows[hot][sub], cells[hot][sub] | fine, bits + FINER
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def crowded_cells(nodes: DataFrame, bits: int, limit: int) -> list[np.ndarray]:
+    """Cells of leading bits with more than ``limit`` fingerprints, by steps of FINER bits until none is.
+
+    Only crowded cells come to the driver: at most one for each ``limit`` fingerprints and step.
+    """
+    out, inside = [], nodes
+    while bits + FINER <= BITS:
+        shift = BITS - bits
+        lead = F.shiftrightunsigned("fp", shift)
+        cells = [r.c for r in inside.groupBy(lead.alias("c")).count().where(F.col("count") > limit).select("c").collect()]
+        if not cells:
+            break
+        out.append(np.array([c << shift for c in cells], np.uint64))
+        inside = inside.join(F.broadcast(nodes.sparkSession.createDataFrame([(c,) for c in cells], "c long")), lead == F.col("c"), "left_semi")
+        bits += FINER
+    return out
+
+
 def near_links(nodes: DataFrame, n: int, cell_variants: int = CELL_VARIANTS) -> DataFrame:
     """Links (a, b) that connect all of ``n`` distinct fingerprints ``fp`` within distance 4 of each other.
 
-    Not every pair: each cell returns a forest, at most one link per fingerprint
-    in it. Every link is checked to lie within distance 4 or follows such steps.
+    Not every pair: pairs that meet on a variant are checked for their distance, and
+    each cell returns a forest over its pairs, at most one link per fingerprint in it.
     """
     per = len(ball(0, BITS, RADIUS))
     bits = min(24, max(2, int(np.ceil(np.log2(max(1, n) * per / cell_variants + 1)))))
-    shift = BITS - bits
-    # Fingerprints per cell of leading bits: a bounded table of 2^bits counts, of which only crowded cells come to the driver.
-    lead = nodes.groupBy(F.shiftrightunsigned("fp", shift).alias("c")).count()
-    limit = max(4 * n >> bits, 4 * cell_variants // per)
-    crowded = np.array([r.c << shift for r in lead.where(F.col("count") > limit).collect()], np.uint64)
+    crowded = crowded_cells(nodes, bits, max(4 * n >> bits, 4 * cell_variants // per))
 
     def emit(batches):
         for b in batches:
@@ -178,35 +205,60 @@ def near_links(nodes: DataFrame, n: int, cell_variants: int = CELL_VARIANTS) ->
     return sent.groupBy("cell", "k").applyInArrow(link, "a long, b long")
 
 
+#: A component with very many fingerprints is joined in so many parts.
+PARTS = 16
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, th, fp), and per distinct fp its component's survivor (fp, component, kept), the least id and its least th."""
+    fps = cut(fingerprints(docs))
+    nodes = cut(fps.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("least")))
+    roots = cut(connected_components(near_links(nodes.select("fp"), nodes.count())))
+    linked = cut(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root"))
+    # Fingerprints without links are their own survivors; the others' are dealt in PARTS, as one root may have very many.
+    best = linked.groupBy("root").agg(F.min("least").alias("best")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(best, ["root", "part"]).select("fp", "best")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("best"))
+    return fps, cut(named.unionByName(alone).select("fp", F.col("best.id").alias("component"), F.col("best.th").alias("kept")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: id, fp and root id, the least id of its group of near-duplicates.
+    """Per row: id, fp and component, the least id of its group of near-duplicates.
 
     Copies are one node, however many there are. Null and empty texts have
     fingerprint 0, rows without doc_id are told by their text and never outrank
-    real ids, repeated rows share a group, an empty table gives no rows.
+    real ids, repeated rows share a group, an empty table gives no rows. Ids are
+    whole numbers, or texts of such.
     """
-    fps = cut(fingerprints(docs))
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(near_links(nodes, nodes.count()))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return fps.join(named.join(least, "root").select("fp", "component"), "fp")
+    fps, named = grouped(docs)
+    return fps.join(named.select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the least id.
 
-    Rows of one id are one document, of which the row with the least text stays.
+    Rows are told by id and text. Of several texts of that id in one group the one
+    with the least hash stays, of equal rows one; an id may stay in several groups,
+    with a text in each. Only rows that may have to go, told by a bitmap, are
+    shuffled, to be joined to the keys of those that do; all others stay where they are.
     """
-    kept = cut(near_duplicates(docs).where("id = component").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("n")))
-    named = docs.withColumn("__id", row_id(F.col("doc_id"), F.col("text")))
-    out = named.join(kept.where("n = 1").select("__id"), "__id", "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        least = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")
-        several = named.join(kept.where("n > 1").select("__id"), "__id", "left_semi").groupBy("__id").agg(least)
-        out = out.unionByName(several.select("__id", "row.*"))
-    return out.drop("__id")
+    fps, named = grouped(docs)
+    keys = fps.groupBy("id", "th", "fp").agg(F.count("*").alias("n")).join(named, "fp")
+    stays = (F.col("id") == F.col("component")) & (F.col("th") == F.col("kept"))
+    moved = cut(keys.where(~stays | (F.col("n") > 1)).select(F.xxhash64("id", "th").alias("__key"), stays.alias("__several")))
+    rows = docs.withColumns(dict(zip(("__id", "__th"), row_key(), strict=True))).withColumn("__key", F.xxhash64("__id", "__th")).drop("__id", "__th")
+    maybe, rest = split_by_keys(rows, moved.select("__key"), "__key")
+    out = rest.unionByName(maybe.join(moved.select("__key"), "__key", "left_anti"))
+    several = moved.where("__several").select("__key")
+    if several.limit(1).count():
+        out = out.unionByName(one_of_each(split_by_keys(rows, several, "__key")[0].join(several, "__key", "left_semi"), docs.columns))
+    return out.drop("__key")
+
+
+def one_of_each(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per ``__key``: the one with the least hash. Tasks reduce equal rows before any shuffle."""
+    tagged = rows.distinct().withColumn("__row", F.xxhash64(*columns))
+    return tagged.groupBy("__key").agg(F.min_by(F.struct(*columns), "__row").alias("__one")).select("__key", "__one.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ def test_simhash_query(spark):
     assert sorted(map(tuple, simhash.op10_simhash(spark, D).collect())) == expected
 
 
-@pytest.mark.parametrize("cell_variants", [3_000, simhash.CELL_VARIANTS])
-def test_links_connect_all_within_distance_four(spark, cell_variants):
+@pytest.mark.parametrize(("cell_variants", "cluster"), [(3_000, 0), (3_000, 90), (simhash.CELL_VARIANTS, 0)])
+def test_links_connect_all_within_distance_four(spark, cell_variants, cluster):
     """Random fingerprints with chains of neighbours; small cells force the finer cut."""
     rng = np.random.default_rng(7)
     fps = set(rng.integers(0, 1 << 63, 60).tolist())
@@ -35,6 +35,7 @@ def test_links_connect_all_within_distance_four(spark, cell_variants):
         for step in (1, 3, 4, 5):
             fp ^= sum(1 << int(b) for b in rng.choice(64, step, replace=False))
             fps.add(fp)
+    fps |= {min(fps) ^ int(x) << 2 * (int(x) % 9) for x in rng.integers(1, 1 << 12, cluster)}  # equal in their leading bits, so cut several times
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
@@ -63,9 +64,34 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text and len(r.text) < 99) == [(0, "no id here at all"), (3, brute.TEXTS[4][1]), (7, "x"), (9, brute.TEXTS[11][1])]
 
 
-def test_one_id_with_two_texts_keeps_the_least(spark):
-    docs = brute.frame(spark, [(1, "b c d e f g h", "s"), (1, "a x y z u v w", "s"), (2, "q r s t u v w x y z", "s")])
-    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(1, "a x y z u v w"), (2, "q r s t u v w x y z")]
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """An id stays in each group that it leads; copies go whatever their id, and equal rows leave one."""
+    one, two = "one two three four five six", "alpha beta gamma delta epsilon zeta eta"
+    docs = brute.frame(spark, [(3, one, "s"), (5, two, "s"), (5, one, "s")])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(3, one), (5, two)]
+    docs = brute.frame(spark, [(1, "b c d e f g h", "s"), (1, "a x y z u v w", "s"), (2, "q r s t u v w x y z", "s"), (2, "q r s t u v w x y z", "s"), (2, "q r s t u v w x y z", "t"), (7, "a x y z u v w", "t")])
+    kept = simhash.keep_one(docs)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a x y z u v w"), (1, "b c d e f g h"), (2, "q r s t u v w x y z")]
+    assert brute.rows_of(kept) == brute.rows_of(simhash.keep_one(docs.repartition(3)))
+
+
+def test_keep_one_of_many_rows(spark):
+    """A third of the rows under one id and text, another third near copies, against brute force over (id, text)."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 900, 400)]
+    rows = [(7, "same words in every row of this id", "s")] * 150
+    rows += [(100 + i, " ".join([*base[: 2 * i], "x", *base[2 * i + 1 :]]), "s") for i in range(150)] + [(int(rng.integers(0, 40)), f"other words {i} {i * 7} {i * 5} text", "s") for i in range(150)]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(brute.frame(spark, rows)).collect())
+    least = brute.components([brute.simhash(t) for _, t, _ in rows], [i for i, _, _ in rows])
+    groups = {}
+    for (i, t, _), c in zip(rows, least, strict=True):
+        groups.setdefault((c, i == c), set()).add((i, t))
+    assert len(kept) == len(set(kept)) and set(kept) <= set().union(*(g for (_, first), g in groups.items() if first))
+    assert len(kept) == len(components_of([brute.simhash(t) for _, t, _ in rows]))
+
+
+def components_of(fps):
+    return set(brute.components(fps, list(range(len(fps)))))
 
 
 @needs_data
