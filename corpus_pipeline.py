@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusflow.llm.common import shared_dir
+from locusflow.llm.common import remove, scratch, shared_dir
 from locusflow.llm.decontaminate import benchmark, without_leaks
 from locusflow.llm.mixing import take_documents
 from locusflow.llm.quality import reject_low_quality
@@ -21,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group; of several rows of one id, the least text."""
+    """The document with the least id of each near-duplicate group; of several texts of that id, one."""
     return keep_one(docs)
 
 
@@ -52,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder before the next reads it."""
+    """All stages over ``documents``; each is written to the shared folder before the next reads it.
+
+    What a stage wrote for itself, and the documents of the stage before, go once it is written.
+    An empty table gives an empty one; null, empty and repeated texts are treated as each stage says.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}")
         docs = spark.read.parquet(f"{top}/{i}")
+        remove(spark, f"{top}/{i - 1}")
     return docs
