@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 
 from locusflow import __version__
 from locusflow.config import CountConfig
-from locusflow.plans.count import count_reads
+from locusflow.plans.count import count_once
 from locusflow.plans.output import write_counts, write_details, write_summary
 from locusflow.sources.annotation import load_annotation
-from locusflow.sources.bam import detect_paired, read_bam
+from locusflow.sources.bam import COUNT_FIELDS, detect_paired, read_bam
 from locusflow.sources.samples import parse_sample
 
 log = logging.getLogger("locusflow")
@@ -21,6 +21,7 @@ log = logging.getLogger("locusflow")
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("locusflow", description=__doc__)
+    p.add_argument("-V", "--version", action="version", version=f"%(prog)s {__version__}")
     p.add_argument("bams", nargs="+", help="BAM files, each a path or name=path")
     p.add_argument("-a", "--annotation", required=True)
     p.add_argument("-o", "--output", required=True)
@@ -57,18 +58,19 @@ def main(argv: list[str] | None = None) -> int:
     if threads and SparkSession.getActiveSession() is None:
         builder = builder.master(f"local[{threads}]")
     spark = builder.getOrCreate()
-    reads = read_bam(spark, [p for _, p in samples])
-    if not cfg.paired and detect_paired(reads):
+    reads = read_bam(spark, [p for _, p in samples], fields=COUNT_FIELDS)
+    if not cfg.paired and detect_paired(samples[0][1]):
         log.info("paired reads found: counting fragments")
         cfg = cfg.with_(paired=True)
     ann = load_annotation(spark, ann_path, cfg)
-    result = count_reads(reads, ann.features, ann.chroms, cfg)
+    result = count_once(reads, ann.features, ann.chroms, cfg, bool(details))
     shown = " ".join(f'"{x}"' for x in ("-a", ann_path, "-o", out, *(p for _, p in samples)))
     write_counts(result, ann, samples, cfg, out, f"Program:locusflow v{__version__}; Command:{shown} ")
     for status, n, pct in write_summary(spark, result.status, out):
         log.info("%s: %d (%.2f%%)", status, n, pct)
     if details:
         write_details(result, details)
+    result.resolved.unpersist()
     return 0
 
 

@@ -16,6 +16,10 @@ def cigar_blocks(cigar: Column, pos: Column) -> Column:
     or null ``pos`` give an empty array.
     """
     cigar = F.coalesce(cigar, F.lit("*"))
+    # Without N there is one block at most, and the sum of what consumes reference is all that it takes.
+    lengths = F.regexp_extract_all(cigar, F.lit("([0-9]+)[M=XD]"), F.lit(1))
+    covered = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    whole = F.filter(F.array(F.struct((pos.cast("bigint") + 1).alias("start"), (pos.cast("bigint") + covered).alias("end"))), lambda b: b["end"] >= b["start"])
     ops = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(2))
     lengths = F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(1)), lambda x: x.cast("bigint"))
     steps = F.zip_with(ops, lengths, lambda o, n: F.struct(o.alias("op"), n.alias("n")))
@@ -35,7 +39,7 @@ def cigar_blocks(cigar: Column, pos: Column) -> Column:
         skip = F.struct(after.alias("at"), after.alias("open"), closed(acc).alias("done"))
         return F.when(x["op"].isin("M", "=", "X", "D"), grow).when(x["op"] == "N", skip).otherwise(acc)
 
-    blocks = F.aggregate(steps, begin, step, closed)
+    blocks = F.when(F.contains(cigar, F.lit("N")), F.aggregate(steps, begin, step, closed)).otherwise(whole)
     return F.when(pos >= 0, blocks).otherwise(F.expr(f"cast(array() as {BLOCKS})"))
 
 

@@ -30,11 +30,11 @@ def classify(alignments: DataFrame, chroms: DataFrame, cfg: CountConfig) -> Data
     """Add ``status`` (null: the read goes on) and, for paired runs, ``solo``.
 
     ``solo`` marks reads whose mate is unmapped: they count alone, at once.
-    ``chroms`` has the contigs of the annotation; it is tiny beside the reads, and
+    ``chroms`` has each contig of the annotation once; it is tiny beside the reads, and
     Spark broadcasts it by its measured size.
     """
     f, nh = F.col("flags"), fl.clamp_nh(F.col("nh"))
-    known = chroms.select(F.col("chrom").alias("_known")).distinct()
+    known = chroms.select(F.col("chrom").alias("_known"))
     out = alignments.join(known, F.col("chrom") == F.col("_known"), "left")
     rules: list[tuple[Column, str]] = [(fl.has(f, fl.UNMAPPED), "Unassigned_Unmapped")]
     if cfg.primary:
@@ -51,7 +51,7 @@ def classify(alignments: DataFrame, chroms: DataFrame, cfg: CountConfig) -> Data
         if cfg.both_aligned:
             rules.append((solo, "Unassigned_Singleton"))
         if cfg.no_chimeric:
-            mates = chroms.select(F.col("chrom").alias("_mate_known")).distinct()
+            mates = chroms.select(F.col("chrom").alias("_mate_known"))
             out = out.join(mates, F.col("mate_chrom") == F.col("_mate_known"), "left")
             far = F.col("_mate_known").isNotNull() & (F.col("mate_chrom") != F.col("chrom"))
             rules.append((~solo & far, "Unassigned_Chimera"))

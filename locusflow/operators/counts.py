@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusflow.config import CountConfig
@@ -20,15 +20,15 @@ def count_targets(resolved: DataFrame, cfg: CountConfig) -> DataFrame:
     """
     hit = resolved.where(F.col("status") == "Assigned")
     weight = F.expr(f"{MICRO} div greatest(1, nh * size(targets))") if cfg.fraction else F.lit(1)
-    rows = hit.select("sample_idx", weight.cast("bigint").alias("w"), F.explode("targets").alias("target"))
+    # Only reads of several targets need their arrays taken apart.
+    target = F.explode("targets") if cfg.multi_overlap else F.get("targets", F.lit(0))
+    rows = hit.select("sample_idx", weight.cast("bigint").alias("w"), target.alias("target"))
     return rows.groupBy("sample_idx", "target").agg(F.sum("w").alias("n"))
 
 
-def count_status(classified: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(sample_idx, status, n): reads dropped by a filter, and fragments by outcome."""
-    reads = classified.where(F.col("status").isNotNull()).groupBy("sample_idx", "status").agg(F.count("*").alias("n"))
-    frags = resolved.groupBy("sample_idx", "status").agg(F.count("*").alias("n"))
-    return reads.unionByName(frags).groupBy("sample_idx", "status").agg(F.sum("n").alias("n"))
+def count_status(resolved: DataFrame) -> DataFrame:
+    """(sample_idx, status, n): reads dropped by a filter, and fragments by outcome, of rows that have both."""
+    return resolved.groupBy("sample_idx", "status").agg(F.count("*").alias("n"))
 
 
 def summary(spark: SparkSession, status: DataFrame) -> DataFrame:
@@ -36,9 +36,8 @@ def summary(spark: SparkSession, status: DataFrame) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(STATUSES)), "ord int, status string")
     total = status.groupBy("status").agg(F.sum("n").alias("n"))
     out = rows.join(total, "status", "left").select("ord", "status", F.coalesce("n", F.lit(0)).alias("n"))
-    all_n = out.agg(F.sum("n").alias("total"))
-    pct = F.when(F.col("total") > 0, 100.0 * F.col("n") / F.col("total")).otherwise(F.lit(0.0))
-    return out.crossJoin(all_n).select("ord", "status", "n", pct.alias("pct"))
+    all_n = F.sum("n").over(Window.partitionBy())  # of thirteen rows
+    return out.select("ord", "status", "n", F.when(all_n > 0, 100.0 * F.col("n") / all_n).otherwise(F.lit(0.0)).alias("pct"))
 
 
 def assignment_rate(status: DataFrame) -> DataFrame:

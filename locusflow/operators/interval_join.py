@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_bins(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """One row for each bin that [start, end] touches; rows with end < start go."""
+def with_bins(df: DataFrame, start: str, end: str, width: int, outer: bool = False) -> DataFrame:
+    """One row for each bin that [start, end] touches; rows without such go, or with ``outer`` have a null bin."""
     first, last = (F.floor(F.col(c) / F.lit(width)).cast("bigint") for c in (start, end))
-    return df.where(F.col(start) <= F.col(end)).withColumn("bin", F.explode(F.sequence(first, last)))
+    # The outer form in either case: for the other Spark adds a filter that makes the array twice.
+    bins = df.withColumn("bin", F.explode_outer(F.when(F.col(start) <= F.col(end), F.sequence(first, last))))
+    return bins if outer else bins.where(F.col("bin").isNotNull())
 
 
-def interval_join(left: DataFrame, right: DataFrame, width: int, chrom: str = "chrom") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, width: int, chrom: str = "chrom", how: str = "inner") -> DataFrame:
     """Pairs of rows of ``left`` (l_start, l_end) and ``right`` (r_start, r_end) that overlap.
 
     Both sides have ``chrom``; bounds are inclusive. A pair that shares several
-    bins is kept in the first shared one only, so no distinct is needed. The join
-    key (chrom, bin) lets Spark broadcast a small side by its measured size, or
-    sort-merge two large ones and split skewed bins.
+    bins is kept in the first shared one only, so no distinct is needed. With
+    ``how`` "left" every bin of a left row without partner there gives a row of
+    nulls. The join key (chrom, bin) lets Spark broadcast a small side by its
+    measured size, or sort-merge two large ones and split skewed bins.
     """
-    a = with_bins(left, "l_start", "l_end", width)
-    b = with_bins(right, "r_start", "r_end", width)
-    once = F.floor(F.greatest("l_start", "r_start") / F.lit(width)) == F.col("bin")
+    a = with_bins(left, "l_start", "l_end", width, how == "left")
+    b = with_bins(right, "r_start", "r_end", width).select(F.col(chrom).alias("_chrom"), F.col("bin").alias("_bin"), *[c for c in right.columns if c != chrom])
+    same = (F.col(chrom) == F.col("_chrom")) & (F.col("bin") == F.col("_bin"))
+    once = F.floor(F.greatest("l_start", "r_start") / F.lit(width)) == F.col("_bin")
     hit = (F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end"))
-    return a.join(b, [chrom, "bin"]).where(hit & once).drop("bin")
+    return a.join(b, same & hit & once, how).drop("bin", "_chrom", "_bin")

@@ -9,13 +9,24 @@ from locusflow.config import CountConfig
 from locusflow.functions import flags as fl
 from locusflow.functions.cigar import BLOCKS, blocks_length, cigar_blocks
 
-#: Columns that name a fragment. The pairing shuffle hashes a subset of them, so
-#: later groupings by fragment need no shuffle of their own.
-FRAGMENT = ["sample_idx", "qname", "solo", "frag_no"]
+#: Columns that name a fragment: the sample, the hash by which names are dealt out,
+#: and the place in the file of its first read. All are whole numbers; the pairing
+#: shuffle hashes the first two, so grouping by fragment after it needs no shuffle.
+PAIR_KEY = ["sample_idx", "name_hash", "first_ord"]
+#: A single read is named by its place alone.
+READ_KEY = ["sample_idx", "first_ord"]
+
+
+def fragment_key(cfg: CountConfig) -> list[str]:
+    return PAIR_KEY if cfg.paired else READ_KEY
 
 
 def with_blocks(reads: DataFrame) -> DataFrame:
-    return reads.withColumns({"blocks": cigar_blocks(F.col("cigar"), F.col("pos")), "reverse": fl.has(F.col("flags"), fl.REVERSE)})
+    """Add ``reverse`` and, unless the source gives them, the aligned ``blocks``."""
+    added = {"reverse": fl.has(F.col("flags"), fl.REVERSE)}
+    if "blocks" not in reads.columns:
+        added["blocks"] = cigar_blocks(F.col("cigar"), F.col("pos"))
+    return reads.withColumns(added)
 
 
 def mate_rows(reads: DataFrame) -> DataFrame:
@@ -23,44 +34,52 @@ def mate_rows(reads: DataFrame) -> DataFrame:
 
     Rows (1,2), (3,4), ... of a (sample, name) pair up; the later row is the record
     and the earlier its mate; a row without partner is an orphan. Rows marked
-    ``solo`` stay single. One shuffle, by sample and name; no aggregate.
+    ``solo`` stay single. One shuffle, by sample and the name's hash; no aggregate.
+    Names are compared in full: the hash only deals them out and sorts fast.
     """
-    keep = F.struct("chrom", "blocks", "reverse", "nh", "file_ord")
-    w = Window.partitionBy("sample_idx", "qname", "solo").orderBy("file_ord")
-    numbered = reads.select("sample_idx", "qname", "solo", keep.alias("row"), F.row_number().over(w).alias("rn"), F.lead(keep).over(w).alias("after"))
+    keep = F.struct("chrom", "blocks", "reverse", "nh", "file_ord", *([] if "dropped" not in reads.columns else ["dropped"]))
+    dealt = reads.select("sample_idx", F.xxhash64("qname").alias("name_hash"), "qname", "solo", "file_ord", keep.alias("row")).repartition("sample_idx", "name_hash")
+    w = Window.partitionBy("name_hash", "sample_idx", "qname", "solo").orderBy("file_ord")
+    numbered = dealt.withColumns({"rn": F.row_number().over(w), "after": F.lead("row").over(w)})
     single = F.col("solo")
     first = numbered.where(single | (F.col("rn") % 2 == 1))
     paired = ~single & F.col("after").isNotNull()
     return first.select(
-        "sample_idx", "qname", "solo", F.when(single, F.col("rn")).otherwise(F.floor((F.col("rn") + 1) / 2)).cast("bigint").alias("frag_no"),
+        "sample_idx", "name_hash", F.col("file_ord").alias("first_ord"), "qname",
         F.when(single, "single").when(paired, "pair").otherwise("orphan").alias("kind"),
         F.when(paired, F.col("after")).otherwise(F.col("row")).alias("rec"),
         F.when(paired, F.col("row")).alias("mate"),
-    )
+    )
 
 
-def fragments(classified: DataFrame, cfg: CountConfig) -> DataFrame:
+def fragments(classified: DataFrame, cfg: CountConfig, dropped: bool = False) -> DataFrame:
     """Fragments of the reads that passed the filters.
 
-    Columns: the fragment's name, kind, chrom, query_blocks (looked up in the
+    Columns: the fragment's key, qname, kind, chrom, query_blocks (looked up in the
     annotation), all_blocks (whose overlap counts), read_len, reverse,
     mate_reverse, nh. ``read_len`` is the record's alone, and a mate on another
-    contig adds to all_blocks only.
+    contig adds to all_blocks only. With ``dropped`` the reads that a filter took
+    come along, each alone and without blocks, and a column of that name has their status.
     """
-    reads = with_blocks(classified.where(F.col("status").isNull()))
+    none = F.expr(f"cast(array() as {BLOCKS})")
+    more = ["dropped"] if dropped else []
+    if dropped:
+        gone = F.col("status").isNotNull()
+        reads = with_blocks(classified).withColumns({"dropped": F.col("status"), "solo": F.col("solo") | gone, "blocks": F.when(gone, none).otherwise(F.col("blocks"))})
+    else:
+        reads = with_blocks(classified.where(F.col("status").isNull()))
     if not cfg.paired:
         return reads.select(
-            "sample_idx", "qname", F.lit(False).alias("solo"), F.col("file_ord").cast("bigint").alias("frag_no"), F.lit("single").alias("kind"), "chrom",
+            "sample_idx", F.col("file_ord").cast("bigint").alias("first_ord"), "qname", F.lit("single").alias("kind"), "chrom",
             F.col("blocks").alias("query_blocks"), F.col("blocks").alias("all_blocks"), blocks_length(F.col("blocks")).alias("read_len"),
-            "reverse", F.lit(None).cast("boolean").alias("mate_reverse"), "nh",
-        )
+            "reverse", F.lit(None).cast("boolean").alias("mate_reverse"), "nh", *more,
+        )
     frags = mate_rows(reads)
-    none = F.expr(f"cast(array() as {BLOCKS})")
     mate_blocks = F.coalesce(F.col("mate.blocks"), none)
     near = F.when(F.col("mate.chrom") == F.col("rec.chrom"), mate_blocks).otherwise(none)
     return frags.select(
-        *FRAGMENT, "kind", F.col("rec.chrom").alias("chrom"),
+        *PAIR_KEY, "qname", "kind", F.col("rec.chrom").alias("chrom"),
         F.concat(F.col("rec.blocks"), near).alias("query_blocks"), F.concat(F.col("rec.blocks"), mate_blocks).alias("all_blocks"),
         blocks_length(F.col("rec.blocks")).alias("read_len"), F.col("rec.reverse").alias("reverse"), F.col("mate.reverse").alias("mate_reverse"),
-        F.greatest(F.col("rec.nh"), F.coalesce(F.col("mate.nh"), F.lit(1))).alias("nh"),
-    )
+        F.greatest(F.col("rec.nh"), F.coalesce(F.col("mate.nh"), F.lit(1))).alias("nh"), *([F.col("rec.dropped").alias("dropped")] if dropped else []),
+    )

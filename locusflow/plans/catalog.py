@@ -17,7 +17,9 @@ from locusflow.operators.interval_join import interval_join
 from locusflow.operators.pairing import mate_rows, with_blocks
 from locusflow.plans import fixtures, oracle
 from locusflow.plans.count import count_reads
+from locusflow.plans.output import write_counts, write_summary
 from locusflow.sources.annotation import build_annotation, choose_type, detect_types, parse_lines
+from locusflow.sources.bam import COUNT_FIELDS, detect_paired, open_input, read_bam
 
 Query = Callable[[SparkSession, str], DataFrame]
 C = CountConfig
@@ -171,7 +173,59 @@ def feature_type_select(spark, d):
     return ann.features.select("feature_idx", "gene_ord", "gene_id", "line_ord")
 
 
+def _from_bam(spark, d, fields=None):
+    return read_bam(spark, fixtures.bam_files(spark, d), 1 << 18, fields)
+
+
+def bam_round_trip(spark, d):
+    """Records written as BAM and read at small splits."""
+    idx = lambda c: F.col(c).cast("bigint").alias(c)
+    return _from_bam(spark, d).select(idx("sample_idx"), "qname", idx("flags"), "chrom", "pos", idx("mapq"), "cigar", idx("nh"), "mate_chrom")
+
+
+def bam_blocks(spark, d):
+    rows = _from_bam(spark, d, ["qname", "flags", "pos", "blocks"]).select("qname", F.col("flags").cast("bigint").alias("flags"), "pos", F.explode("blocks").alias("b"))
+    return rows.select("qname", "flags", "pos", F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"))
+
+
+def bam_gene_counts(spark, d):
+    """Fragments of BAM files, which the head of the first tells to be paired."""
+    paths, ann = fixtures.bam_files(spark, d), fixtures.annotation(spark, d)
+    cfg = C(paired=detect_paired(paths[0]) if paths else False)
+    counts = count_reads(read_bam(spark, paths, 1 << 18, COUNT_FIELDS), ann.features, ann.chroms, cfg).counts
+    return counts.join(ann.genes, F.col("target") == F.col("gene_ord")).select(F.col("sample_idx").cast("bigint").alias("sample_idx"), "gene_id", "n")
+
+
+def _written(spark, d, cfg, write, name, schema, skip):
+    """The lines of a file that a writer made, as rows of strings with their number."""
+    result, ann = _run(spark, d, cfg)
+    path = f"{fixtures.shared_folder(spark)}/{name}"
+    write(result, ann, path)
+    with open_input(path) as f:
+        lines = f.read().decode().splitlines()[skip:]
+    return spark.createDataFrame([(i, *x.split("\t")) for i, x in enumerate(lines)], schema)
+
+
+def count_table_file(spark, d):
+    cfg = C(multi_mapping=True, fraction=True, multi_overlap=True)
+    write = lambda result, ann, path: write_counts(result, ann, [("a", ""), ("b", "")], cfg, path, "x")
+    return _written(spark, d, cfg, write, "counts", "line bigint, gene_id string, chr string, starts string, ends string, strands string, length string, a string, b string", 2)
+
+
+def exon_table_file(spark, d):
+    cfg = C(output_format="dexseq")
+    write = lambda result, ann, path: write_counts(result, ann, [("a", ""), ("b", "")], cfg, path, "x")
+    return _written(spark, d, cfg, write, "counts", "line bigint, gene_id string, exon_id string, a string, b string", 1)
+
+
+def summary_file(spark, d):
+    write = lambda result, ann, path: write_summary(spark, result.status, path.removesuffix("summary") + "txt")
+    return _written(spark, d, PAIRED, write, "counts.summary", "line bigint, status string, n string, pct string", 1)
+
+
 PLAIN: dict[str, Query] = {
+    "bam_round_trip": bam_round_trip, "bam_blocks": bam_blocks, "bam_gene_counts": bam_gene_counts,
+    "count_table_file": count_table_file, "exon_table_file": exon_table_file, "summary_file": summary_file,
     "read_filter_status": _filter_status(C()), "read_filter_status_strict": _filter_status(STRICT.with_(paired=True, both_aligned=True, no_chimeric=True)),
     "cigar_blocks": cigar_block_rows, "interval_join_hits": interval_join_hits, "hit_overlap_len": hit_overlap_len, "mate_pairing": mate_pairing, "orphans": orphans,
     "collapsed_gene_length": collapsed_gene_length, "gene_metadata": gene_metadata, "exon_numbering": exon_numbering, "count_matrix_pivot": count_matrix_pivot,
@@ -215,6 +269,21 @@ k AS (SELECT * FROM r WHERE {_GENE} IS NOT NULL), g AS (SELECT gene_id, row_numb
 SELECT row_number() OVER (ORDER BY co, f_start, feat_ord) - 1 AS feature_idx, gene_ord, gene_id, feat_ord AS line_ord FROM k JOIN c USING (chrom) JOIN g USING (gene_id)""",
 }
 
+_FRACTION = C(multi_mapping=True, fraction=True, multi_overlap=True)
+PLAIN_SQL |= {
+    "bam_round_trip": f"SELECT CAST(sample_idx AS BIGINT) AS sample_idx, qname, CAST(flags AS BIGINT) AS flags, chrom, pos, CAST(mapq AS BIGINT) AS mapq, cigar, CAST(nh AS BIGINT) AS nh, mate_chrom FROM ({fixtures.ALIGNMENTS_SQL})",
+    "bam_blocks": f"WITH aln AS ({fixtures.ALIGNMENTS_SQL}), blk AS ({oracle.BLOCKS_SQL}) SELECT qname, CAST(flags AS BIGINT) AS flags, pos, pos+1+off AS b_start, pos+off+len AS b_end FROM aln JOIN blk USING (cigar)",
+    "bam_gene_counts": oracle.counts_sql(PAIRED),
+    "count_table_file": f"""{_FA}, n AS {_COUNT(_FRACTION)}, o AS (SELECT gene_id, min(feat_ord) AS o FROM features GROUP BY 1), m AS ({PLAIN_SQL["gene_metadata"]}), l AS ({PLAIN_SQL["collapsed_gene_length"]}),
+p AS (SELECT gene_id, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM o LEFT JOIN n USING (gene_id) GROUP BY gene_id)
+SELECT row_number() OVER (ORDER BY o.o) - 1 AS line, gene_id, chr, starts, ends, strands, CAST(length AS VARCHAR) AS length, printf('%.6f', CAST(a AS DOUBLE) / 1000000) AS a, printf('%.6f', CAST(b AS DOUBLE) / 1000000) AS b
+FROM o JOIN m USING (gene_id) JOIN l USING (gene_id) JOIN p USING (gene_id)""",
+    "exon_table_file": f"""{_FA}, o AS ({_ORD} features), n AS {_COUNT(C(feature_level=True))}, p AS (SELECT feat_ord, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM n GROUP BY feat_ord)
+SELECT row_number() OVER (ORDER BY co, f_start, feat_ord) - 1 AS line, gene_id, concat(gene_id, ':E', lpad(CAST(row_number() OVER (PARTITION BY gene_id ORDER BY co, f_start, feat_ord) AS VARCHAR), 3, '0')) AS exon_id,
+ CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM o JOIN p USING (feat_ord)""",
+    "summary_file": f"SELECT ord AS line, status, CAST(n AS VARCHAR) AS n, printf('%.2f%%', 100.0 * n / sum(n) OVER ()) AS pct FROM ({PLAIN_SQL['summary_table']})",
+}
+
 
 def queries() -> dict[str, Query]:
     return PLAIN | {k: _counts(c) for k, c in COUNTS.items()} | {k: _status(c) for k, c in STATUS.items()}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from locusflow.config import CountConfig
@@ -13,15 +14,46 @@ from locusflow.operators.pairing import fragments
 from locusflow.operators.resolve import resolve
 
 
-@dataclass
 class CountResult:
-    counts: DataFrame
-    status: DataFrame
-    resolved: DataFrame
+    """Lazy tables, each planned when it is asked for, and each one pass over the reads.
+
+    ``counts`` passes only what hits a feature. ``resolved`` has each fragment with
+    its status, and each read that a filter took, marked ``filtered``.
+    """
+
+    def __init__(self, reads: DataFrame, features: DataFrame, cfg: CountConfig):
+        self.reads, self.features, self.cfg = reads, features, cfg
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return count_targets(resolve(fragments(self.reads, self.cfg).drop("qname"), self.features, self.cfg, unhit=False), self.cfg)
+
+    @cached_property
+    def status(self) -> DataFrame:
+        return count_status(resolve(fragments(self.reads, self.cfg, dropped=True).drop("qname"), self.features, self.cfg))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return resolve(fragments(self.reads, self.cfg, dropped=True), self.features, self.cfg)
 
 
 def count_reads(alignments: DataFrame, features: DataFrame, chroms: DataFrame, cfg: CountConfig) -> CountResult:
     """Lazy plan for any number of samples at once; ``sample_idx`` tells them apart."""
-    reads = classify(alignments, chroms, cfg)
-    done = resolve(fragments(reads, cfg), features, cfg)
-    return CountResult(count_targets(done, cfg), count_status(reads, done), done)
+    return CountResult(classify(alignments, chroms, cfg), features, cfg)
+
+
+class KeptResult(CountResult):
+    """As ``CountResult``, where all tables are wanted: the reads are gone through once and their outcomes kept.
+
+    Outcomes are a few numbers per read, held in memory and on the executors' disks.
+    """
+
+    def __init__(self, reads: DataFrame, features: DataFrame, cfg: CountConfig, details: bool):
+        super().__init__(reads, features, cfg)
+        frags = fragments(reads, cfg, dropped=True)
+        self.resolved = resolve(frags if details else frags.drop("qname"), features, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+        self.counts, self.status = count_targets(self.resolved, cfg), count_status(self.resolved)
+
+
+def count_once(alignments: DataFrame, features: DataFrame, chroms: DataFrame, cfg: CountConfig, details: bool = False) -> KeptResult:
+    return KeptResult(classify(alignments, chroms, cfg), features, cfg, details)

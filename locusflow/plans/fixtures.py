@@ -6,10 +6,18 @@ same text, so both engines count the same reads.
 
 from __future__ import annotations
 
+import re
+import struct
+import tempfile
+import uuid
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusflow.sources.annotation import Annotation
+from locusflow.sources.bam import CIGAR_OPS, open_output
 
 FEATURES_SQL = """
 SELECT p_partkey AS feat_ord, concat('chr', p_partkey % 20) AS chrom,
@@ -20,8 +28,7 @@ SELECT p_partkey AS feat_ord, concat('chr', p_partkey % 20) AS chrom,
 FROM part"""
 
 ALIGNMENTS_SQL = """
-SELECT l_orderkey * 1048576 + ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_quantity,
-    l_extendedprice,l_discount,l_tax,l_shipdate,l_returnflag,l_linestatus) AS file_ord,
+SELECT l_orderkey * 1048576 + rn AS file_ord,
   CAST(l_orderkey % 2 AS INT) AS sample_idx,
   concat('q', l_orderkey, ':', CAST(FLOOR((l_linenumber-1)/2) AS BIGINT)) AS qname,
   1 + CASE WHEN CAST(ROUND(l_tax*100) AS INT)=8 AND l_linenumber=7 THEN 4 ELSE 0 END
@@ -42,27 +49,86 @@ SELECT l_orderkey * 1048576 + ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER B
   CASE CAST(l_partkey%6 AS INT) WHEN 0 THEN '50M' WHEN 1 THEN '20M200N30M' WHEN 2 THEN '5S45M'
        WHEN 3 THEN '20M2D28M' WHEN 4 THEN '20M3I27M' ELSE '25M600N25M' END AS cigar,
   CASE CAST(ROUND(l_discount*100) AS INT) WHEN 10 THEN 3 WHEN 9 THEN 2 ELSE 1 END AS nh
-FROM lineitem"""
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_quantity,
+    l_extendedprice,l_discount,l_tax,l_shipdate,l_returnflag,l_linestatus) AS rn FROM lineitem)"""
 
 
 def _sql(spark: SparkSession, sql: str, table: str, sf_dir: str) -> DataFrame:
-    head, _, _ = sql.rpartition(f"FROM {table}")
-    return spark.sql(head + "FROM {src}", src=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    head, _, tail = sql.rpartition(f"FROM {table}")
+    return spark.sql(head + "FROM {src}" + tail, src=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def annotation(spark: SparkSession, sf_dir: str) -> Annotation:
     """Features of ``part``; ordinals as the annotation reader gives them."""
     raw = _sql(spark, FEATURES_SQL, "part", sf_dir)
-    number = lambda *o: (F.row_number().over(Window.orderBy(*o)) - 1).cast("bigint")
-    genes = raw.groupBy("gene_id").agg(F.min("feat_ord").alias("o")).select("gene_id", number("o").alias("gene_ord"))
-    chroms = raw.groupBy("chrom").agg(F.min("feat_ord").alias("o")).select("chrom", number("o").cast("int").alias("chrom_ord"))
-    rows = raw.join(genes, "gene_id").join(chroms, "chrom")
+    first = lambda c: F.min("feat_ord").over(Window.partitionBy(c))
+    rank = lambda c: (F.dense_rank().over(Window.orderBy(c)) - 1).cast("bigint")
+    rows = raw.withColumns({"_chrom": first("chrom"), "_gene": first("gene_id")}).withColumns({"chrom_ord": rank("_chrom").cast("int"), "gene_ord": rank("_gene")})
+    number = (F.row_number().over(Window.orderBy("chrom_ord", "f_start", "feat_ord")) - 1).cast("bigint")
     features = rows.select(
-        number("chrom_ord", "f_start", "feat_ord").alias("feature_idx"), "gene_ord", "gene_id", "chrom_ord", "chrom",
+        number.alias("feature_idx"), "gene_ord", "gene_id", "chrom_ord", "chrom",
         F.col("f_start").alias("start"), F.col("f_end").alias("end"), "strand", F.col("feat_ord").alias("line_ord"),
-    )
-    return Annotation(features, genes, chroms)
+    ).cache()  # fmt: skip  # as the reader keeps it: it grows with the genome, not with the reads
+    return Annotation(features, features.select("gene_id", "gene_ord").distinct(), features.select("chrom", "chrom_ord").distinct())
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, ALIGNMENTS_SQL, "lineitem", sf_dir)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``; only a local run may do without."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not top and "cluster" not in spark.sparkContext.master and spark.sparkContext.master.startswith("local"):
+        top = tempfile.mkdtemp(prefix="locusflow-")
+    if not top:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+CONTIGS = [*(f"chr{i}" for i in range(20)), "chrUn"]
+
+
+def bam_record(r: dict) -> bytes:
+    """One alignment as BAM bytes, with its NH tag after a text and an array tag."""
+    ops = [int(n) << 4 | CIGAR_OPS.index(o) for n, o in re.findall(f"([0-9]+)([{CIGAR_OPS}])", r["cigar"])]
+    name, place = r["qname"].encode() + b"\0", [CONTIGS.index(r[c]) for c in ("chrom", "mate_chrom")]
+    body = struct.pack("<iiBBHHHiiii", place[0], r["pos"], len(name), r["mapq"], 0, len(ops), r["flags"], 0, place[1], -1, 0)
+    body += name + struct.pack(f"<{len(ops)}I", *ops) + b"MDZ50\0XBBs" + struct.pack("<I2h", 2, 1, 2) + b"NHi" + struct.pack("<i", r["nh"])
+    return struct.pack("<i", len(body)) + body
+
+
+def bgzf_block(data: bytes) -> bytes:
+    c = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = c.compress(data) + c.flush()
+    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def bam_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The alignments as BAM files, one a sample, written by the executors into a shared folder."""
+    folder = shared_folder(spark)
+    head = b"BAM\x01" + struct.pack("<ii", 0, len(CONTIGS)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 1 << 28) for c in CONTIGS)
+
+    def run(batches):
+        out, path, held, done = None, "", b"", []
+        for b in batches:
+            for r in b.to_pylist():
+                if out is None or r["sample_idx"] != done[-1][0]:
+                    if out is not None:
+                        out.write(bgzf_block(held) + bgzf_block(b""))
+                        out.close()
+                    path = f"{folder}/{uuid.uuid4().hex}.bam"
+                    out, held = open_output(path), head
+                    done.append((r["sample_idx"], path))
+                held += bam_record(r)
+                while len(held) >= 60_000:
+                    out.write(bgzf_block(held[:60_000]))
+                    held = held[60_000:]
+        if out is not None:
+            out.write(bgzf_block(held) + bgzf_block(b""))
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([p for _, p in done], pa.string())], names=["sample_idx", "path"])
+
+    rows = alignments(spark, sf_dir).repartition("sample_idx").sortWithinPartitions("sample_idx", "file_ord")
+    return [r.path for r in rows.mapInArrow(run, "sample_idx int, path string").orderBy("sample_idx").collect()]

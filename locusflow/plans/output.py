@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import os
 from collections.abc import Iterable
+from contextlib import nullcontext
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,13 @@ from locusflow.operators.counts import MICRO, summary
 from locusflow.operators.gene_metadata import count_matrix, exon_numbers, gene_metadata
 from locusflow.plans.count import CountResult
 from locusflow.sources.annotation import Annotation
+from locusflow.sources.bam import open_output
 
 
 def _write(path: str, lines: Iterable[str]) -> None:
-    with (gzip.open if path.endswith(".gz") else open)(path, "wt", encoding="utf-8", newline="\n") as f:
-        f.writelines(x + "\n" for x in lines)
+    with open_output(path) as raw, gzip.GzipFile(fileobj=raw, mode="wb") if path.endswith(".gz") else nullcontext(raw) as f:
+        for part in batched(lines, 1000):
+            f.write("".join(x + "\n" for x in part).encode())
 
 
 def _value(name: str, cfg: CountConfig):
@@ -70,4 +74,4 @@ def write_summary(spark, status: DataFrame, path: str) -> list[tuple[str, int, f
 
 def write_details(result: CountResult, path: str) -> None:
     """Each fragment with its status and targets, as Parquet."""
-    result.resolved.write.mode("overwrite").parquet(path)
+    result.resolved.where("not filtered").drop("filtered").write.mode("overwrite").parquet(path)

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import gzip
+import io
 from dataclasses import dataclass
+from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from locusflow.config import CountConfig
+from locusflow.sources.bam import open_input
 
 DETECT_LINES = 10_000
+#: Bytes of lines that a stream hands on at once.
+LINE_BATCH = 1 << 20
 # Feature types to fall back on, best first.
 PREFERRED_TYPES = ("exon", "exonic_part", "CDS", "gene")
 
@@ -22,18 +29,56 @@ class Annotation:
     chroms: DataFrame
 
 
+def is_gzipped(path: str) -> bool:
+    """Whether a file begins as gzip does; two bytes are read."""
+    with open_input(path) as f:
+        return f.read(2) == b"\x1f\x8b"
+
+
+class LineReader(DataSourceReader):
+    """Lines of one file as a stream: gzip cannot be cut, so one task inflates it batch by batch."""
+
+    def __init__(self, options):
+        self.path, self.packed = options["path"], options["packed"] == "true"
+
+    def partitions(self):
+        return [InputPartition(0)]
+
+    def read(self, _):
+        with open_input(self.path) as raw, gzip.GzipFile(fileobj=raw) if self.packed else io.BufferedReader(raw) as f:
+            for b in count():
+                lines = f.readlines(LINE_BATCH)
+                if not lines:
+                    return
+                texts = pa.array([x.rstrip(b"\n").decode("utf-8", "replace") for x in lines], pa.string())
+                places = pa.StructArray.from_arrays([pa.array([b] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int64())], names=["b", "i"])
+                yield pa.RecordBatch.from_arrays([texts, places], names=["value", "line_ord"])
+
+
+class LineSource(DataSource):
+    """A text file that is gzipped, or is not, though its name says otherwise."""
+
+    @classmethod
+    def name(cls):
+        return "annotation_lines"
+
+    def schema(self):
+        return "value string, line_ord struct<b:bigint,i:bigint>"
+
+    def reader(self, schema):
+        return LineReader(self.options)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line_ord) of a text file, plain or gzipped.
+    """(value, line_ord) of a text file, plain or gzipped; ``line_ord`` orders rows as the file does.
 
-    Spark inflates by file name; a gzipped file with another name is told by its
-    first bytes and inflated member by member. ``line_ord`` orders rows as the file does.
+    Spark inflates by the file's name. Where its first bytes say otherwise, it is read as a stream.
     """
-    magic = spark.read.format("binaryFile").load(path).select(F.col("path"), F.hex(F.substring("content", 1, 2)).alias("m"))
-    named = path.endswith((".gz", ".bgz"))
-    if not named and magic.where("m = '1F8B'").limit(1).count():
-        inflate = F.udf(lambda b: gzip.decompress(bytes(b)).decode("utf-8", "replace"), "string")
-        whole = spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(inflate("content"), "\n")).alias("i", "value"))
-        return whole.select(F.regexp_replace("value", "\r$", "").alias("value"), F.struct(F.lit(0).cast("bigint").alias("b"), F.col("i").cast("bigint").alias("i")).alias("line_ord"))
+    packed = is_gzipped(path)
+    if packed != path.endswith(".gz"):
+        spark.dataSource.register(LineSource)
+        text = spark.read.format("annotation_lines").option("packed", str(packed).lower()).load(path)
+        return text.select(F.regexp_replace("value", "\r$", "").alias("value"), "line_ord")
     text = spark.read.option("lineSep", "\n").text(path)
     order = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     return text.select(F.regexp_replace("value", "\r$", "").alias("value"), order.alias("line_ord"))

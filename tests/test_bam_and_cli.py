@@ -1,17 +1,29 @@
 import gzip
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusflow import cli
-from locusflow.sources.bam import detect_paired, nh_tag, read_bam
+from locusflow.functions.cigar import cigar_blocks
+from locusflow.sources.annotation import detect_types, read_lines
+from locusflow.sources.bam import Range, detect_paired, nh_tags, read_bam, read_range
 from tests import bam_writer as bw
 
 
+def nh_tag(tags):
+    raw = np.frombuffer(b"xx" + tags + b"NHC\x09", np.uint8)  # what follows the record is no tag of it
+    return int(nh_tags(raw, np.array([2]), np.array([2 + len(tags)]))[0])
+
+
 def test_nh_tag():
     md = b"MDZ100\0" + b"SAZx,1\0" + b"XBBi" + struct.pack("<iii", 2, 1, 2)
     assert nh_tag(md + b"NHC\xff") == 255 and nh_tag(md + b"NHS" + struct.pack("<H", 300)) == 300
     assert nh_tag(b"NHi" + struct.pack("<i", 70000)) == 65535 and nh_tag(b"NHi" + struct.pack("<i", -4)) == 1
+    many = [md + b"NHC\x07", b"", b"NHc\xff", b"XXA1NHI" + struct.pack("<I", 1 << 31), b"XXBc" + struct.pack("<I", 3) + b"abcNHs\x05\x00", b"XXBA\1\0\0\0aNHC\x05", b"XXZnoend", b"NHi\1"]
+    ends = np.cumsum([len(x) for x in many])
+    assert nh_tags(np.frombuffer(b"".join(many), np.uint8), ends - [len(x) for x in many], ends).tolist() == [7, 1, 1, 65535, 5, 1, 1, 1] == [nh_tag(x) for x in many]
     assert nh_tag(b"NHZ5\0") == nh_tag(b"XX?1NHC\x05") == nh_tag(b"") == 1
 
 
@@ -25,7 +37,50 @@ def test_round_trip_whole_and_split(spark, tmp_path, split):
     assert [(r.qname, r.flags, r.chrom, r.pos, r.mapq, r.cigar, r.mate_chrom, r.nh) for r in rows] == [
         (q, f, f"chr{c + 1}", p, m, g, f"chr{x + 1}", t[3]) for q, f, c, p, m, g, x, t, _ in recs
     ]
-    assert detect_paired(df) and (split > 1 << 20 or df.rdd.getNumPartitions() > 5)
+    assert detect_paired(path) and (split > 1 << 20 or df.rdd.getNumPartitions() > 5)
+
+
+def test_records_of_any_size_at_any_split(spark, tmp_path):
+    """Long reads among short ones: each split finds just the records that begin in its blocks."""
+    rng, recs = np.random.default_rng(2), []
+    for i in range(60):
+        long = 700_000 if i % 20 == 7 else int(rng.integers(0, 300))
+        body = bw.record(f"r{i}", 1, i % 2, i, 9, "10M5N3M", 0, rng.integers(0, 256, 10, np.uint8).tobytes() * 0, long)
+        noise = bytearray(body)
+        noise[-long:] = rng.integers(0, 256, long, np.uint8).tobytes() if long else noise[-long:]
+        recs.append(bytes(noise))
+    path = str(tmp_path / "long.bam")
+    bw.write(path, ["c1", "c2"], recs, size=60_000)
+    n, fields = (tmp_path / "long.bam").stat().st_size, ["file_ord", "qname", "pos"]
+    whole = [r for b in read_range(Range(0, path, 0, n), fields) for r in b.to_pylist()]
+    assert [r["qname"] for r in whole] == [f"r{i}" for i in range(60)]
+    for split in (1 << 14, 1 << 16, 300_000, 1 << 20):
+        got = [r for a in range(0, n, split) for b in read_range(Range(0, path, a, min(n, a + split)), fields) for r in b.to_pylist()]
+        assert got == whole
+
+
+def test_blocks_equal_those_of_the_cigar_text(spark, tmp_path):
+    cigars = ["10M", "", "5S10M2D3I5M4H", "50M100N50M", "5N10M5N", "3N", "10I", "2M3N4M5N6M", "7=2X1D", "3D4N5M"]
+    path = str(tmp_path / "c.bam")
+    bw.write(path, ["c"], [bw.record(f"r{i}", 0, 0, i * 10 - (i == 3), 9, c) for i, c in enumerate(cigars * 3)])
+    for r in read_bam(spark, [path]).select("blocks", cigar_blocks(F.col("cigar"), F.col("pos")).alias("again")).collect():
+        assert r.blocks == r.again
+    assert read_bam(spark, [path], fields=["flags", "qname"]).columns == ["flags", "qname"]
+
+
+def test_detection_reads_the_head_only(tmp_path):
+    path = str(tmp_path / "h.bam")
+    bw.write(path, ["c"], [bw.record(f"r{i}", int(i == 1500), 0, 1, 9, "5M") for i in range(3000)])
+    assert not detect_paired(path) and detect_paired(path, 1501)
+
+
+def test_annotation_names_that_mislead(spark, tmp_path):
+    text = "".join(f'chr1\tx\t{"gene" if i < 10_050 else "exon"}\t{i}\t{i + 5}\t.\t+\t.\tgene_id "g{i}";\n' for i in range(10_100))
+    for name, data in (("a.data", gzip.compress(text.encode())), ("b.gtf.gz", text.encode()), ("c.gz", gzip.compress(text[:90_000].encode()) + gzip.compress(text[90_000:].encode())), ("d.txt", text.encode())):
+        (tmp_path / name).write_bytes(data)
+        lines = read_lines(spark, str(tmp_path / name))
+        assert [r.value for r in lines.orderBy("line_ord").collect()] == text.splitlines()
+        assert detect_types(lines) == ["gene"]  # the exons stand after the first ten thousand lines
 
 
 def test_truncated_and_wrong_files(spark, tmp_path):
