@@ -3,7 +3,10 @@
 An entity's surrogate is a keyed permutation of its letters and digits within
 their kinds, so equal entities get equal surrogates everywhere and different ones
 different surrogates. Letters of scripts without groups of their own are exchanged
-within their block of the character table. Emails, phone, card, account and identity numbers, IP
+within their block of the character table. Of a titled name the given name and the surname are
+entities of their own, so a surname has one surrogate with or without a given name; a given
+name is replaced by one of its gender, which the lists or else the title tell. Check digits
+stay right, private addresses private. Emails, phone, card, account and identity numbers, IP
 addresses, secrets and titled names are found. A global check gives further tries
 to surrogates that equal some real entity or one another, until none does; after
 ROUNDS tries surrogates grow longer, so that free ones do not run out.
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.common import cut, documents, row_id, texts
 
+#: The key of the registered query and of tests; whoever publishes surrogates passes a secret one.
 KEY = b"surrogate-key-1"
 #: Entities that need a further try are broadcast up to this number and joined to their documents beyond it.
 BROADCAST_FIXES = 50_000
@@ -35,6 +39,10 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))(?![\w]|\.[0-9])",
     "card": r"(?<![\w])(?P<card>[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7})(?![\w])",
 }
+# Titles that tell a gender; 0 for women, 1 for men.
+GENDER = dict.fromkeys("Mrs Ms Miss Frau Madame Mme Señora Sra".split(), 0) | dict.fromkeys("Mr Herr Monsieur Señor Sr".split(), 1)
+# Private address ranges as (first address, bits that are free).
+PRIVATE = ((10 << 24, 24), (127 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16))
 NAME = re.compile(r"(?<![\w])(?P<title>Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Dr)\.? (?P<name>[^\W\d_]+(?: [^\W\d_]+)?)")
 # Given names by gender and script; a surrogate comes from the same list.
 GIVEN = (
@@ -52,26 +60,29 @@ FIND = re.compile("|".join(PATTERNS.values()))
 _QUICK = re.compile(r"[0-9@]|(?i:token|secret|password|passwd|api.?key)")
 
 
-def _number(kind: str, tweak: str, round_: int, half: str, size: int) -> int:
-    return int.from_bytes(blake2b(f"{kind}\0{tweak}\0{round_}\0{half}".encode(), key=KEY, digest_size=16).digest(), "big") % size
+def _number(kind: str, tweak: str, round_: int, half: str, size: int, key: bytes) -> int:
+    return int.from_bytes(blake2b(f"{kind}\0{tweak}\0{round_}\0{half}".encode(), key=key, digest_size=16).digest(), "big") % size
 
 
-def permute(symbols: str, alphabet: str, kind: str, tweak: str) -> str:
-    """A keyed permutation of strings of one length over an alphabet: eight rounds of a Feistel sum."""
+def permute_number(v: int, low: int, high: int, kind: str, tweak: str, key: bytes) -> int:
+    """A keyed permutation of 0 .. low * high - 1: eight rounds of a Feistel sum of two parts."""
+    x, y = v % low, v // low
+    for i in range(8):
+        if i % 2 and low > 1:
+            x = (x + _number(kind, tweak, i, str(y), low, key)) % low
+        elif not i % 2:
+            y = (y + _number(kind, tweak, i, str(x), high, key)) % high
+    return x + y * low
+
+
+def permute(symbols: str, alphabet: str, kind: str, tweak: str, key: bytes = KEY) -> str:
+    """A keyed permutation of strings of one length over an alphabet."""
     n, r = len(symbols), len(alphabet)
     if not n:
         return ""
-    u = n // 2
-    a, b = ([alphabet.index(c) for c in part] for part in (symbols[:u], symbols[u:]))
-    whole = lambda part: sum(x * r**i for i, x in enumerate(part))
-    x, y = whole(a), whole(b)
-    for i in range(8):
-        if i % 2 and u:
-            x = (x + _number(kind, f"{tweak}{n}", i, str(y), r**u)) % r**u
-        elif not i % 2:
-            y = (y + _number(kind, f"{tweak}{n}", i, str(x), r ** (n - u))) % r ** (n - u)
-    spell = lambda v, k: "".join(alphabet[v // r**i % r] for i in range(k))
-    return spell(x, u) + spell(y, n - u)
+    v = sum(alphabet.index(c) * r**i for i, c in enumerate(symbols))
+    v = permute_number(v, r ** (n // 2), r ** (n - n // 2), kind, f"{tweak}{n}", key)
+    return "".join(alphabet[v // r**i % r] for i in range(n))
 
 
 @cache
@@ -84,9 +95,9 @@ def block_of(c: str) -> str:
     return "".join(filter(fits, map(chr, range(*own))))
 
 
-def longer(value: str, kind: str, tweak: str, alphabet: str, n: int) -> str:
+def longer(value: str, kind: str, tweak: str, alphabet: str, n: int, key: bytes) -> str:
     """``n`` keyed symbols of an alphabet, to make a surrogate longer."""
-    return "".join(alphabet[_number(kind, f"{tweak}+{value}", i, "", len(alphabet))] for i in range(n))
+    return "".join(alphabet[_number(kind, f"{tweak}+{value}", i, "", len(alphabet), key)] for i in range(n))
 
 
 def luhn(digits: str) -> bool:
@@ -94,19 +105,24 @@ def luhn(digits: str) -> bool:
     return sum(d[-1::-2]) % 10 + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2]) % 10 in (0, 10)
 
 
-def exchange(value: str, kind: str, tweak: str, groups=GROUPS) -> str:
+def mod_97(iban: str) -> int:
+    """The remainder that is 1 for right check digits: the first four places at the end, letters as 10 to 35."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def exchange(value: str, kind: str, tweak: str, groups=GROUPS, key: bytes = KEY) -> str:
     """Each group's symbols of a lower-cased value permuted among themselves; others stay in place."""
     out = list(value)
     for g in groups:
         at = [i for i, c in enumerate(value) if c in g]
-        for i, c in zip(at, permute("".join(value[i] for i in at), g, kind, tweak), strict=True):
+        for i, c in zip(at, permute("".join(value[i] for i in at), g, kind, tweak, key), strict=True):
             out[i] = c
     rest: dict[str, list[int]] = {}
     for i, c in enumerate(value):
         if not any(c in g for g in groups) and block_of(c):
             rest.setdefault(block_of(c), []).append(i)
     for g, at in rest.items():
-        for i, c in zip(at, permute("".join(value[i] for i in at), g, kind, tweak), strict=True):
+        for i, c in zip(at, permute("".join(value[i] for i in at), g, kind, tweak, key), strict=True):
             out[i] = c
     return "".join(out)
 
@@ -120,54 +136,86 @@ def gender_list(word: str):
     return next((g for g in GIVEN if word.capitalize() in g), None)
 
 
-def surrogate_of(kind: str, value: str, attempt: int = 0) -> str:
+def address_of(value: str, attempt: int, key: bytes) -> str:
+    """An address of the same range: private ones stay within theirs, others outside all of these.
+
+    A private range may be full of real addresses, so later tries go over to 10.0.0.0 and then to all.
+    """
+    n = 0
+    for part in value.split("."):
+        n = n << 8 | int(part)
+    inside = lambda v: next(((at, bits) for at, bits in PRIVATE if at <= v < at + (1 << bits)), None)
+    own, tweak = inside(n), str(attempt)
+    if own and attempt <= 2 * ROUNDS:
+        at, bits = own if attempt <= ROUNDS else PRIVATE[0]
+        v = at + permute_number((n ^ at) % (1 << bits), 1 << bits // 2, 1 << bits - bits // 2, "ip", tweak, key)
+    else:
+        v = permute_number(n, 1 << 16, 1 << 16, "ip", tweak, key)
+        while inside(v):  # walks on along the permutation's cycle, so different addresses stay apart
+            v = permute_number(v, 1 << 16, 1 << 16, "ip", tweak, key)
+    return ".".join(str(b) for b in v.to_bytes(4, "big"))
+
+
+def given_name(kind: str, value: str, attempt: int, key: bytes) -> str:
+    """A given name of the gender that ``kind`` names.
+
+    Listed names change places within their list. Others become several names of the
+    list joined by hyphens, one more with each try, so that free ones do not run out.
+    """
+    own = gender_list(value)
+    if own and not attempt:
+        keyed = sorted(own, key=lambda w: _number(kind, "0", 0, w, 1 << 62, key))
+        return keyed[own.index(value.capitalize())].lower()
+    cyrillic = 0x400 <= ord(value[0]) < 0x530
+    names = GIVEN[int(kind[-1]) + 2 * cyrillic]
+    return "-".join(names[_number(kind, f"{attempt} {value}", i, "", len(names), key)].lower() for i in range(2 + attempt))
+
+
+def surrogate_of(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The surrogate of a normal form, in normal form; after ROUNDS attempts a longer one, except of IP addresses."""
     tweak = str(attempt)
-    more = 0 if attempt <= ROUNDS or kind == "ip" else attempt - ROUNDS + 1
-    if more:
+    if kind == "ip":
+        return address_of(value, attempt, key)
+    if kind in ("given0", "given1"):
+        return given_name(kind, value, attempt, key)
+    if attempt > ROUNDS:
+        more = attempt - ROUNDS + 1
         digits = kind in ("card", "phone", "iban", "ssn")
         alphabet = "0123456789" if digits else HEX if kind == "secret" else next((a for a in (block_of(value[-1]), *GROUPS[1:]) if value[-1] in a), GROUPS[1])
         if kind == "card":
-            new = exchange(value, kind, tweak) + longer(value, kind, tweak, alphabet, more)
+            new = exchange(value, kind, tweak, key=key) + longer(value, kind, tweak, alphabet, more, key)
             return next(new + c for c in "0123456789" if luhn(new + c) == luhn(value))
-        new, end = surrogate_of(kind, value, attempt - ROUNDS - 1), longer(value, kind, tweak, alphabet, more)
+        new, end = surrogate_of(kind, value, attempt - ROUNDS - 1, key), longer(value, kind, tweak, alphabet, more, key)
         if kind == "email":
             local, _, domain = new.partition("@")
-            return local + longer(value, kind, tweak, GROUPS[2], more) + "@" + domain
-        return new + end
-    if kind == "ip":
-        n = 0
-        for part in value.split("."):
-            n = n << 8 | int(part)
-        x, y = n >> 16, n & 0xFFFF
-        for i in range(8):
-            x, y = y, (x + _number(kind, tweak, i, str(y), 1 << 16)) % (1 << 16)
-        return ".".join(str(b) for b in (x << 16 | y).to_bytes(4, "big"))
+            return local + longer(value, kind, tweak, GROUPS[2], more, key) + "@" + domain
+        return checked_iban(new + end) if kind == "iban" and mod_97(value) == 1 else new + end
     if kind == "email":
         local, _, domain = value.partition("@")
         host, dot, tld = domain.rpartition(".")
-        return exchange(local, kind, f"{tweak}l{domain}") + "@" + exchange(host, kind, "d" if not attempt else tweak) + dot + tld
+        return exchange(local, kind, f"{tweak}l{domain}", key=key) + "@" + exchange(host, kind, "d" if not attempt else tweak, key=key) + dot + tld
     if kind == "phone":
         head = next((h for h in ("+1",) if value.startswith(h)), value[:3] if value.startswith("+") else "")
-        return head + exchange(value[len(head) :], kind, tweak)
+        return head + exchange(value[len(head) :], kind, tweak, key=key)
     if kind == "iban":
-        return value[:2] + exchange(value[2:], kind, tweak)
+        if mod_97(value) == 1:
+            return checked_iban(value[:4] + exchange(value[4:], kind, tweak, key=key))
+        new = value[:2] + exchange(value[2:], kind, tweak, key=key)
+        return new if mod_97(new) != 1 else surrogate_of(kind, new, attempt, key)
     if kind == "card":
         if not luhn(value):
-            new = exchange(value, kind, tweak)
-            return new if not luhn(new) else surrogate_of(kind, new, attempt)
-        body = exchange(value[:-1], kind, tweak)
+            new = exchange(value, kind, tweak, key=key)
+            return new if not luhn(new) else surrogate_of(kind, new, attempt, key)
+        body = exchange(value[:-1], kind, tweak, key=key)
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "secret" and all(c in HEX for c in value):
-        return exchange(value, kind, tweak, (HEX,))
-    if kind == "name":
-        words = value.split(" ")
-        own = gender_list(words[0]) if len(words) > 1 else None
-        if own:
-            keyed = sorted(own, key=lambda w: _number(kind, tweak + words[1], 0, w, 1 << 62))
-            words[0] = keyed[own.index(words[0].capitalize())].lower()
-            return words[0] + " " + exchange(words[1], kind, tweak + "s")
-    return exchange(value, kind, tweak)
+        return exchange(value, kind, tweak, (HEX,), key)
+    return exchange(value, kind, tweak, key=key)
+
+
+def checked_iban(iban: str) -> str:
+    """The IBAN with the check digits that its other places ask for."""
+    return f"{iban[:2]}{98 - mod_97(iban[:2] + '00' + iban[4:]):02d}{iban[4:]}"
 
 
 def redress(kind: str, shown: str, new: str) -> str:
@@ -175,9 +223,9 @@ def redress(kind: str, shown: str, new: str) -> str:
     out, chars = [], iter(new)
     if kind in ("card", "phone", "iban"):
         new = "".join(next(chars) if not re.match(r"[ .()|-]", c) else c for c in shown) + "".join(chars)
-    if len(new) != len(shown) or kind == "name":
-        if kind == "name":
-            return shown.upper() and " ".join(w.upper() if s.isupper() and len(s) > 1 else w.capitalize() for w, s in zip(new.split(" "), shown.split(" "), strict=True))
+    if kind == "name" or kind.startswith("given"):
+        return "-".join(w.upper() if shown.isupper() and len(shown) > 1 else w.capitalize() for w in new.split("-"))
+    if len(new) != len(shown):
         return new.upper() if shown.isupper() else new
     for c, s in zip(new, shown, strict=True):
         out.append(c.upper() if s.isupper() else c)
@@ -185,7 +233,11 @@ def redress(kind: str, shown: str, new: str) -> str:
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all entities of a text, in order, without overlaps."""
+    """(start, end, kind) of all entities of a text, in order, without overlaps.
+
+    A name's parts are apart: ``given0`` and ``given1`` are given names of women and
+    men, ``given`` those of no known gender, ``name`` is a surname or all that is said.
+    """
     if not text:
         return []
     found = [(*m.span(m.lastgroup), m.lastgroup) for m in FIND.finditer(text)] if _QUICK.search(text) else []
@@ -195,20 +247,26 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
         capital = [w[0] == w[0].title() for w in words]  # as are letters of scripts without case
         kept = words[: 2 if capital[-1] else 1]
         if capital[0] and not any(a < y and x < b for x, y, _ in found):
-            found.append((a, a + len(" ".join(kept)), "name"))
+            if len(kept) > 1:
+                own = gender_list(kept[0])
+                gender = GIVEN.index(own) % 2 if own else GENDER.get(m.group("title"), "")
+                fits = own or kept[0].isascii() or 0x400 <= ord(kept[0][0]) < 0x530
+                found.append((a, a + len(kept[0]), f"given{gender if fits else ''}"))
+            found.append((a + len(" ".join(kept)) - len(kept[-1]), a + len(" ".join(kept)), "name"))
     return sorted(found)
 
 
-def replace(text: str | None, attempts: dict) -> tuple[str | None, int, int]:
-    """The text with surrogates, and how many mentions and distinct entities it has."""
-    out, end, seen = [], 0, set()
+def replace(text: str | None, attempts: dict, key: bytes = KEY) -> tuple[str | None, int, int]:
+    """The text with surrogates, and how many mentions and distinct entities it has; a given name counts with its surname."""
+    out, end, seen = [], 0, []
     found = entities(text)
     for a, b, kind in found:
         value = normal(kind, text[a:b])
-        seen.add((kind, value))
-        out += [text[end:a], redress(kind, text[a:b], surrogate_of(kind, value, attempts.get((kind, value), 0)))]
+        if not kind.startswith("given"):
+            seen.append((kind, value))
+        out += [text[end:a], redress(kind, text[a:b], surrogate_of(kind, value, attempts.get((kind, value), 0), key))]
         end = b
-    return (text if not found else "".join(out) + text[end:]), len(found), len(seen)
+    return (text if not found else "".join(out) + text[end:]), len(seen), len(set(seen))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -223,27 +281,27 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, kind string, value string")
 
 
-def with_surrogates(values: DataFrame) -> DataFrame:
+def with_surrogates(values: DataFrame, key: bytes) -> DataFrame:
     """``values`` (kind, value, attempt) with ``new``."""
 
     def run(batches):
         for b in batches:
             k, v, a = (b.column(c).to_pylist() for c in ("kind", "value", "attempt"))
-            new = pa.array([surrogate_of(*x) for x in zip(k, v, a, strict=True)], pa.string())
+            new = pa.array([surrogate_of(*x, key) for x in zip(k, v, a, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, new], names=[*b.schema.names, "new"])
 
     return values.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, new string")
 
 
-def further_tries(values: DataFrame) -> DataFrame:
+def further_tries(values: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate is taken.
 
     ``values`` are the corpus's distinct entities. A surrogate is taken if it is
     an entity of the corpus or another entity's surrogate; of several that meet, the
-    least entity keeps it. Each round gives the losers their next try, until there are none.
+    least entity keeps it. Given names of a list may be those of others, as there are few. Each round gives the losers their next try, until there are none.
     """
-    real = values.select("kind", F.col("value").alias("new"))
-    now = cut(with_surrogates(values.withColumn("attempt", F.lit(0))))
+    real = values.where("kind not in ('given0', 'given1')").select("kind", F.col("value").alias("new"))
+    now = cut(with_surrogates(values.withColumn("attempt", F.lit(0)), key))
     while True:
         keeper = now.groupBy("kind", "new").agg(F.min("value").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("kind", "new", "keeper")
         taken = now.join(real, ["kind", "new"], "left_semi").select("kind", "value", "attempt")
@@ -251,12 +309,12 @@ def further_tries(values: DataFrame) -> DataFrame:
         bad = cut(taken.unionByName(lost).distinct())
         if not bad.limit(1).count():
             break
-        again = with_surrogates(bad.withColumn("attempt", F.col("attempt") + 1))
+        again = with_surrogates(bad.withColumn("attempt", F.col("attempt") + 1), key)
         now = cut(now.join(bad, ["kind", "value"], "left_anti").unionByName(again))
     return now.where("attempt > 0").select("kind", "value", "attempt")
 
 
-def surrogate_documents(docs: DataFrame, broadcast_fixes: int = BROADCAST_FIXES) -> DataFrame:
+def surrogate_documents(docs: DataFrame, broadcast_fixes: int = BROADCAST_FIXES, key: bytes = KEY) -> DataFrame:
     """(doc_id, text, n_mentions, n_entities): texts with their entities replaced.
 
     Null and empty texts stay as they are, repeated rows are replaced alike, an
@@ -264,7 +322,7 @@ def surrogate_documents(docs: DataFrame, broadcast_fixes: int = BROADCAST_FIXES)
     """
     rows = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), "doc_id", "text")
     found = cut(mentions(rows.select("id", "text")))
-    fixes = cut(further_tries(found.select("kind", "value").distinct()))
+    fixes = cut(further_tries(found.select("kind", "value").distinct(), key))
     few = fixes.count() <= broadcast_fixes
     table = {(r.kind, r.value): r.attempt for r in fixes.collect()} if few else {}
     shared = docs.sparkSession.sparkContext.broadcast(table)  # at most broadcast_fixes entries
@@ -275,7 +333,7 @@ def surrogate_documents(docs: DataFrame, broadcast_fixes: int = BROADCAST_FIXES)
 
     def run(batches):
         for b in batches:
-            out = [replace(t, {(x["kind"], x["value"]): x["attempt"] for x in f} if f else shared.value) for t, f in zip(texts(b), b.column("fixes").to_pylist(), strict=True)]
+            out = [replace(t, {(x["kind"], x["value"]): x["attempt"] for x in f} if f else shared.value, key) for t, f in zip(texts(b), b.column("fixes").to_pylist(), strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["doc_id", "text", "n_mentions", "n_entities"])
 
