@@ -56,11 +56,20 @@ def cut(df: DataFrame) -> DataFrame:
 _scratch: list[list[str]] = []
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _place(spark, path)
+    return system.exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, if it is there."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
+    system, where = _place(spark, path)
+    system.delete(where, True)
 
 
 @contextmanager
