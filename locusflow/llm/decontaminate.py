@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import WORD, documents, mix, odd_constants, row_id, texts, words_of
+from locusflow.llm.common import WORD, cut, documents, mix, odd_constants, row_id, texts, words_of
 
 SHINGLE, THRESHOLD, K = 5, 0.8, 32
 #: UTF-8 bytes of items that are broadcast at once; a larger benchmark is searched block by block.
@@ -143,7 +144,7 @@ class Index:
 def item_blocks(items: DataFrame, limit: int):
     """Lists of (item_id, text) of at most ``limit`` bytes each, or of one item."""
     block, used = [], 0
-    for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull()).toLocalIterator():
         n = len(r.text.encode("utf-8", "replace"))
         if block and used + n > limit:
             yield block
@@ -154,34 +155,56 @@ def item_blocks(items: DataFrame, limit: int):
         yield block
 
 
+def search(docs: DataFrame, items: DataFrame, threshold: float, block_bytes: int, schema, judge, chained: bool) -> list[DataFrame]:
+    """``judge(index, batch)`` over all rows, block by block of the benchmark.
+
+    One block's index is broadcast and held at a time: where there are several, what
+    each gives is written before the next is made. ``chained`` blocks go on from what the one
+    before left, others each look at all rows.
+    """
+    spark, out, blocks = docs.sparkSession, [], item_blocks(items, block_bytes)
+    block = next(blocks, None)
+    while block is not None:
+        index, after = spark.sparkContext.broadcast(Index.of(block, threshold)), next(blocks, None)  # at most block_bytes of text, or one item
+
+        def run(batches, index=index):
+            for b in batches:
+                yield judge(index.value, b)
+
+        found = docs.mapInArrow(run, schema)
+        if after is not None or out:
+            found = cut(found)
+            index.destroy()
+        if chained:
+            docs, out = found, [found]
+        else:
+            out.append(found)
+        block = after
+    return out
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, containment, n_shingles) of each document and item that it contains.
 
     Containment is the share of the item's distinct word shingles that the whole
     document has. Null and empty texts contain nothing and are contained nowhere,
     repeated rows match alike, rows without doc_id are told by their text, an
-    empty table on either side gives no rows.
+    empty table on either side gives no rows. Item ids may be of any type that goes to text and back.
     """
-    spark = docs.sparkSession
     source = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), "text")
-    schema = f"id long, item_id {items.schema['item_id'].dataType.simpleString()}, containment double, n_shingles int"
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(items, block_bytes):
-        index = spark.sparkContext.broadcast(Index.of(block, threshold))  # at most block_bytes of text
+    schema = "id long, item_id string, containment double, n_shingles int"
 
-        def run(batches, index=index):
-            ix = index.value
-            for b in batches:
-                rows = [(r, i, p) for r, t in enumerate(texts(b)) for i, p in ix.matches(words_of(t), threshold)]
-                ids = b.column("id")
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([r for r, _, _ in rows], pa.int64())), pa.array([ix.ids[i] for _, i, _ in rows], pa.int64()),
-                     pa.array([p for _, _, p in rows], pa.float64()), pa.array([len(ix.sets[i]) for _, i, _ in rows], pa.int32())],
-                    names=["id", "item_id", "containment", "n_shingles"],
-                )
-
-        out = out.unionByName(source.mapInArrow(run, schema))
-    return out
+    def judge(ix: Index, b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(r, i, p) for r, t in enumerate(texts(b)) for i, p in ix.matches(words_of(t), threshold)]
+        return pa.RecordBatch.from_arrays(
+            [b.column("id").take(pa.array([r for r, _, _ in rows], pa.int64())), pa.array([ix.ids[i] for _, i, _ in rows], pa.string()),
+             pa.array([p for _, _, p in rows], pa.float64()), pa.array([len(ix.sets[i]) for _, i, _ in rows], pa.int32())],
+            names=["id", "item_id", "containment", "n_shingles"],
+        )
+
+    found = search(source, items, threshold, block_bytes, schema, judge, chained=False)
+    out = reduce(DataFrame.unionByName, found, docs.sparkSession.createDataFrame([], schema))
+    return out.withColumn("item_id", F.col("item_id").cast(items.schema["item_id"].dataType))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -191,17 +214,11 @@ def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     stay, of several rows of one id only those go that contain an item, repeated
     rows go or stay alike, an empty table on either side drops nothing.
     """
-    spark = docs.sparkSession
-    for block in item_blocks(items, block_bytes):
-        index = spark.sparkContext.broadcast(Index.of(block, threshold))  # at most block_bytes of text
 
-        def run(batches, index=index):
-            for b in batches:
-                clean = [next(index.value.matches(words_of(t), threshold), None) is None for t in texts(b)]
-                yield b.filter(pa.array(clean, pa.bool_()))
+    def judge(ix: Index, b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array([next(ix.matches(words_of(t), threshold), None) is None for t in texts(b)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return (search(docs, items, threshold, block_bytes, docs.schema, judge, chained=True) or [docs])[-1]
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
