@@ -8,19 +8,20 @@ drift or a shard is added, so only the slots that an edit names move.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import cut, documents
+from locusflow.llm.common import cut, documents, exists, shared_dir
 
 SLOTS, SHARDS = 4096, 8
 
 
 def virtual_slot(doc_id: Column, text: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record: by its id, or without one by its text."""
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("bigint"), F.xxhash64(text))), F.lit(slots)).cast("int")
+    """The slot of a record: by its id and text, so an id with very many texts fills no slot."""
+    return F.pmod(F.xxhash64(doc_id.cast("bigint"), text), F.lit(slots)).cast("int")
 
 
 def size_bytes(text: Column) -> Column:
@@ -100,29 +101,49 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
     return size, count
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def current_map(spark: SparkSession, path: str, loads: list[int], shards: int) -> SlotMap:
+    """The map stored at ``path``, edited for ``loads`` and stored again if that moves slots; version 1 where there is none."""
+    if not exists(spark, path):
+        SlotMap.build(loads, shards).save(spark, path)
+    stored = SlotMap.load(spark, path)
+    edited = stored.rebalance(loads)
+    if edited.shard_of != stored.shard_of:
+        edited.save(spark, path)
+    return SlotMap.load(spark, path)
+
+
+def new_map_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
+
+
+def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """``docs`` with ``shard``, in the place of any such column.
 
     One pass for the slots' bytes, then a join with the map, without shuffling texts.
+    The map is read from ``map_path``, edited if loads have drifted, and stored there;
+    without a path a new one is made in the shared folder.
     """
+    spark = docs.sparkSession
     slotted = docs.drop("shard").withColumn("__vslot", virtual_slot(F.col("doc_id"), F.col("text"), slots))
     loads, _ = slot_loads(slotted.select(F.col("__vslot").alias("vslot"), size_bytes(F.col("text")).alias("size")), slots)
-    table = docs.sparkSession.createDataFrame(list(enumerate(SlotMap.build(loads, shards).shard_of)), "__vslot int, shard int")
+    slot_map = current_map(spark, map_path or new_map_path(spark), loads, shards)
+    table = spark.createDataFrame(list(enumerate(slot_map.shard_of)), "__vslot int, shard int")
     return slotted.join(F.broadcast(table), "__vslot").drop("__vslot")  # the map has `slots` rows
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Per document: size, text_crc32, law, shard, slot (its place in the shard), grown_shard, vslot, map_version.
 
     The law is ``bytes``. Places count up within a slot by doc_id, and slots of a
     shard follow one another, so no shard is sorted as a whole. Null texts have
-    size 1 and the empty text's CRC; rows without doc_id go by their text; repeated
-    rows share a slot and have places of their own; an empty table gives no rows.
+    size 1 and the empty text's CRC; rows without doc_id go by their text; equal
+    rows share a slot and have places of their own; an empty table gives no rows. The
+    map is kept at ``map_path`` as ``assign_shards`` keeps it.
     """
     text = F.col("text")
     rows = cut(docs.select("doc_id", size_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(F.col("doc_id"), text, slots).alias("vslot")))
     loads, counts = slot_loads(rows, slots)
-    slot_map = SlotMap.build(loads, shards)
+    slot_map = current_map(docs.sparkSession, map_path or new_map_path(docs.sparkSession), loads, shards)
     used, first = [0] * shards, []
     for slot, shard in enumerate(slot_map.shard_of):
         first.append((slot, shard, used[shard]))
