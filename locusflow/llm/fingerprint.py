@@ -131,9 +131,8 @@ def neighbour_parts(docs: DataFrame, parts: int) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # The ids alone are read for the cuts, of which there are `parts`.
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(1 << 62)).alias("id"))
-    q = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else []
+    # There are `parts` cuts; rows without doc_id spread by the hashes that stand for it.
+    q = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else []
     cuts = sorted({int(x) for x in q or []})
     lit = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
     part_of = lambda c: F.size(F.filter(lit, lambda x: x >= c))  # noqa: E731  descending: part 0 has the largest ids
