@@ -128,7 +128,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, mined: DataFrame) -> DataFra
     """
     urls = cut(pages.select("url").where(F.col("url").isNotNull()).distinct())
     verdicts = listed_verdicts(urls, listed).join(matched_rules(urls, mined), "url", "left")
-    out = pages.select("page_id", "url").join(verdicts, "url", "left")
+    # Rows without url have nothing to look up, and as one key they would load one task.
+    out = pages.select("page_id", "url").where("url is not null").join(verdicts, "url", "left")
+    out = out.unionByName(pages.select("page_id", "url").where("url is null"), allowMissingColumns=True)
     verdict = F.coalesce("listed", F.when(F.col("mined").isNotNull(), "block"), F.lit("allow"))
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", verdict.alias("verdict"), "mined")
 
