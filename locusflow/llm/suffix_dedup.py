@@ -5,8 +5,12 @@ least hash among its first WINDOW positions. A phrase is the run of strings that
 share a trigger, with all bytes that they cover, so phrases overlap by LENGTH - 1
 bytes and no string crosses one. Equal strings have equal triggers and equal bytes
 after them, so all that may be equal lies under one context. The dictionary holds
-each distinct phrase once: one that is parsed twice is repeated whole, however
-often, and only distinct phrases of one context are compared string by string.
+each distinct phrase once, parted by context, and the parse says how often and where
+a phrase stands. A suffix array is made of each part of the dictionary, by prefix
+doubling to the depth of LENGTH bytes; its places, each as often as the parse has
+their phrase, are the corpus's order of strings, and equal neighbours are repeats. As
+phrases overlap by more than the parse's order could add, strings of LENGTH bytes
+need none beyond it: a phrase that is parsed twice is repeated whole.
 """
 
 from __future__ import annotations
@@ -96,12 +100,28 @@ def phrases(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, starts long, ctx long, phrase long")
 
 
-def string_hashes(raw: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all strings of ranges lo .. lo+n, and two hashes of each."""
-    s = np.repeat(lo - np.concatenate(([0], np.cumsum(n + 1)[:-1])), n + 1) + np.arange((n + 1).sum())
+def string_hashes(raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``n`` string starts, and two hashes of each string."""
+    s = np.arange(n)
     return s, *(Hashes(raw, x).of(s, s + LENGTH) for x in _BASES)
 
 
+def suffix_ranks(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ranks of the LENGTH bytes from each start, in the order of bytes: equal strings have one rank.
+
+    The suffix array by prefix doubling: ranks of 8 bytes, then of twice as many by
+    pairs of ranks, and at last of LENGTH by a pair that overlaps.
+    """
+    padded = np.concatenate((raw, np.zeros(LENGTH, np.uint8)))
+    rank = np.unique(np.ndarray((len(raw),), ">u8", buffer=padded, strides=(1,)).astype(np.uint64), return_inverse=True)[1]
+    depth = 8
+    while 2 * depth <= LENGTH:
+        after = np.concatenate((rank[depth:], np.zeros(min(depth, len(rank)), rank.dtype)))
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
+        depth *= 2
+    return np.unique(rank[starts] * (len(rank) + 1) + rank[starts + LENGTH - depth], return_inverse=True)[1]
+
+
 def phrase_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(ctx, id, lo, more, one, bytes) of the phrases at ``places`` (ctx, id, starts, one)."""
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("ctx", "starts", "one")).alias("r"))
@@ -122,31 +142,25 @@ def phrase_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def repeats_among(rows: list) -> list[tuple[int, int, int]]:
-    """(id, lo, hi) of strings of phrases (id, lo, more, one, bytes) that another phrase has too, if ``one``."""
-    keys, spots = [], []
-    for k, (_, _, more, _, raw) in enumerate(rows):
-        s, a, b = string_hashes(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), np.array([more]))
-        keys.append(np.stack((a, b), axis=1))
-        spots.append(np.stack((np.full(len(s), k), s), axis=1))
-    keys, spots = np.concatenate(keys), np.concatenate(spots)
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    keys, spots = keys[order], spots[order]
-    same = (keys[1:] == keys[:-1]).all(axis=1)
-    twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    out = []
-    for k, s in sorted(map(tuple, spots[twice].tolist())):
-        i, lo, _, one, _ = rows[k]
-        if one:
-            if out and out[-1][0] == i and out[-1][2] == lo + s - 1:
-                out[-1] = (i, out[-1][1], lo + s)
-            else:
-                out.append((i, lo + s, lo + s))
-    return out
+    """(id, lo, hi) of strings of phrases (id, lo, more, one, bytes) that another phrase has too, if ``one``.
 
-
-def ranges_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    ``rows`` are parts of the dictionary; their suffix array is made here.
+    """
+    size = np.array([len(r[4]) for r in rows])
+    n = np.array([r[2] + 1 for r in rows])
+    own = np.repeat(np.arange(len(rows)), n)
+    s = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    rank = suffix_ranks(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), s + np.repeat(np.cumsum(size) - size, n))
+    one = np.array([r[3] for r in rows], bool)
+    at = np.flatnonzero((np.bincount(rank)[rank] > 1) & one[own])  # neighbours in the array with one rank
+    breaks = np.flatnonzero((np.diff(own[at]) != 0) | (np.diff(s[at]) != 1)) + 1
+    first, last = np.concatenate(([0], breaks)) if len(at) else breaks, np.append(breaks, len(at)) - 1 if len(at) else breaks
+    return [(rows[k][0], rows[k][1] + x, rows[k][1] + y) for k, x, y in zip(own[at[first]].tolist(), s[at[first]].tolist(), s[at[last]].tolist(), strict=True)]
+
+
+def ranges_batch(rows: list[tuple[int, int, int]], names=("lo", "hi")) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", *names])
 
 
 def repeats_by_context(rows: DataFrame) -> DataFrame:
@@ -167,21 +181,26 @@ def repeats_by_context(rows: DataFrame) -> DataFrame:
 
 
 def repeats_by_string(rows: DataFrame) -> DataFrame:
-    """Repeated strings of contexts with very many phrases: all strings are dealt out by hash."""
+    """Repeated strings of contexts with very many phrases: all strings are dealt out by hash.
+
+    Those that stand once are taken off by their places, which no two share, so a
+    string that very many phrases have loads no task.
+    """
 
     def run(batches):
         for batch in batches:
             for b in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 got = []
                 for i, lo, more, one, raw in zip(*(b.column(c).to_pylist() for c in ("id", "lo", "more", "one", "bytes")), strict=True):
-                    s, h1, h2 = string_hashes(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), np.array([more]))
+                    s, h1, h2 = string_hashes(np.frombuffer(raw, np.uint8), more + 1)
                     got.append((h1.view(np.int64), h2.view(np.int64), np.full(len(s), i), (s + lo).astype(np.int32), np.full(len(s), one)))
                 cols = [np.concatenate(c) for c in zip(*got, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h1", "h2", "id", "lo", "one"])
 
     strings = rows.mapInArrow(run, "h1 long, h2 long, id long, lo int, one boolean")
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return strings.where("one").join(twice, ["h1", "h2"], "left_semi").select("id", "lo", F.col("lo").alias("hi"))
+    strings = cut(strings)
+    single = strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("lo").alias("lo")).where("n = 1").select("id", "lo")
+    return strings.where("one").select("id", "lo").join(single, ["id", "lo"], "left_anti").select("id", "lo", F.col("lo").alias("hi"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -195,29 +214,44 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     shared = cut(parsed.join(ctx, "ctx"))
     # The dictionary of the phrases under contexts that have several, each with one place of its own.
     varied = shared.where("varied")
-    dictionary = cut(varied.groupBy("ctx", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("id", "starts")).alias("at")))
-    again = varied.join(dictionary.where("n > 1").select("ctx", "phrase"), ["ctx", "phrase"], "left_semi")
-    whole = shared.where("not varied").select("id", "starts").unionByName(again.select("id", "starts"))
+    dictionary = cut(varied.groupBy("ctx", "phrase").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("starts").alias("starts"), F.min(F.struct("id", "starts")).alias("at")))
+    # Phrases that are parsed once are taken off by their places; the others may be very common, so no join goes by phrase.
+    once = dictionary.where("n = 1").select("id", "starts")
+    again = varied.select("id", "starts").join(once, ["id", "starts"], "left_anti")
+    whole = shared.where("not varied").select("id", "starts").unionByName(again)
     first = F.shiftright("starts", MORE)
     whole = whole.select("id", first.cast("int").alias("lo"), (first + F.col("starts").bitwiseAND(F.lit((1 << MORE) - 1))).cast("int").alias("hi"))
-    crowds = dictionary.groupBy("ctx").agg((F.count("*") > CROWD).alias("crowd"))
-    places = dictionary.join(crowds, "ctx").select("ctx", "at.*", (F.col("n") == 1).alias("one"), "crowd")
-    out = whole.unionByName(repeats_by_context(phrase_bytes(docs, cut(places.where("not crowd")))))
-    crowded = cut(places.where("crowd"))
-    if crowded.limit(1).count():
-        out = out.unionByName(repeats_by_string(cut(phrase_bytes(docs, crowded))))
+    crowds = cut(dictionary.groupBy("ctx").agg(F.count("*").alias("phrases")).where(F.col("phrases") > CROWD).select("ctx", F.lit(True).alias("crowd")))
+    places = dictionary.join(crowds, "ctx", "left").select("ctx", "at.*", (F.col("n") == 1).alias("one"), "crowd")
+    out = whole.unionByName(repeats_by_context(phrase_bytes(docs, cut(places.where("crowd is null").drop("crowd")))))
+    if crowds.limit(1).count():
+        out = out.unionByName(repeats_by_string(cut(phrase_bytes(docs, cut(places.where("crowd").drop("crowd"))))))
     return out
 
 
-def removed(n: int, ranges: list) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that strings starting in ``ranges`` cover."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(ranges):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi + LENGTH)
-        else:
-            out.append([lo, hi + LENGTH])
-    return [(a, min(n, b)) for a, b in out]
+def covered_runs(ranges: DataFrame) -> DataFrame:
+    """(id, a, b): the maximal runs of bytes that strings starting in ``ranges`` (id, lo, hi) cover.
+
+    Each run has LENGTH bytes at least, so a text has few. Equal ranges, such as
+    those of repeated rows, are reduced before the shuffle by id.
+    """
+
+    def run(batches):
+        held: tuple | None = None
+        for batch in batches:
+            out = []
+            for i, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("id", "lo", "hi")), strict=True):
+                if held and held[0] == i and lo <= held[2]:
+                    held = (i, held[1], max(held[2], hi + LENGTH))
+                else:
+                    out += [held] if held else []
+                    held = (i, lo, hi + LENGTH)
+            yield ranges_batch(out, "ab")
+        if held:
+            yield ranges_batch([held], "ab")
+
+    distinct = ranges.groupBy("id", "lo").agg(F.max("hi").alias("hi"))
+    return distinct.repartition("id").sortWithinPartitions("id", "lo").mapInArrow(run, "id long, a int, b int")
 
 
 def dedup_strings(docs: DataFrame) -> DataFrame:
@@ -228,15 +262,15 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     their texts, further columns are ignored, an empty table gives no rows.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = cut(repeated_ranges(rows.select("id", "text")))
-    ranges = found.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    found = cut(covered_runs(repeated_ranges(rows.select("id", "text"))))
+    ranges = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"))
 
     def run(batches):
         for batch in batches:
             out = []
             for t, r in zip(batch.column("text"), batch.column("r").to_pylist(), strict=True):
                 raw = t.as_py().encode("utf-8", "replace")
-                spans = removed(len(raw), [(x["lo"], x["hi"]) for x in r or []])
+                spans = [(x["a"], x["b"]) for x in r]
                 ends = [0, *(b for _, b in spans)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True))
                 out.append((len(raw), len(raw) - len(kept), len(spans), kept))

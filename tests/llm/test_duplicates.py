@@ -141,6 +141,8 @@ def test_short_items_in_long_documents(spark):
     kept = decontaminate.without_leaks(brute.frame(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string"), block_bytes=200)
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == sorted((i or 0, t) for i, t in docs if t and i not in {d for d, _ in expected})
     assert {r.doc_id for r in kept.collect() if not r.text} == {12, 13}
+    named = spark.createDataFrame([(f"item {i}", t) for i, t in items], "item_id string, text string")  # ids of text, and many blocks
+    assert {(r.id if r.id < 1 << 62 else None, r.item_id) for r in decontaminate.find_leaks(brute.frame(spark, [(i, t, "s") for i, t in docs]), named, block_bytes=50).collect()} == {(i, f"item {j}") for i, j in expected}
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.without_leaks(brute.frame(spark), empty).count() == len(brute.TEXTS)
     assert decontaminate.without_leaks(brute.frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
@@ -206,6 +208,14 @@ def test_fingerprints_of_awkward_rows(spark):
     assert [(r.near_next, r.n_chars) for r in alone] == [(1.0, 11)]
 
 
+def test_rows_without_id_are_dealt_to_many_parts(spark):
+    docs = brute.frame(spark, [(None, f"text number {i} of many", None) for i in range(2000)])
+    sent, _ = fingerprint.neighbour_parts(docs, 16)
+    sizes = [r["count"] for r in sent.groupBy("part").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 300
+    assert fingerprint.edit_report(docs, 16).count() == 2000
+
+
 @pytest.mark.parametrize("run", [simhash.near_duplicates, suffix_dedup.dedup_strings, simhash.keep_one])
 def test_empty_table(spark, run):
     assert run(brute.frame(spark, [])).count() == 0

@@ -99,6 +99,22 @@ def test_slot_map_versions(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path) == third and sharding.SlotMap.load(spark, path, 1) == first
 
 
+def test_map_is_stored_edited_and_read_again(spark, tmp_path):
+    """The second run reads the map of the first, moves slots for the drifted loads only, and stores version 2."""
+    path = str(tmp_path / "slots")
+    docs = brute.frame(spark, [(i, "x" * (i % 50), "s") for i in range(2000)])
+    first = {r.doc_id: r.shard for r in sharding.assign_shards(docs, map_path=path).collect()}
+    assert {r.doc_id: r.shard for r in sharding.assign_shards(docs, map_path=path).collect()} == first
+    assert sharding.SlotMap.load(spark, path).version == 1
+    drifted = brute.frame(spark, [(i, "x" * (i % 50 if first[i] else 400), "s") for i in range(2000)])
+    rows = sharding.shard_documents(drifted, map_path=path).collect()
+    assert sharding.SlotMap.load(spark, path).version == 2 == rows[0].map_version
+    loads = [sum(r["size"] for r in rows if r.shard == s) for s in range(8)]
+    assert max(loads) - min(loads) < 0.02 * sum(loads)
+    one = brute.frame(spark, [(7, f"text {i}", "s") for i in range(4000)])
+    assert len({r.vslot for r in sharding.shard_documents(one).collect()}) > 2000  # one id, many slots
+
+
 @needs_data
 def test_pipeline_stage_by_stage(spark):
     """Each stage against brute force over what the one before kept."""
@@ -131,6 +147,26 @@ def test_pipeline_run(spark):
     assert out and {r.shard for r in out} <= set(range(8))
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """The whole run over null, empty, repeated and clashing rows, over an empty table, and against its stages by hand."""
+    marks = spark.createDataFrame([(1, 0, 0), (3, 1, 0), (5, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("a", "déjà vu ß 漢字 \U0001f600 one two"), ("b", None), ("c", "")], "item_id string, text string")
+    for name, rows in (("some", brute.TEXTS), ("none", [])):
+        top = tmp_path / name
+        docs = brute.frame(spark, rows).drop("shard")
+        for table, df in (("documents", docs), ("labels", marks), ("benchmark", items)):
+            df.write.parquet(str(top / f"{table}.parquet"))
+        out = corpus_pipeline.run(spark, str(top))
+        assert sorted(out.columns) == sorted([*docs.columns, "shard"])
+        by_hand = docs
+        for _, stage in corpus_pipeline.STAGES:
+            by_hand = stage(spark, by_hand, str(top))
+        got, expected = (Counter((r.doc_id, r.text) for r in x.select("doc_id", "text").collect()) for x in (out, by_hand))
+        assert got == expected and set(got) <= {(i, t) for i, t, _ in rows}
+        kept = {t for _, t in got}
+        assert brute.TEXTS[-1][1] not in kept and (not rows or kept)
+
+
 def test_pipeline_of_awkward_rows(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = brute.frame(spark)

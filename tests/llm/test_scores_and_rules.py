@@ -6,9 +6,10 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusflow.llm import quality, surrogate, toxicity, url_filter
-from locusflow.llm.training import labels
+from locusflow.llm.training import labels, sample_texts
 from tests.llm import brute
 
 D, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -70,6 +71,15 @@ def test_scores_of_awkward_rows(spark):
     assert toxicity.score_toxicity(none, toxicity.learn(none, nothing)).count() == 0
 
 
+def test_training_rows_are_bounded_by_id(spark):
+    """One labelled id with very many rows gives one; clashing labels give none."""
+    docs = brute.frame(spark, [(1, f"text {i % 50}", "s") for i in range(900)] + [(2, "two", "s"), (3, "three", "s")])
+    marks = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = sample_texts(docs, marks, "quality", F.lit(True), 100).collect()
+    assert sorted((r.doc_id, r.y) for r in rows) == [(1, 0), (2, 1)]
+    assert len(sample_texts(docs, marks, "toxic", F.lit(True), 2).collect()) == 2
+
+
 def labels_of(spark):
     return spark.createDataFrame([], "doc_id long, quality int, toxic int")
 
