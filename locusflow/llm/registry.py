@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from locusflow.llm import decontaminate, fingerprint, mixing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter, surrogate
+from locusflow.llm import chat, decontaminate, fingerprint, mixing, periodic, quality, resampling, sharding, simhash, suffix_dedup, toxicity, url_filter, surrogate
 
-MODULES = (toxicity, decontaminate, surrogate, sharding, suffix_dedup, url_filter, fingerprint, mixing, quality, simhash)
+MODULES = (toxicity, decontaminate, surrogate, sharding, suffix_dedup, url_filter, fingerprint, mixing, quality, simhash, chat, resampling, periodic)
 
 
 def queries():
@@ -12,4 +12,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_mix_sources": mixing.sql(), "op2_decontaminate": decontaminate.SQL}
+    return {"op8_mix_sources": mixing.sql(), "op2_decontaminate": decontaminate.SQL, "op11_chat_format": chat.SQL, "op12_importance_resampling": resampling.SQL}
