@@ -9,6 +9,7 @@ from locusflow.config import CountConfig
 from locusflow.functions import flags as fl
 from locusflow.functions.intervals import length, ratio_below, total_overlap
 from locusflow.operators.classify import STATUSES
+from locusflow.operators.feature_index import resolve_in_rows
 from locusflow.operators.interval_join import interval_join
 from locusflow.operators.pairing import fragment_key
 
@@ -44,13 +45,25 @@ def candidate_hits(frags: DataFrame, features: DataFrame, cfg: CountConfig, unhi
     return hits.select(*carried, "target", "overlap", (~low).alias("passed"))
 
 
-def resolve(frags: DataFrame, features: DataFrame, cfg: CountConfig, unhit: bool = True) -> DataFrame:
+def resolve(frags: DataFrame, features: DataFrame, cfg: CountConfig, unhit: bool = True, index=None, keep: list[str] | None = None) -> DataFrame:
     """One row per fragment: key, nh, status, targets (array), and qname where ``frags`` has it.
 
-    All comes from one pass over the hits, grouped by fragment: what the fragment
-    carries is aggregated with them, and its target set is bounded by the features
-    at one locus. Without ``unhit`` fragments that hit nothing are left out, which is
-    all that counts need. Reads that a filter took keep their status and are marked ``filtered``.
+    With an ``index``, a broadcast of the features' arrays, each fragment is resolved in its
+    own row, and only ``keep`` columns are returned where they are given. Without one its hits are
+    joined and grouped. Either way ``unhit`` false leaves out fragments that hit
+    nothing, which is all that counts need. Reads that a filter took keep their
+    status and are marked ``filtered``.
+    """
+    if index is None:
+        return resolve_joined(frags, features, cfg, unhit)
+    return resolve_in_rows(frags, index, cfg, unhit, keep or [*fragment_key(cfg), *(["qname"] if "qname" in frags.columns else [])])
+
+
+def resolve_joined(frags: DataFrame, features: DataFrame, cfg: CountConfig, unhit: bool) -> DataFrame:
+    """Fragments resolved by an interval join whose hits are grouped by fragment, for any number of features.
+
+    What the fragment carries is aggregated with the hits, and its target set is
+    bounded by the features at one locus.
     """
     if cfg.paired and cfg.both_aligned:
         frags = frags.withColumn("orphan", F.col("kind") == "orphan")

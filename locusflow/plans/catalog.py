@@ -20,6 +20,7 @@ from locusflow.plans.count import count_reads
 from locusflow.plans.output import write_counts, write_summary
 from locusflow.sources.annotation import build_annotation, choose_type, detect_types, parse_lines
 from locusflow.sources.bam import COUNT_FIELDS, detect_paired, open_input, read_bam
+from locusflow.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 C = CountConfig
@@ -199,7 +200,7 @@ def bam_gene_counts(spark, d):
 def _written(spark, d, cfg, write, name, schema, skip):
     """The lines of a file that a writer made, as rows of strings with their number."""
     result, ann = _run(spark, d, cfg)
-    path = f"{fixtures.shared_folder(spark)}/{name}"
+    path = f"{shared_folder(spark)}/{name}"
     write(result, ann, path)
     with open_input(path) as f:
         lines = f.read().decode().splitlines()[skip:]

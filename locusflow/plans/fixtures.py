@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import struct
-import tempfile
 import uuid
 import zlib
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from locusflow.sources.annotation import Annotation
 from locusflow.sources.bam import CIGAR_OPS, open_output
+from locusflow.sources.shared import shared_folder
 
 FEATURES_SQL = """
 SELECT p_partkey AS feat_ord, concat('chr', p_partkey % 20) AS chrom,
@@ -76,16 +76,6 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, ALIGNMENTS_SQL, "lineitem", sf_dir)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``; only a local run may do without."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not top and "cluster" not in spark.sparkContext.master and spark.sparkContext.master.startswith("local"):
-        top = tempfile.mkdtemp(prefix="locusflow-")
-    if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 CONTIGS = [*(f"chr{i}" for i in range(20)), "chrUn"]
 
 

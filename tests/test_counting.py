@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from locusflow.config import CountConfig as C
 from locusflow.functions.cigar import cigar_blocks
+from locusflow.operators.classify import classify
+from locusflow.operators.feature_index import collect_features
 from locusflow.operators.gene_metadata import collapsed_length, exon_numbers, gene_metadata
 from locusflow.operators.interval_join import interval_join
-from locusflow.plans.count import count_reads
+from locusflow.operators.pairing import candidates, mate_rows, mates_in_splits
+from locusflow.plans.count import count_once, count_reads
 from locusflow.sources.annotation import build_annotation, choose_type, detect_types, parse_lines
 from locusflow.sources.samples import parse_sample
 
@@ -132,3 +135,115 @@ def test_options_and_samples():
         with pytest.raises(ValueError):
             C(**bad)
     assert parse_sample("a=b=c.bam") == ("a", "b=c.bam") and parse_sample("/x/y.bam") == ("y", "/x/y.bam")
+
+
+def _random_reads(seed, n=1500):
+    """Names of one to five reads over two samples, spliced and not, on contigs that the annotation knows or not."""
+    import random
+
+    rng, rows = random.Random(seed), []
+    cigars = ["20M", "10M900N10M", "5S15M", "8M40000N8M2D4M", "30M", "*"]
+    for i in range(n):
+        name, sample = f"n{rng.randrange(n // 2)}", rng.randrange(2)
+        flags = rng.choice([0, 16, 1, 17, 1 | 8, 4, 0x400])
+        rows.append((sample, i, f"{sample}{name}", flags, rng.choice(["c1", "c1", "c2", "cx"]), rng.randrange(60_000), rng.randrange(60), rng.choice(cigars), rng.choice([1, 1, 1, 2]), rng.choice(["c1", "c2", None])))
+    return rows
+
+
+def _dense_features(spark, long=True, n=240):
+    """Exons of all lengths; with ``long`` one as long as the contig and one far longer than any bin."""
+    import random
+
+    rng = random.Random(3)
+    made = [(f"c{1 + i % 2}", s := rng.randrange(1, 60_000), s + rng.choice([5, 50, 700, 9000, 17_000]), rng.choice("+-."), f"g{i // 3}") for i in range(n)]
+    made += [("c1", 1, 250_000_000, "+", "whole"), ("c2", 30_000, 2_000_000, ".", "long"), ("c2", 9, 5, "+", "none")] if long else []
+    rows = [f'{c}\tx\texon\t{s}\t{e}\t.\t{d}\t.\tgene_id "{g}";' for c, s, e, d, g in made]
+    a = build_annotation(parse_lines(lines(spark, rows), "gene_id"))
+    a.features.cache()
+    return a
+
+
+ALL_RULES = [
+    {"strand": 1, "min_overlap": 12}, {"paired": True, "strand": 2, "both_aligned": True, "frac_overlap": 0.7}, {"paired": True, "multi_overlap": True, "largest_overlap": True, "feature_level": True},
+    {"multi_mapping": True, "fraction": True, "multi_overlap": True, "frac_overlap_feature": 0.02}, {"paired": True, "no_chimeric": True, "primary": True, "ignore_dup": True, "largest_overlap": True},
+]
+
+
+@pytest.mark.parametrize("kw", ALL_RULES, ids=str)
+def test_three_ways_to_resolve_agree(spark, tmp_path, kw):
+    """In rows, by join (as for annotations too large to send), and in splits, where names are spread over all of them."""
+    ann, cfg = _dense_features(spark, "multi_overlap" in kw, 30), C(**kw)
+    spark.createDataFrame(_random_reads(11), READ).repartitionByRange(7, "file_ord").write.parquet(str(tmp_path / "r"))
+    reads = spark.read.parquet(str(tmp_path / "r"))
+    here = count_reads(reads, ann.features, ann.chroms, cfg)
+    joined = count_reads(reads, ann.features, ann.chroms, cfg)
+    joined.index = None
+    kept = count_once(reads, ann.features, ann.chroms, cfg, True)
+    rows = lambda df, *c: sorted(tuple(map(str, r)) for r in df.select(*c).collect())
+    for x in (here, kept):
+        assert rows(x.counts, "sample_idx", "target", "n") == rows(joined.counts, "sample_idx", "target", "n")
+        assert rows(x.status, "sample_idx", "status", "n") == rows(joined.status, "sample_idx", "status", "n")
+        assert rows(x.resolved, "first_ord", "qname", "nh", "status", F.array_sort("targets"), "filtered") == rows(joined.resolved, "first_ord", "qname", "nh", "status", F.array_sort("targets"), "filtered")
+    assert here.counts.count() > 5
+
+
+@pytest.mark.parametrize("parts,ranges", [(1, True), (2, True), (9, True), (5, False)])
+def test_pairs_of_splits_are_those_of_the_file(spark, tmp_path, parts, ranges):
+    """Also names that stand twice in one split and once in another, whose reads are gone through again; and splits that are no ranges."""
+    rows = spark.createDataFrame(_random_reads(parts), READ)
+    (rows.repartitionByRange(parts, "file_ord") if ranges else rows.repartition(parts, "pos")).write.parquet(str(tmp_path / "r"))
+    reads = spark.read.parquet(str(tmp_path / "r"))
+    own = candidates(classify(reads, spark.createDataFrame([("c1",), ("c2",)], "chrom string"), C(paired=True, multi_mapping=True)), False)
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select("qname", "kind", "rec.file_ord", "mate.file_ord", "first_ord", "mate.blocks").collect())
+    assert rows(mates_in_splits(own)) == rows(mate_rows(own))
+    assert own.where("NOT solo").groupBy("qname").count().where("count > 2").count() > 20
+
+
+def test_a_long_group_of_one_name(spark):
+    """A name over many Arrow batches pairs on across their bounds."""
+    rows = [(0, i, "same" if i < 25_001 else f"u{i}", 1, "c1", 5, 9, "5M", 1, "c1") for i in range(30_000)]
+    own = candidates(classify(spark.createDataFrame(rows, READ).coalesce(1), spark.createDataFrame([("c1",)], "chrom string"), C(paired=True)), False)
+    got = {r.kind: r.n for r in mates_in_splits(own).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert got == {"pair": 12_500, "orphan": 5_000}
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Exchange SinglePartition")
+
+
+def test_what_is_shuffled(spark, tmp_path):
+    """Single reads: the sums only. Pairs: the reads that passed, and the sums; of filtered reads only counts."""
+    ann, chroms = _dense_features(spark), spark.createDataFrame([("c1",), ("c2",)], "chrom string")
+    spark.createDataFrame(_random_reads(1), READ).write.parquet(str(tmp_path / "r"))
+    reads = spark.read.parquet(str(tmp_path / "r"))
+    assert _exchanges(count_reads(reads, ann.features, chroms, C()).counts)[0] == 1
+    assert _exchanges(count_reads(reads, ann.features, chroms, C()).status)[0] == 1
+    assert _exchanges(count_reads(reads, ann.features, chroms, C(paired=True)).counts)[0] == 2
+    plan = count_reads(reads, ann.features, chroms, C(paired=True)).status._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression") :]
+    assert "isnull" in dealt  # what is dealt out for pairing has no status
+
+
+def test_features_of_any_length_stand_once(spark):
+    ann = _dense_features(spark)
+    arrays = collect_features(ann.features, C(feature_level=True))
+    assert len(arrays.start) == ann.features.where("start <= end").count() and len(arrays.ends) > 3
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    s = np.array([rng.randrange(0, 80_000) for _ in range(400)])
+    e, contig = s + np.array([rng.choice([-1, 0, 30, 20_000]) for _ in s]), np.array([rng.randrange(-1, 2) for _ in s])
+    got = sorted((int(b), int(arrays.target[f])) for b, f in zip(*arrays.hits(contig, s, e), strict=True))
+    known = [(arrays.contigs.index(r.chrom), r.start, r.end, r.feature_idx) for r in ann.features.collect()]
+    assert got == sorted((i, t) for i in range(400) for c, a, b, t in known if c == contig[i] and a <= b and s[i] <= e[i] and a <= e[i] and s[i] <= b)
+
+
+def test_interval_join_of_long_intervals(spark):
+    rows = [(0, "c", 1, 250_000_000), (1, "c", 16_384, 16_384), (2, "c", 1, 1), (3, "d", 5, 4)]
+    right = spark.createDataFrame(rows, "j int, chrom string, r_start bigint, r_end bigint")
+    left = spark.createDataFrame([(0, "c", 1, 1), (1, "c", 249_999_999, 260_000_000), (2, "c", 16_000, 17_000), (3, "c", 9, 8), (4, "d", 1, 9)], "i int, chrom string, l_start bigint, l_end bigint")
+    pairs = [(r.i, r.j) for r in interval_join(left, right, 16_384).collect()]
+    assert sorted(pairs) == [(0, 0), (0, 2), (1, 0), (2, 0), (2, 1)]
