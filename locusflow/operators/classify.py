@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from locusflow.config import CountConfig
 from locusflow.functions import flags as fl
 
+#: Contigs that executors are sent at most, each a name.
+MOST_CONTIGS = 500_000
 # Rows of the summary, in their order.
 STATUSES = (
     "Assigned",
@@ -30,11 +32,13 @@ def classify(alignments: DataFrame, chroms: DataFrame, cfg: CountConfig) -> Data
     """Add ``status`` (null: the read goes on) and, for paired runs, ``solo``.
 
     ``solo`` marks reads whose mate is unmapped: they count alone, at once.
-    ``chroms`` has each contig of the annotation once; it is tiny beside the reads, and
-    Spark broadcasts it by its measured size.
+    ``chroms`` has each contig of the annotation once. They are counted, and broadcast if they
+    are MOST_CONTIGS at most: Spark's own guess rests on the annotation's size and
+    might shuffle the reads by contig.
     """
     f, nh = F.col("flags"), fl.clamp_nh(F.col("nh"))
-    known = chroms.select(F.col("chrom").alias("_known"))
+    sent = F.broadcast if chroms.limit(MOST_CONTIGS + 1).count() <= MOST_CONTIGS else lambda x: x
+    known = sent(chroms.select(F.col("chrom").alias("_known")))
     out = alignments.join(known, F.col("chrom") == F.col("_known"), "left")
     rules: list[tuple[Column, str]] = [(fl.has(f, fl.UNMAPPED), "Unassigned_Unmapped")]
     if cfg.primary:
@@ -51,7 +55,7 @@ def classify(alignments: DataFrame, chroms: DataFrame, cfg: CountConfig) -> Data
         if cfg.both_aligned:
             rules.append((solo, "Unassigned_Singleton"))
         if cfg.no_chimeric:
-            mates = chroms.select(F.col("chrom").alias("_mate_known"))
+            mates = sent(chroms.select(F.col("chrom").alias("_mate_known")))
             out = out.join(mates, F.col("mate_chrom") == F.col("_mate_known"), "left")
             far = F.col("_mate_known").isNotNull() & (F.col("mate_chrom") != F.col("chrom"))
             rules.append((~solo & far, "Unassigned_Chimera"))
