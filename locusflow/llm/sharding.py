@@ -102,10 +102,16 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
 
 
 def current_map(spark: SparkSession, path: str, loads: list[int], shards: int) -> SlotMap:
-    """The map stored at ``path``, edited for ``loads`` and stored again if that moves slots; version 1 where there is none."""
+    """The map stored at ``path``, edited for ``loads`` and stored again if that moves slots; version 1 where there is none.
+
+    A stored map keeps its own number of shards, as it may have grown; ``shards`` is that of a
+    new one. Its slots must be those that ``loads`` are of, or rows would have no shard.
+    """
     if not exists(spark, path):
         SlotMap.build(loads, shards).save(spark, path)
     stored = SlotMap.load(spark, path)
+    if len(stored.shard_of) != len(loads):
+        raise ValueError(f"the map at {path} has {len(stored.shard_of)} slots, not {len(loads)}")
     edited = stored.rebalance(loads)
     if edited.shard_of != stored.shard_of:
         edited.save(spark, path)
@@ -144,7 +150,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
     rows = cut(docs.select("doc_id", size_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(F.col("doc_id"), text, slots).alias("vslot")))
     loads, counts = slot_loads(rows, slots)
     slot_map = current_map(docs.sparkSession, map_path or new_map_path(docs.sparkSession), loads, shards)
-    used, first = [0] * shards, []
+    used, first = [0] * slot_map.shards, []
     for slot, shard in enumerate(slot_map.shard_of):
         first.append((slot, shard, used[shard]))
         used[shard] += counts[slot]

@@ -171,3 +171,17 @@ def test_pipeline_of_awkward_rows(spark):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = brute.frame(spark)
     assert score_quality(docs, learn(docs, marks, train_rows())).count() == len(brute.TEXTS)
+
+
+def test_stored_maps_of_other_sizes(spark, tmp_path):
+    """A map that has grown is used with its own shards; one of other slots is refused, not joined in part."""
+    docs, path = brute.frame(spark, [(i, f"word {i} " * (i % 9), "s") for i in range(300)]), f"{tmp_path}/map"
+    assert len({r.shard for r in sharding.shard_documents(docs, 4, 64, path).collect()}) == 4
+    rows = docs.select("doc_id", sharding.size_bytes(F.col("text")).alias("size"), sharding.virtual_slot(F.col("doc_id"), F.col("text"), 64).alias("vslot"))
+    sharding.SlotMap.load(spark, path).grow(sharding.slot_loads(rows, 64)[0]).save(spark, path)
+    for out in (sharding.shard_documents(docs, 4, 64, path), sharding.assign_shards(docs, 4, 64, path)):
+        got = [r.shard for r in out.collect()]
+        assert len(got) == 300 and set(got) == set(range(5))
+    for call in (sharding.shard_documents, sharding.assign_shards):
+        with pytest.raises(ValueError, match="64 slots, not 4096"):
+            call(docs, map_path=path)
