@@ -1,4 +1,4 @@
-"""Command line: count reads of BAM files over an annotation."""
+"""Command line: count reads of BAM or SAM files over an annotation."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from locusflow.config import CountConfig
 from locusflow.plans.count import count_once
 from locusflow.plans.output import write_counts, write_details, write_summary
 from locusflow.sources.annotation import load_annotation
-from locusflow.sources.bam import COUNT_FIELDS, detect_paired, read_bam
+from locusflow.sources.alignments import detect_paired, read_alignments
 from locusflow.sources.samples import parse_sample
 
 log = logging.getLogger("locusflow")
@@ -22,7 +22,7 @@ log = logging.getLogger("locusflow")
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("locusflow", description=__doc__)
     p.add_argument("-V", "--version", action="version", version=f"%(prog)s {__version__}")
-    p.add_argument("bams", nargs="+", help="BAM files, each a path or name=path")
+    p.add_argument("bams", nargs="+", help="BAM or SAM files, each a path or name=path")
     p.add_argument("-a", "--annotation", required=True)
     p.add_argument("-o", "--output", required=True)
     p.add_argument("--type", dest="feature_type", default="exon")
@@ -58,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     if threads and SparkSession.getActiveSession() is None:
         builder = builder.master(f"local[{threads}]")
     spark = builder.getOrCreate()
-    reads = read_bam(spark, [p for _, p in samples], fields=COUNT_FIELDS)
+    reads = read_alignments(spark, [p for _, p in samples])
     if not cfg.paired and detect_paired(samples[0][1]):
         log.info("paired reads found: counting fragments")
         cfg = cfg.with_(paired=True)

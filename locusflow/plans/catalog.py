@@ -14,12 +14,14 @@ from locusflow.operators import gene_metadata as gm
 from locusflow.operators.classify import classify
 from locusflow.operators.counts import assignment_rate, summary
 from locusflow.operators.interval_join import interval_join
-from locusflow.operators.pairing import mate_rows, with_blocks
+from locusflow.operators.pairing import candidates, mate_rows, mates_in_splits, with_blocks
 from locusflow.plans import fixtures, oracle
-from locusflow.plans.count import count_reads
+from locusflow.plans.count import count_once, count_reads
 from locusflow.plans.output import write_counts, write_summary
-from locusflow.sources.annotation import build_annotation, choose_type, detect_types, parse_lines
-from locusflow.sources.bam import COUNT_FIELDS, detect_paired, open_input, read_bam
+from locusflow.sources.alignments import detect_paired, read_alignments
+from locusflow.sources.annotation import build_annotation, choose_type, detect_types, load_annotation, parse_lines
+from locusflow.sources.bam import COUNT_FIELDS, open_input, read_bam, read_region
+from locusflow.sources.sam import read_sam
 from locusflow.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,7 +195,36 @@ def bam_gene_counts(spark, d):
     """Fragments of BAM files, which the head of the first tells to be paired."""
     paths, ann = fixtures.bam_files(spark, d), fixtures.annotation(spark, d)
     cfg = C(paired=detect_paired(paths[0]) if paths else False)
-    counts = count_reads(read_bam(spark, paths, 1 << 18, COUNT_FIELDS), ann.features, ann.chroms, cfg).counts
+    counts = count_once(read_alignments(spark, paths, 1 << 18), ann.features, ann.chroms, cfg).counts
+    return counts.join(ann.genes, F.col("target") == F.col("gene_ord")).select(F.col("sample_idx").cast("bigint").alias("sample_idx"), "gene_id", "n")
+
+
+def bam_pairs(spark, d):
+    """Fragments of BAM files, which their splits pair."""
+    reads = classify(_from_bam(spark, d, COUNT_FIELDS), fixtures.annotation(spark, d).chroms, PAIRED)
+    return mates_in_splits(candidates(reads, False)).select("qname", "kind", F.get("rec.blocks", F.lit(0))["start"].alias("rec_start"), F.coalesce(F.get("mate.blocks", F.lit(0))["start"], F.lit(0)).alias("mate_start"))
+
+
+#: A region that spans several bins of an index.
+REGION = "chr3:2501-30000"
+
+
+def bam_region(spark, d):
+    """Alignments over a region, of sorted files, by their indexes."""
+    rows = read_region(spark, fixtures.bam_files(spark, d, by_place=True), REGION, 1 << 16, ["sample_idx", "qname", "flags", "chrom", "pos", "cigar"])
+    return rows.select(F.col("sample_idx").cast("bigint").alias("sample_idx"), "qname", F.col("flags").cast("bigint").alias("flags"), "chrom", "pos", "cigar")
+
+
+def sam_round_trip(spark, d):
+    idx = lambda c: F.col(c).cast("bigint").alias(c)
+    rows = read_sam(spark, fixtures.sam_files(spark, d))
+    return rows.select(idx("sample_idx"), "qname", idx("flags"), "chrom", "pos", idx("mapq"), "cigar", idx("nh"), "mate_chrom")
+
+
+def sam_saf_gene_counts(spark, d):
+    """Fragments of SAM files over the features of a SAF table."""
+    ann = load_annotation(spark, fixtures.saf_file(spark, d), PAIRED)
+    counts = count_once(read_alignments(spark, fixtures.sam_files(spark, d)), ann.features, ann.chroms, PAIRED).counts
     return counts.join(ann.genes, F.col("target") == F.col("gene_ord")).select(F.col("sample_idx").cast("bigint").alias("sample_idx"), "gene_id", "n")
 
 
@@ -225,7 +256,8 @@ def summary_file(spark, d):
 
 
 PLAIN: dict[str, Query] = {
-    "bam_round_trip": bam_round_trip, "bam_blocks": bam_blocks, "bam_gene_counts": bam_gene_counts,
+    "bam_round_trip": bam_round_trip, "bam_blocks": bam_blocks, "bam_gene_counts": bam_gene_counts, "bam_pairs": bam_pairs, "bam_region": bam_region,
+    "sam_round_trip": sam_round_trip, "sam_saf_gene_counts": sam_saf_gene_counts,
     "count_table_file": count_table_file, "exon_table_file": exon_table_file, "summary_file": summary_file,
     "read_filter_status": _filter_status(C()), "read_filter_status_strict": _filter_status(STRICT.with_(paired=True, both_aligned=True, no_chimeric=True)),
     "cigar_blocks": cigar_block_rows, "interval_join_hits": interval_join_hits, "hit_overlap_len": hit_overlap_len, "mate_pairing": mate_pairing, "orphans": orphans,
@@ -272,9 +304,13 @@ SELECT row_number() OVER (ORDER BY co, f_start, feat_ord) - 1 AS feature_idx, ge
 
 _FRACTION = C(multi_mapping=True, fraction=True, multi_overlap=True)
 PLAIN_SQL |= {
+    "sam_round_trip": f"SELECT CAST(sample_idx AS BIGINT) AS sample_idx, qname, CAST(flags AS BIGINT) AS flags, chrom, pos, CAST(mapq AS BIGINT) AS mapq, cigar, CAST(nh AS BIGINT) AS nh, mate_chrom FROM ({fixtures.ALIGNMENTS_SQL})",
     "bam_round_trip": f"SELECT CAST(sample_idx AS BIGINT) AS sample_idx, qname, CAST(flags AS BIGINT) AS flags, chrom, pos, CAST(mapq AS BIGINT) AS mapq, cigar, CAST(nh AS BIGINT) AS nh, mate_chrom FROM ({fixtures.ALIGNMENTS_SQL})",
     "bam_blocks": f"WITH aln AS ({fixtures.ALIGNMENTS_SQL}), blk AS ({oracle.BLOCKS_SQL}) SELECT qname, CAST(flags AS BIGINT) AS flags, pos, pos+1+off AS b_start, pos+off+len AS b_end FROM aln JOIN blk USING (cigar)",
-    "bam_gene_counts": oracle.counts_sql(PAIRED),
+    "bam_gene_counts": oracle.counts_sql(PAIRED), "sam_saf_gene_counts": oracle.counts_sql(PAIRED),
+    "bam_pairs": f"WITH {oracle.reads_sql(PAIRED)}, {oracle.frags_sql(PAIRED)} SELECT f.qname, kind, a.pos + 1 AS rec_start, coalesce(b.pos + 1, 0) AS mate_start FROM frag f JOIN cls a ON a.file_ord = fid LEFT JOIN cls b ON b.file_ord = mate",
+    "bam_region": f"""WITH aln AS ({fixtures.ALIGNMENTS_SQL}), blk AS ({oracle.BLOCKS_SQL}), x AS (SELECT cigar, max(off + len) AS reach FROM blk GROUP BY 1)
+SELECT CAST(sample_idx AS BIGINT) AS sample_idx, qname, CAST(flags AS BIGINT) AS flags, chrom, pos, cigar FROM aln JOIN x USING (cigar) WHERE chrom = 'chr3' AND pos < 30000 AND pos + reach > 2500""",
     "count_table_file": f"""{_FA}, n AS {_COUNT(_FRACTION)}, o AS (SELECT gene_id, min(feat_ord) AS o FROM features GROUP BY 1), m AS ({PLAIN_SQL["gene_metadata"]}), l AS ({PLAIN_SQL["collapsed_gene_length"]}),
 p AS (SELECT gene_id, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM o LEFT JOIN n USING (gene_id) GROUP BY gene_id)
 SELECT row_number() OVER (ORDER BY o.o) - 1 AS line, gene_id, chr, starts, ends, strands, CAST(length AS VARCHAR) AS length, printf('%.6f', CAST(a AS DOUBLE) / 1000000) AS a, printf('%.6f', CAST(b AS DOUBLE) / 1000000) AS b

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from locusflow.sources.annotation import Annotation
 from locusflow.sources.bam import CIGAR_OPS, open_output
+from locusflow.sources.bam_index import build_index
 from locusflow.sources.shared import shared_folder
 
 FEATURES_SQL = """
@@ -95,30 +96,101 @@ def bgzf_block(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def bam_files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The alignments as BAM files, one a sample, written by the executors into a shared folder."""
-    folder = shared_folder(spark)
-    head = b"BAM\x01" + struct.pack("<ii", 0, len(CONTIGS)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 1 << 28) for c in CONTIGS)
+class BamFile:
+    """A BAM file that is written record by record, with its index if it is sorted by place."""
+
+    SIZE = 60_000
+
+    def __init__(self, path: str, head: bytes):
+        self.path, self.out, self.held, self.at, self.size, self.blocks, self.placed = path, open_output(path), head, 0, len(head), [], []
+
+    def _block(self, data: bytes) -> None:
+        packed = bgzf_block(data)
+        self.blocks.append(self.at)
+        self.at += len(packed)
+        self.out.write(packed)
+
+    def add(self, record: bytes, contig: int, pos: int, reach: int) -> None:
+        self.placed.append((contig, pos, pos + reach, self.size))
+        self.held += record
+        self.size += len(record)
+        while len(self.held) >= self.SIZE:
+            self._block(self.held[: self.SIZE])
+            self.held = self.held[self.SIZE :]
+
+    def close(self, index: bool) -> None:
+        for data in (self.held, b""):
+            self._block(data)
+        self.out.close()
+        if index:
+            place = lambda u: self.blocks[u // self.SIZE] << 16 | u % self.SIZE
+            ends = [*(p[3] for p in self.placed[1:]), self.size]
+            with open_output(self.path + ".bai") as f:
+                f.write(build_index(len(CONTIGS), ((*p[:3], place(p[3]), place(e)) for p, e in zip(self.placed, ends, strict=True))))
+
+
+def _sample_files(rows: DataFrame, begin, add, end) -> list[str]:
+    """One file a sample, written by the task that has its rows, in their order; the paths by sample."""
 
     def run(batches):
-        out, path, held, done = None, "", b"", []
+        done, out = [], None
         for b in batches:
             for r in b.to_pylist():
-                if out is None or r["sample_idx"] != done[-1][0]:
+                if not done or r["sample_idx"] != done[-1][0]:
                     if out is not None:
-                        out.write(bgzf_block(held) + bgzf_block(b""))
-                        out.close()
-                    path = f"{folder}/{uuid.uuid4().hex}.bam"
-                    out, held = open_output(path), head
-                    done.append((r["sample_idx"], path))
-                held += bam_record(r)
-                while len(held) >= 60_000:
-                    out.write(bgzf_block(held[:60_000]))
-                    held = held[60_000:]
+                        end(out)
+                    done.append((r["sample_idx"], uuid.uuid4().hex))
+                    out = begin(done[-1][1])
+                add(out, r)
         if out is not None:
-            out.write(bgzf_block(held) + bgzf_block(b""))
-            out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([p for _, p in done], pa.string())], names=["sample_idx", "path"])
+            end(out)
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([p for _, p in done], pa.string())], names=["sample_idx", "name"])
+
+    return [r["name"] for r in rows.mapInArrow(run, "sample_idx int, name string").orderBy("sample_idx").collect()]
+
+
+def bam_files(spark: SparkSession, sf_dir: str, by_place: bool = False) -> list[str]:
+    """The alignments as BAM files, one a sample, written by the executors into a shared folder; sorted by place they get an index."""
+    folder = shared_folder(spark)
+    head = b"BAM\x01" + struct.pack("<ii", 0, len(CONTIGS)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 1 << 28) for c in CONTIGS)
+    order = [F.array_position(F.array(*map(F.lit, CONTIGS)), F.col("chrom")), "pos"] if by_place else []
+
+    def add(out: BamFile, r: dict) -> None:
+        reach = sum(int(n) for n, o in re.findall(f"([0-9]+)([{CIGAR_OPS}])", r["cigar"]) if o in "MDN=X")
+        out.add(bam_record(r), CONTIGS.index(r["chrom"]), r["pos"], reach)
+
+    rows = alignments(spark, sf_dir).repartition("sample_idx").sortWithinPartitions("sample_idx", *order, "file_ord")
+    names = _sample_files(rows, lambda name: BamFile(f"{folder}/{name}.bam", head), add, lambda out: out.close(by_place))
+    return [f"{folder}/{name}.bam" for name in names]
+
 
+def sam_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The alignments as SAM text, one file a sample."""
+    folder = shared_folder(spark)
     rows = alignments(spark, sf_dir).repartition("sample_idx").sortWithinPartitions("sample_idx", "file_ord")
-    return [r.path for r in rows.mapInArrow(run, "sample_idx int, path string").orderBy("sample_idx").collect()]
+
+    def begin(name: str):
+        out = open_output(f"{folder}/{name}.sam")
+        out.write("".join(["@HD\tVN:1.6\tSO:unsorted\n", *(f"@SQ\tSN:{c}\tLN:{1 << 28}\n" for c in CONTIGS)]).encode())
+        return out
+
+    def add(out, r: dict) -> None:
+        mate = "=" if r["mate_chrom"] == r["chrom"] else r["mate_chrom"]
+        fields = (r["qname"], r["flags"], r["chrom"], r["pos"] + 1, r["mapq"], r["cigar"], mate, 0, 0, "*", "*", "MD:Z:50", f"NH:i:{r['nh']}")
+        out.write(("\t".join(map(str, fields)) + "\n").encode())
+
+    return [f"{folder}/{name}.sam" for name in _sample_files(rows, begin, add, lambda out: out.close())]
+
+
+def saf_file(spark: SparkSession, sf_dir: str) -> str:
+    """The features as a SAF table, written by one task: an annotation grows with the genome, not with the reads."""
+    folder = shared_folder(spark)
+    rows = _sql(spark, FEATURES_SQL, "part", sf_dir).select(F.lit(0).alias("sample_idx"), "feat_ord", F.concat_ws("\t", "gene_id", "chrom", "f_start", "f_end", "strand").alias("line"))
+
+    def begin(name: str):
+        out = open_output(f"{folder}/{name}.saf")
+        out.write(b"GeneID\tChr\tStart\tEnd\tStrand\n")
+        return out
+
+    name = _sample_files(rows.repartition(1).sortWithinPartitions("feat_ord"), begin, lambda out, r: out.write(f"{r['line']}\n".encode()), lambda out: out.close())[0]
+    return f"{folder}/{name}.saf"

@@ -1,4 +1,4 @@
-"""GTF and GFF3 annotation into feature, gene and contig tables."""
+"""GTF, GFF3 and SAF annotation into feature, gene and contig tables."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ DETECT_LINES = 10_000
 LINE_BATCH = 1 << 20
 # Feature types to fall back on, best first.
 PREFERRED_TYPES = ("exon", "exonic_part", "CDS", "gene")
+# Names of the second to fourth column of a SAF table.
+SAF_NAMES = ("chr", "start", "end")
 
 
 @dataclass
@@ -114,6 +116,36 @@ def parse_lines(lines: DataFrame, gene_attribute: str) -> DataFrame:
     )
 
 
+def _data_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are neither empty nor comments (``#``) nor headers (``@``)."""
+    return lines.where((F.length("value") > 0) & ~F.col("value").startswith("#") & ~F.col("value").startswith("@"))
+
+
+def is_saf(lines: DataFrame) -> bool:
+    """Whether the first line of data is one of a SAF table: five to eight fields, of which the third and fourth are numbers, or the column names."""
+    first = [r.value.split("\t") for r in _data_lines(lines).orderBy("line_ord").limit(1).collect()]
+    if not first or not 5 <= len(first[0]) < 9:
+        return False
+    f = first[0]
+    return f[2].isdigit() and f[3].isdigit() or [x.lower() for x in f[1:4]] == list(SAF_NAMES)
+
+
+def parse_saf(lines: DataFrame) -> DataFrame:
+    """Feature rows of a SAF table: gene id, contig, start, end, strand, 1-based and inclusive, in tab-separated columns.
+
+    A line of column names, comments, headers and lines of fewer fields go; further fields are ignored.
+    All rows are of the type ``exon``, an empty gene id is none, any strand but + and - is unknown.
+    """
+    kept = _data_lines(lines).withColumn("f", F.split("value", "\t", -1)).where(F.size("f") >= 5)
+    f = lambda i: F.col("f")[i]
+    named = F.lower(f(1)).eqNullSafe(SAF_NAMES[0]) & F.lower(f(2)).eqNullSafe(SAF_NAMES[1]) & F.lower(f(3)).eqNullSafe(SAF_NAMES[2])
+    strand = F.when(f(4).isin("+", "-"), f(4)).otherwise(".")
+    return kept.where(~named).select(
+        "line_ord", f(1).alias("chrom"), F.lit("exon").alias("type"), leading_int(f(2)).alias("start"), leading_int(f(3)).alias("end"),
+        strand.alias("strand"), F.nullif(f(0), F.lit("")).alias("gene_id"),
+    )
+
+
 def detect_types(lines: DataFrame, n: int = DETECT_LINES) -> list[str]:
     """Distinct feature types in the first ``n`` lines that are no comments, sorted."""
     head = lines.where((F.length("value") > 0) & ~F.col("value").startswith("#")).orderBy("line_ord").limit(n)
@@ -151,7 +183,11 @@ def build_annotation(rows: DataFrame) -> Annotation:
 
 
 def load_annotation(spark: SparkSession, path: str, cfg: CountConfig) -> Annotation:
+    """The annotation in a file: GTF, GFF3 or, where its first line of data says so, SAF, which has no feature types."""
     lines = read_lines(spark, path)
-    kind = choose_type(cfg.feature_type, detect_types(lines))
-    found = build_annotation(parse_lines(lines, cfg.gene_attribute).where(F.col("type") == kind))
+    if is_saf(lines):
+        found = build_annotation(parse_saf(lines))
+    else:
+        kind = choose_type(cfg.feature_type, detect_types(lines))
+        found = build_annotation(parse_lines(lines, cfg.gene_attribute).where(F.col("type") == kind))
     return Annotation(found.features.cache(), found.genes.cache(), found.chroms.cache())

@@ -17,8 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from locusflow.sources.bam_index import parse_index, parts_of
+
 FIELDS = {
     "sample_idx": "int", "file_ord": "bigint", "qname": "string", "flags": "int", "chrom": "string", "pos": "bigint", "mapq": "int", "cigar": "string",
     "nh": "int", "mate_chrom": "string", "blocks": "array<struct<start:bigint,end:bigint>>",
@@ -47,6 +50,11 @@ def open_input(path: str):
     return system.open_input_file(name)
 
 
+def exists_input(path: str) -> bool:
+    system, name = _file_system(path)
+    return system.get_file_info(name).is_file
+
+
 def open_output(path: str):
     """A new file there, in a folder that is made if it is missing."""
     system, name = _file_system(path)
@@ -290,13 +298,28 @@ class Range(InputPartition):
     path: str
     start: int
     end: int
+    #: Where in its block the first record begins, if an index tells it.
+    first: int | None = None
+
+
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+    @property
+    def bytes(self) -> int:
+        return sum(x.end - x.start for x in self.ranges)
 
 
 def read_range(part: Range, fields: list[str]):
     """Batches of the records that begin in a range of a file; a cut-off last record is left out."""
     with open_input(part.path) as f:
         names, at, s = read_header(f)
-        if part.start:
+        if part.first is not None:
+            s, at = Inflated(f, part.start), part.first
+        elif part.start:
             place = find_block(f, part.start, part.end)
             if place is None:
                 return
@@ -326,21 +349,61 @@ def read_range(part: Range, fields: list[str]):
                 at = 0
 
 
+@dataclass
+class Region:
+    """A stretch [begin, end) of a contig, 0-based; alignments that overlap it are wanted, and others may come along."""
+
+    contig: str
+    begin: int = 0
+    end: int = 1 << 29
+
+    @classmethod
+    def parse(cls, text: str) -> Region:
+        """``name`` or ``name:first-last``, 1-based and inclusive."""
+        name, colon, span = text.rpartition(":")
+        if not colon:
+            return cls(text)
+        first, _, last = span.replace(",", "").partition("-")
+        return cls(name, int(first) - 1, int(last or first))
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options, fields: list[str]):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(";") if p]
         self.split, self.fields = int(options.get("splitbytes", options.get("splitBytes", 64 << 20))), fields
+        self.region = Region.parse(options["region"]) if options.get("region") else None
+
+    def _indexed(self, path: str) -> list[tuple[int, int, int | None]] | None:
+        """Pieces of a file that hold the region, if there is one and the file has an index beside it."""
+        if self.region is None or not exists_input(path + ".bai"):
+            return None
+        with open_input(path + ".bai") as f:
+            contigs = parse_index(f.read())
+        with open_input(path) as f:
+            names = read_header(f)[0]
+        r = self.region
+        if r.contig not in names or r.begin >= r.end or names.index(r.contig) >= len(contigs):
+            return []
+        return parts_of(contigs[names.index(r.contig)].chunks(max(r.begin, 0), r.end), self.split)
 
     def partitions(self):
-        out = []
+        out: list[Ranges] = []
         for i, p in enumerate(self.paths):
-            with open_input(p) as f:
-                n = f.size()
-            out += [Range(i, p, a, min(n, a + self.split)) for a in range(0, max(n, 1), self.split)]
-        return out
-
-    def read(self, part: Range):
-        yield from read_range(part, self.fields)
+            pieces = self._indexed(p)
+            if pieces is None:
+                with open_input(p) as f:
+                    n = f.size()
+                pieces = [(a, min(n, a + self.split), None) for a in range(0, max(n, 1), self.split)]
+            for x in pieces:  # an index may list many small ones
+                if out and out[-1].bytes + x[1] - x[0] <= self.split:
+                    out[-1].ranges.append(Range(i, p, *x))
+                else:
+                    out.append(Ranges([Range(i, p, *x)]))
+        return out or [Ranges([])]
+
+    def read(self, part: Ranges):
+        for x in part.ranges:
+            yield from read_range(x, self.fields)
 
 
 def find_block(f, start: int, end: int) -> int | None:
@@ -355,7 +418,13 @@ def find_block(f, start: int, end: int) -> int | None:
 
 
 class BamDataSource(DataSource):
-    """Options: ``paths`` (joined by ;) or load(path); ``splitBytes``, 64 MiB by default; ``fields`` (joined by ,), all by default."""
+    """Options: ``paths`` (joined by ;) or load(path); ``splitBytes``, 64 MiB by default; ``fields`` (joined by ,), all by default.
+
+    With ``region`` (name:first-last) only those parts of a file are read that its index, a
+    file of its name with .bai behind, lists for it; alignments beside the region may come along.
+    The region is an option and not taken from filters that Spark pushes down: Spark 4.1 keeps what
+    a reader made of them for the whole DataFrame, whose next query, with other filters, would lose rows.
+    """
 
     @classmethod
     def name(cls):
@@ -374,7 +443,20 @@ class BamDataSource(DataSource):
 def read_bam(spark, paths: list[str], split_bytes: int = 64 << 20, fields: list[str] | None = None):
     """Records of all ``paths``; only ``fields`` are decoded."""
     spark.dataSource.register(BamDataSource)
-    return spark.read.format("bam").option("paths", ";".join(paths)).option("splitBytes", str(split_bytes)).option("fields", ",".join(fields or FIELDS)).load()
+    return spark.read.format("bam").options(paths=";".join(paths), splitBytes=split_bytes, fields=",".join(fields or FIELDS)).load()
+
+
+def read_region(spark, paths: list[str], region: str, split_bytes: int = 64 << 20, fields: list[str] | None = None):
+    """Records that overlap ``region`` (name or name:first-last): those with a base, gap or intron there; one without aligned bases by its place.
+
+    Of files with an index only the parts listed for the region are read; others are read as a whole.
+    """
+    spark.dataSource.register(BamDataSource)
+    r, own = Region.parse(region), fields or list(FIELDS)
+    use = [*dict.fromkeys([*own, "chrom", "pos", "blocks"])]
+    rows = spark.read.format("bam").options(paths=";".join(paths), splitBytes=split_bytes, fields=",".join(use), region=region).load()
+    last = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["end"])), F.col("pos") + 1)
+    return rows.where((F.col("chrom") == r.contig) & (F.col("pos") < r.end) & (last > r.begin)).select(*own)
 
 
 def detect_paired(path: str, n: int = 1000) -> bool:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from locusflow import cli
 from locusflow.functions.cigar import cigar_blocks
-from locusflow.sources.annotation import detect_types, read_lines
-from locusflow.sources.bam import Range, detect_paired, nh_tags, read_bam, read_range
+from locusflow.plans import fixtures
+from locusflow.sources import alignments, sam
+from locusflow.sources.annotation import detect_types, is_saf, parse_saf, read_lines
+from locusflow.sources.bam import Range, detect_paired, nh_tags, read_bam, read_range, read_region
+from locusflow.sources.bam_index import build_index, parse_index, smallest_bin
 from tests import bam_writer as bw
 
 
@@ -108,3 +111,103 @@ def test_cli_end_to_end(spark, tmp_path):
     cli.main(["-q", "-f", "-M", "--fraction", "-a", str(gtf), "-o", str(tmp_path / "f.txt"), bam])
     assert (tmp_path / "f.txt").read_text().splitlines()[2] == "g1\tchr1\t1\t100\t+\t100\t1.000000"
     assert spark.read.parquet(str(tmp_path / "det")).count() == 2
+
+
+def _placed(n=4000, contigs=3):
+    """Records sorted by place over several contigs, some spliced far, some unmapped beside their mate; and bytes of each."""
+    rng = np.random.default_rng(4)
+    rows = sorted((int(rng.integers(0, contigs)), int(rng.integers(0, 40_000_000 if i % 3 else 90_000)), i) for i in range(n))
+    return [(c, p, f"r{i}", ["50M", "20M300000N30M", "*", "5S40M2D5M"][i % 4]) for c, p, i in rows]
+
+
+def _write_sorted(path, recs, contigs=3):
+    out = fixtures.BamFile(str(path), b"BAM\x01" + bytes(4) + contigs.to_bytes(4, "little") + b"".join(struct.pack("<i", 3) + f"c{i}".encode() + b"\0" + struct.pack("<i", 1 << 28) for i in range(contigs)))
+    for c, p, name, cigar in recs:
+        reach = {"50M": 50, "20M300000N30M": 300_050, "*": 0, "5S40M2D5M": 47}[cigar]
+        out.add(bw.record(name, 4 if cigar == "*" else 0, c, p, 9, cigar.replace("*", "")), c, p, reach)
+    return out
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(fixtures, "CONTIGS", ["c0", "c1", "c2"])
+    monkeypatch.setattr(fixtures.BamFile, "SIZE", 2_000)
+
+
+def _over(recs, contig, first, last):
+    reach = {"50M": 50, "20M300000N30M": 300_050, "*": 1, "5S40M2D5M": 47}
+    return sorted(n for c, p, n, g in recs if f"c{c}" == contig and p < last and p + reach[g] > first - 1)
+
+
+@pytest.mark.parametrize("region", ["c1:1-20000", "c1:89000-400000", "c2:16384-16385", "c0", "c2:39999000-50000000", "c1:500000000-600000000", "c9:1-5", "c1:7-6"])
+def test_regions_by_index(spark, tmp_path, small_blocks, region):
+    """By the index and without one the same records, and only what the index lists is read."""
+    recs, path = _placed(), str(tmp_path / "s.bam")
+    _write_sorted(path, recs).close(True)
+    contig, _, span = region.partition(":")
+    first, last = map(int, span.split("-")) if span else (1, 1 << 29)
+    found = read_region(spark, [path], region, 4_000)
+    assert sorted(r.qname for r in found.collect()) == _over(recs, contig, first, last)
+    whole = read_bam(spark, [path], 4_000).rdd.getNumPartitions()
+    assert whole > 10 and (not span or found.rdd.getNumPartitions() * 2 < whole)
+    (tmp_path / "s.bam.bai").unlink()
+    assert sorted(r.qname for r in read_region(spark, [path], region, 4_000).collect()) == _over(recs, contig, first, last)
+
+
+def test_index_of_known_bytes():
+    """One contig, two alignments of one bin and one that crosses into the next: bins and windows as the format has them."""
+    raw = build_index(2, [(0, 100, 200, 5 << 16, 9 << 16), (0, 150, 160, 9 << 16, 11 << 16), (0, 16_380, 16_390, 11 << 16, 20 << 16), (-1, -1, 0, 20 << 16, 21 << 16)])
+    one, two = parse_index(raw)
+    assert one.bins == {4681: [(5 << 16, 11 << 16)], 585: [(11 << 16, 20 << 16)]} and one.linear == [5 << 16, 11 << 16] and not two.bins
+    assert smallest_bin(0, 1) == 4681 and smallest_bin(0, 1 << 29) == 0 and smallest_bin(1 << 17, (1 << 17) + 5) == 4681 + 8
+    with pytest.raises(ValueError):
+        parse_index(b"no index")
+
+
+SAM = [
+    "@HD\tVN:1.6\tSO:coordinate", "@SQ\tSN:c1\tLN:900", "@SQ\tSN:c2\tLN:900",
+    "a\t99\tc1\t11\t60\t5M2N5M\t=\t90\t100\tACGT\tIIII\tMD:Z:NH:i:7\tNH:i:3\tXX:A:q", "b\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*", "short\t4\t*", "", "c\t16\tc2\t5\t9\t4M\tc1\t8\t0\t*\t*\tNH:i:70000\r",
+]
+
+
+def test_sam_records(spark, tmp_path):
+    path = tmp_path / "x y.sam"
+    path.write_text("\n".join(SAM) + "\n")
+    rows = sam.read_sam(spark, [str(path)], ["MD", "XX"]).orderBy("file_ord").collect()
+    assert [tuple(r)[2:] for r in rows] == [
+        ("a", 99, "c1", 10, 60, "5M2N5M", 3, "c1", "NH:i:7", "q"), ("b", 4, None, -1, 0, "*", 1, None, None, None), ("c", 16, "c2", 4, 9, "4M", 65535, "c1", None, None),
+    ]
+    assert sam.header(str(path)) == ({"VN": "1.6", "SO": "coordinate"}, ["c1", "c2"]) and sam.is_sam(str(path)) and alignments.detect_paired(str(path))
+
+
+def test_sam_order_over_splits(spark, tmp_path):
+    paths = [tmp_path / f"{i}.sam" for i in range(2)]
+    for i, p in enumerate(paths):
+        p.write_text("".join(f"s{i}r{n}\t1\tc1\t{n + 1}\t9\t{5 + n % 7}M\t=\t1\t0\t*\t*\n" for n in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = sam.read_sam(spark, list(map(str, paths)))
+        assert df.rdd.getNumPartitions() > 8
+        for i in range(2):
+            assert [r.qname for r in df.where(f"sample_idx = {i}").orderBy("file_ord").collect()] == [f"s{i}r{n}" for n in range(4000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cli_with_sam_saf_and_bam(spark, tmp_path):
+    """Formats may be mixed; samples keep the order of the arguments."""
+    (tmp_path / "f.saf").write_text("@SQ\tSN:c1\tLN:900\ng1\tc1\t1\t100\t+\ng2\tc1\t200\t300\t*\textra\n\tc1\t1\t9\t-\n")
+    (tmp_path / "t.sam").write_text("r\t0\tc1\t250\t60\t9M\t*\t0\t0\t*\t*\nq\t0\tc1\t10\t60\t9M\t*\t0\t0\t*\t*\n")
+    bam, out = str(tmp_path / "b.bam"), tmp_path / "o.txt"
+    bw.write(bam, ["c1"], [bw.record("a", 0, 0, 10, 60, "20M")])
+    assert cli.main(["-q", "-a", str(tmp_path / "f.saf"), "-o", str(out), f"t={tmp_path / 't.sam'}", bam, f"u={tmp_path / 't.sam'}"]) == 0
+    assert out.read_text().splitlines()[1:] == ["Geneid\tChr\tStart\tEnd\tStrand\tLength\tt\tb\tu", "g1\tc1\t1\t100\t+\t100\t1\t1\t1", "g2\tc1\t200\t300\t.\t101\t1\t0\t1"]
+
+
+def test_saf_is_told_by_its_first_line(spark, tmp_path):
+    for text, yes in (("#c\nGeneID\tChr\tStart\tEnd\tStrand\ng\tc\t1\t2\t+\n", True), ("g\tc\t1\t2\t+\n", True), ("g\tc\tx\t2\t+\n", False), ('c\ts\texon\t1\t2\t.\t+\t.\tgene_id "g";\n', False), ("", False)):
+        (tmp_path / "a").write_text(text)
+        lines = read_lines(spark, str(tmp_path / "a"))
+        assert is_saf(lines) == yes
+        if yes:
+            assert [(r.gene_id, r.chrom, r.start, r.end) for r in parse_saf(lines).collect()] == [("g", "c", 1, 2)]
