@@ -42,3 +42,9 @@ def count_matrix(targets: DataFrame, counts: DataFrame, samples: list[int]) -> D
     wide = counts.groupBy("target").pivot("sample_idx", samples).agg(F.sum("n"))
     wide = wide.select("target", *[F.col(f"`{i}`").alias(f"s{i}") for i in samples])
     return targets.select("target").distinct().join(wide, "target", "left").fillna(0)
+
+
+def sparse_counts(counts: DataFrame, value) -> DataFrame:
+    """(target, counts): the (sample, n) pairs of each target, ``value`` of n as text; one row a target for any number of samples."""
+    pairs = F.collect_list(F.struct(F.col("sample_idx").cast("int").alias("sample"), value.alias("n")))
+    return counts.groupBy("target").agg(pairs.alias("counts"))

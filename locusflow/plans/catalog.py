@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusflow.config import CountConfig
@@ -19,7 +19,7 @@ from locusflow.plans import fixtures, oracle
 from locusflow.plans.count import count_once, count_reads
 from locusflow.plans.output import write_counts, write_summary
 from locusflow.sources.alignments import detect_paired, read_alignments
-from locusflow.sources.annotation import build_annotation, choose_type, detect_types, load_annotation, parse_lines
+from locusflow.sources.annotation import build_annotation, choose_type, detect_types, load_annotation, parse_lines, read_lines
 from locusflow.sources.bam import COUNT_FIELDS, open_input, read_bam, read_region
 from locusflow.sources.sam import read_sam
 from locusflow.sources.shared import shared_folder
@@ -244,6 +244,24 @@ def count_table_file(spark, d):
     return _written(spark, d, cfg, write, "counts", "line bigint, gene_id string, chr string, starts string, ends string, strands string, length string, a string, b string", 2)
 
 
+def _lines_of(spark, d, cfg, name):
+    """All lines of a count table as a writer made it, head and all, of a file that may be gzipped."""
+    result, ann = _run(spark, d, cfg)
+    path = f"{shared_folder(spark)}/{name}"
+    write_counts(result, ann, [("a", ""), ("b", "")], cfg, path, "x")
+    lines = read_lines(spark, path)
+    place = F.row_number().over(Window.orderBy("line_ord")) - 1  # one line a feature of the annotation
+    return lines.select(place.cast("bigint").alias("line"), F.col("value").alias("text"))
+
+
+def feature_table_gzip(spark, d):
+    return _lines_of(spark, d, C(feature_level=True, multi_overlap=True), "counts.gz")
+
+
+def gene_table_lines(spark, d):
+    return _lines_of(spark, d, C(strand=2), "counts.txt")
+
+
 def exon_table_file(spark, d):
     cfg = C(output_format="dexseq")
     write = lambda result, ann, path: write_counts(result, ann, [("a", ""), ("b", "")], cfg, path, "x")
@@ -258,7 +276,7 @@ def summary_file(spark, d):
 PLAIN: dict[str, Query] = {
     "bam_round_trip": bam_round_trip, "bam_blocks": bam_blocks, "bam_gene_counts": bam_gene_counts, "bam_pairs": bam_pairs, "bam_region": bam_region,
     "sam_round_trip": sam_round_trip, "sam_saf_gene_counts": sam_saf_gene_counts,
-    "count_table_file": count_table_file, "exon_table_file": exon_table_file, "summary_file": summary_file,
+    "count_table_file": count_table_file, "exon_table_file": exon_table_file, "feature_table_gzip": feature_table_gzip, "gene_table_lines": gene_table_lines, "summary_file": summary_file,
     "read_filter_status": _filter_status(C()), "read_filter_status_strict": _filter_status(STRICT.with_(paired=True, both_aligned=True, no_chimeric=True)),
     "cigar_blocks": cigar_block_rows, "interval_join_hits": interval_join_hits, "hit_overlap_len": hit_overlap_len, "mate_pairing": mate_pairing, "orphans": orphans,
     "collapsed_gene_length": collapsed_gene_length, "gene_metadata": gene_metadata, "exon_numbering": exon_numbering, "count_matrix_pivot": count_matrix_pivot,
@@ -302,6 +320,7 @@ k AS (SELECT * FROM r WHERE {_GENE} IS NOT NULL), g AS (SELECT gene_id, row_numb
 SELECT row_number() OVER (ORDER BY co, f_start, feat_ord) - 1 AS feature_idx, gene_ord, gene_id, feat_ord AS line_ord FROM k JOIN c USING (chrom) JOIN g USING (gene_id)""",
 }
 
+_HEAD = "h(line, text) AS (VALUES (0::BIGINT, '# x'), (1::BIGINT, concat_ws(chr(9), 'Geneid', 'Chr', 'Start', 'End', 'Strand', 'Length', 'a', 'b')))"
 _FRACTION = C(multi_mapping=True, fraction=True, multi_overlap=True)
 PLAIN_SQL |= {
     "sam_round_trip": f"SELECT CAST(sample_idx AS BIGINT) AS sample_idx, qname, CAST(flags AS BIGINT) AS flags, chrom, pos, CAST(mapq AS BIGINT) AS mapq, cigar, CAST(nh AS BIGINT) AS nh, mate_chrom FROM ({fixtures.ALIGNMENTS_SQL})",
@@ -315,6 +334,14 @@ SELECT CAST(sample_idx AS BIGINT) AS sample_idx, qname, CAST(flags AS BIGINT) AS
 p AS (SELECT gene_id, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM o LEFT JOIN n USING (gene_id) GROUP BY gene_id)
 SELECT row_number() OVER (ORDER BY o.o) - 1 AS line, gene_id, chr, starts, ends, strands, CAST(length AS VARCHAR) AS length, printf('%.6f', CAST(a AS DOUBLE) / 1000000) AS a, printf('%.6f', CAST(b AS DOUBLE) / 1000000) AS b
 FROM o JOIN m USING (gene_id) JOIN l USING (gene_id) JOIN p USING (gene_id)""",
+    "feature_table_gzip": f"""{_FA}, o AS ({_ORD} features), n AS {_COUNT(C(feature_level=True, multi_overlap=True))}, {_HEAD},
+p AS (SELECT feat_ord, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM features LEFT JOIN n USING (feat_ord) GROUP BY feat_ord)
+SELECT line, text FROM h UNION ALL
+SELECT row_number() OVER (ORDER BY co, f_start, feat_ord) + 1, concat_ws(chr(9), gene_id, chrom, f_start, f_end, strand, f_end - f_start + 1, a, b) FROM o JOIN p USING (feat_ord)""",
+    "gene_table_lines": f"""{_FA}, n AS {_COUNT(C(strand=2))}, {_HEAD}, o AS (SELECT gene_id, min(feat_ord) AS o FROM features GROUP BY 1), m AS ({PLAIN_SQL["gene_metadata"]}), l AS ({PLAIN_SQL["collapsed_gene_length"]}),
+p AS (SELECT gene_id, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM o LEFT JOIN n USING (gene_id) GROUP BY gene_id)
+SELECT line, text FROM h UNION ALL
+SELECT row_number() OVER (ORDER BY o.o) + 1, concat_ws(chr(9), gene_id, chr, starts, ends, strands, length, a, b) FROM o JOIN m USING (gene_id) JOIN l USING (gene_id) JOIN p USING (gene_id)""",
     "exon_table_file": f"""{_FA}, o AS ({_ORD} features), n AS {_COUNT(C(feature_level=True))}, p AS (SELECT feat_ord, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM n GROUP BY feat_ord)
 SELECT row_number() OVER (ORDER BY co, f_start, feat_ord) - 1 AS line, gene_id, concat(gene_id, ':E', lpad(CAST(row_number() OVER (PARTITION BY gene_id ORDER BY co, f_start, feat_ord) AS VARCHAR), 3, '0')) AS exon_id,
  CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM o JOIN p USING (feat_ord)""",

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from locusflow import cli
 from locusflow.functions.cigar import cigar_blocks
+from locusflow.config import CountConfig
 from locusflow.plans import fixtures
+from locusflow.plans.output import table, write_counts
 from locusflow.sources import alignments, sam
-from locusflow.sources.annotation import detect_types, is_saf, parse_saf, read_lines
+from locusflow.sources.annotation import build_annotation, detect_types, is_saf, parse_lines, parse_saf, read_lines
 from locusflow.sources.bam import Range, detect_paired, nh_tags, read_bam, read_range, read_region
 from locusflow.sources.bam_index import build_index, parse_index, smallest_bin
+from locusflow.sources.line_sink import TableSink
 from tests import bam_writer as bw
 
 
@@ -211,3 +214,48 @@ def test_saf_is_told_by_its_first_line(spark, tmp_path):
         assert is_saf(lines) == yes
         if yes:
             assert [(r.gene_id, r.chrom, r.start, r.end) for r in parse_saf(lines).collect()] == [("g", "c", 1, 2)]
+
+
+def _table_of(spark, tmp_path, samples, genes, name, parts=None):
+    """A count table of ``samples`` with few counts, written in one piece or in several; and the lines that it should have."""
+    ann = build_annotation(parse_lines(spark.createDataFrame([(f'c\tx\texon\t{i * 10 + 1}\t{i * 10 + 5}\t.\t+\t.\tgene_id "g{i}";', i) for i in range(genes)], "value string, line_ord bigint"), "gene_id"))
+    counts = [(s, g, 1 + s + g) for s in range(0, samples, 97) for g in range(0, genes, 3)]
+    result = type("Made", (), {"counts": spark.createDataFrame(counts, "sample_idx int, target bigint, n bigint")})()
+    path = tmp_path / name
+    if parts:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        write_counts(result, ann, [(f"s{i}", "") for i in range(samples)], CountConfig(), str(path), "me")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    held = {(s, g): n for s, g, n in counts}
+    want = ["# me", "\t".join(["Geneid", "Chr", "Start", "End", "Strand", "Length", *(f"s{i}" for i in range(samples))])]
+    want += ["\t".join([f"g{g}", "c", str(g * 10 + 1), str(g * 10 + 5), "+", "5", *(str(held.get((s, g), 0)) for s in range(samples))]) for g in range(genes)]
+    data = path.read_bytes()
+    assert (gzip.decompress(data) if name.endswith(".gz") else data).decode().splitlines() == want
+    assert [p.name for p in tmp_path.iterdir()] == [name]  # no part is left
+    return result, ann
+
+
+@pytest.mark.parametrize("name,parts", [("t.txt", None), ("t.gz", None), ("t.txt", 5), ("t.gz", 5)])
+def test_tables_in_one_and_many_parts(spark, tmp_path, name, parts):
+    _table_of(spark, tmp_path, 3, 40, name, parts)
+
+
+def test_table_of_five_thousand_samples(spark, tmp_path):
+    """The plan does not grow with the samples."""
+    result, ann = _table_of(spark, tmp_path, 5000, 7, "many.txt")
+    assert len(table(result, ann, CountConfig()).columns) == 3
+
+
+def test_failed_tables_leave_nothing(spark, tmp_path):
+    spark.dataSource.register(TableSink)
+    bad = spark.range(3).select(F.array(F.lit("g")).alias("fields"), F.array(F.struct(F.lit(9).alias("sample"), F.lit("1").alias("n"))).alias("counts"))
+    with pytest.raises(Exception, match="list assignment index"):
+        bad.write.format("count_table").options(head="[]", samples=2, zero="0").mode("append").save(str(tmp_path / "t"))
+    assert list(tmp_path.iterdir()) == []
+    none = bad.where("false")
+    none.write.format("count_table").options(head='["h"]', samples=2, zero="0").mode("append").save(str(tmp_path / "t"))
+    assert (tmp_path / "t").read_text() == "h\n"
