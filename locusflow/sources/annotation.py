@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from locusflow.config import CountConfig
+from locusflow.operators.ordinals import with_ordinal
 from locusflow.sources.bam import open_input
 
 DETECT_LINES = 10_000
@@ -167,18 +168,14 @@ def choose_type(wanted: str, present: list[str]) -> str:
 def build_annotation(rows: DataFrame) -> Annotation:
     """Number contigs and genes by first appearance and features by (contig, start, line).
 
-    A contig counts as known even if none of its rows has a gene id. The ordinals
-    come from one-partition windows over distinct contigs, genes and features of
-    one genome, which hold millions of rows at most and never grow with the reads.
+    A contig counts as known even if none of its rows has a gene id. Each table is
+    written once with its numbers, so no task has to hold a whole one.
     """
-    number = lambda *order: (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint")
-    chroms = rows.groupBy("chrom").agg(F.min("line_ord").alias("o")).select("chrom", number("o").cast("int").alias("chrom_ord"))
+    chroms = with_ordinal(rows.groupBy("chrom").agg(F.min("line_ord").alias("o")), "chrom_ord", "o").select("chrom", F.col("chrom_ord").cast("int").alias("chrom_ord"))
     named = rows.where(F.col("gene_id").isNotNull())
-    genes = named.groupBy("gene_id").agg(F.min("line_ord").alias("o")).select("gene_id", number("o").alias("gene_ord"))
-    features = named.join(chroms, "chrom").join(genes, "gene_id")
-    features = features.select(
-        number("chrom_ord", "start", "line_ord").alias("feature_idx"), "gene_ord", "gene_id", "chrom_ord", "chrom", "start", "end", "strand", "line_ord",
-    )
+    genes = with_ordinal(named.groupBy("gene_id").agg(F.min("line_ord").alias("o")), "gene_ord", "o").select("gene_id", "gene_ord")
+    placed = named.join(chroms, "chrom").join(genes, "gene_id").select("gene_ord", "gene_id", "chrom_ord", "chrom", "start", "end", "strand", "line_ord")
+    features = with_ordinal(placed, "feature_idx", "chrom_ord", "start", "line_ord").select("feature_idx", *placed.columns)
     return Annotation(features, genes, chroms)
 
 

@@ -9,6 +9,7 @@ from locusflow.operators.classify import classify
 from locusflow.operators.feature_index import collect_features
 from locusflow.operators.gene_metadata import collapsed_length, exon_numbers, gene_metadata
 from locusflow.operators.interval_join import interval_join
+from locusflow.operators.ordinals import with_ordinal
 from locusflow.operators.pairing import candidates, mate_rows, mates_in_splits
 from locusflow.plans.count import count_once, count_reads
 from locusflow.sources.annotation import build_annotation, choose_type, detect_types, parse_lines
@@ -246,3 +247,18 @@ def test_interval_join_of_long_intervals(spark):
     left = spark.createDataFrame([(0, "c", 1, 1), (1, "c", 249_999_999, 260_000_000), (2, "c", 16_000, 17_000), (3, "c", 9, 8), (4, "d", 1, 9)], "i int, chrom string, l_start bigint, l_end bigint")
     pairs = [(r.i, r.j) for r in interval_join(left, right, 16_384).collect()]
     assert sorted(pairs) == [(0, 0), (0, 2), (1, 0), (2, 0), (2, 1)]
+
+
+def test_ordinals_are_those_of_one_sort(spark):
+    rows = spark.range(5000).selectExpr("id", "pmod(xxhash64(id), 300) AS k", "struct(pmod(id, 7) AS b, id AS i) AS s")
+    got = sorted((r.n, r.k, r.id) for r in with_ordinal(rows, "n", "k", F.col("s")).collect())
+    want = sorted((r.k, r.s.b, r.id) for r in rows.collect())
+    assert got == [(n, k, i) for n, (k, _, i) in enumerate(want)]
+    assert with_ordinal(rows.where("false"), "n", "k").collect() == []
+
+
+def test_annotation_without_one_task_sorts(spark, ann):
+    built = build_annotation(parse_lines(lines(spark, [f'c{i % 3}\tx\texon\t{i}\t{i + 5}\t.\t+\t.\tgene_id "g{i % 11}";' for i in range(200)]), "gene_id"))
+    for t in (built.features, built.genes, built.chroms):
+        assert _exchanges(t)[1] == 0
+    assert [r.feature_idx for r in built.features.orderBy("chrom_ord", "start", "line_ord").collect()] == list(range(200))
