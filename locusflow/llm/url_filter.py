@@ -2,7 +2,7 @@
 
 Spark's FP-growth mines combinations of URL tokens that go with the label of bad
 pages. Rules below the support or confidence asked for, and rules that a shorter
-one makes needless, go. A rule is filed under its rarest token, so a URL meets
+one makes needless, go. A rule is filed under its rarest tokens, so a URL meets
 only rules filed under one of its own tokens and then must have all of theirs.
 """
 
@@ -54,15 +54,18 @@ def url_tokens(url: Column) -> Column:
 
 
 def mine_rules(labelled: DataFrame, least_pages: int = LEAST_PAGES, confidence: float = CONFIDENCE) -> DataFrame:
-    """(rule, tokens, size, anchor, confidence) from rows (url, bad); none if no row is bad, or all are.
+    """(rule, tokens, lists, size, anchor, confidence) from rows (url, bad); none if no row is bad, or all are.
 
-    A rule goes if the same rule without one of its tokens is at least as confident.
+    A rule goes if the same rule without one of its tokens is at least as confident; of
+    rules that tie, the one whose name sorts first is what a URL that fits several is given.
     Hence a token of bad pages alone is in no longer rule, and tokens of just the
     same pages not in one rule: patterns are mined without the former, and with one
-    of the latter, for which the others are put in afterwards.
+    of the latter, its class. A rule asks for a token of each of its ``lists``, which are
+    classes or single tokens, so it is one rule however large they are; one of a single list is
+    a rule for each token. It is filed under each token of its rarest list (``anchor``).
     """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule string, tokens array<string>, size int, anchor string, confidence double")
+    empty = spark.createDataFrame([], "rule string, tokens array<string>, lists array<array<string>>, size int, anchor string, confidence double")
     items = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull())
     pages = cut(items.select(F.monotonically_increasing_id().alias("row"), url_tokens(F.col("url")).alias("own"), "bad"))
     n, n_bad = pages.agg(F.count("*"), F.count_if("bad")).first()
@@ -74,8 +77,7 @@ def mine_rules(labelled: DataFrame, least_pages: int = LEAST_PAGES, confidence:
     able = counts.where(F.col("n_bad") >= least_pages)
     found = able.where("n_bad = n").select(F.array("token").alias("tokens"), F.lit(1.0).alias("confidence"))
     classes = cut(able.where("n_bad < n").groupBy("n", "n_bad", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("token"), "members"))
-    # Tokens of least_pages bad pages and a clean one: few beside the pages, so they are broadcast.
-    held = each.join(F.broadcast(classes.select("token")), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("own"))
+    held = each.join(classes.select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("own"))
     baskets = cut(held.select(F.concat("own", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.expr("cast(array() as array<string>)"))).alias("items")))
     m = baskets.count()
     if m >= least_pages:
@@ -86,13 +88,13 @@ def mine_rules(labelled: DataFrame, least_pages: int = LEAST_PAGES, confidence:
     shorter = found.where(F.size("tokens") > 1).select("rule", "confidence", F.explode(F.transform("tokens", lambda t: F.array_join(F.array_remove("tokens", t), " & "))).alias("part"))
     needless = shorter.join(found.select(F.col("rule").alias("part"), F.col("confidence").alias("c")), "part").where("c >= confidence").select("rule").distinct()
     kept = found.join(needless, "rule", "left_anti")
-    choices = kept.select("rule", "confidence", F.explode("tokens").alias("token")).join(classes, "token", "left").groupBy("rule", "confidence").agg(F.collect_list(F.coalesce("members", F.array("token"))).alias("lists"))
-    start = F.expr("array(cast(array() as array<string>))")
-    every = F.aggregate("lists", start, lambda done, own: F.flatten(F.transform(done, lambda d: F.transform(own, lambda x: F.concat(d, F.array(x))))))
-    kept = cut(choices.select("confidence", F.explode(every).alias("tokens")).select("confidence", F.array_sort("tokens").alias("tokens")).withColumn("rule", F.array_join("tokens", " & ")))
-    often = counts.select(F.col("token").alias("anchor"), F.col("n").alias("count"))
-    filed = kept.select("rule", F.explode("tokens").alias("anchor")).join(often, "anchor").groupBy("rule").agg(F.min(F.struct("count", "anchor"))["anchor"].alias("anchor"))
-    return cut(kept.join(filed, "rule").select("rule", "tokens", F.size("tokens").alias("size"), "anchor", "confidence"))
+    choices = kept.select("rule", "confidence", F.explode("tokens").alias("token")).join(classes, "token", "left").groupBy("rule", "confidence").agg(F.array_sort(F.collect_list(F.coalesce("members", F.array("token")))).alias("lists"))
+    alone = choices.where(F.size("lists") == 1).select("confidence", F.explode(F.col("lists")[0]).alias("rule")).select("rule", "confidence", F.array(F.array("rule")).alias("lists"))
+    whole = alone.unionByName(choices.where(F.size("lists") > 1))
+    often = counts.select(F.col("token").alias("first"), F.col("n").alias("count"))
+    rarest = whole.select("rule", F.explode("lists").alias("any")).withColumn("first", F.col("any")[0]).join(often, "first").groupBy("rule").agg(F.min(F.struct("count", "any"))["any"].alias("any"))
+    filed = whole.join(rarest, "rule").select("*", F.explode("any").alias("anchor"))
+    return cut(filed.select("rule", F.transform("lists", lambda x: x[0]).alias("tokens"), "lists", F.size("lists").alias("size"), "anchor", "confidence"))
 
 
 def listed_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -113,10 +115,10 @@ def listed_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, mined): the most confident mined rule whose tokens a url all has."""
+    """(url, mined): the most confident mined rule of whose lists a url has a token each."""
     tokens = urls.select("url", url_tokens(F.col("url")).alias("own"))
     looked = tokens.select("url", "own", F.explode("own").alias("anchor")).join(rules, "anchor")
-    hits = looked.where(F.size(F.array_intersect("tokens", "own")) == F.col("size"))
+    hits = looked.where(F.forall("lists", lambda x: F.arrays_overlap(x, F.col("own"))))
     return hits.groupBy("url").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "rule"))["rule"].alias("mined"))
 
 

@@ -329,3 +329,56 @@ def test_seed_words_and_labels(spark):
     marks = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
     got = {(r.url, r.bad) for r in url_filter.labelled_urls(pages, marks).collect()}
     assert got == {("http://m.casino-win.example/x", True), ("http://plain.example/", True), ("http://other.example/", True)}
+
+
+def pages_of(groups, bad, n, start=0):
+    """``n`` pages with all query keys of ``groups``, each on a host of its own."""
+    return [(f"http://h{'abcdefghij'[i % 10]}{i + start}.test/?" + "&".join(f"{k}=1" for g in groups for k in g), bad) for i in range(n)]
+
+
+def test_rules_of_several_classes_are_one_rule(spark):
+    """Three classes of forty keys, bad only together: one rule, not 64,000, and it decides verdicts that no single token does."""
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = pages_of((a, b, c), True, 30) + pages_of((a, b), False, 40, 100) + pages_of((a, c), False, 40, 200) + pages_of((b, c), False, 40, 300)
+    mined = url_filter.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    rules = {r.rule: r for r in mined.collect()}
+    assert len(rules) == 1 and mined.count() == 40
+    (rule,) = rules.values()
+    assert sorted(map(len, rule.lists)) == [40, 40, 40] and rule.size == 3
+    urls = ["http://n.test/?a7=1&b3=2&c0=3", "http://n.test/?a7=1&b3=2", "http://n.test/?a1&c2", "http://n.test/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame(list(url_filter.LISTED), "verdict string, host string, path string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(pages, listed, mined).collect()} == {0: "block", 1: "allow", 2: "allow", 3: "allow"}
+
+
+def plain_rules(rows, least, confidence):
+    """Rules over query keys by trying every set of keys."""
+    from itertools import combinations
+
+    pages = [(frozenset(u.partition("?")[2].replace("=1", "").split("&")), bad) for u, bad in rows]
+    n_bad = sum(b for _, b in pages)
+    found = {}
+    keys = sorted(set().union(*(k for k, _ in pages)))
+    for size in range(1, len(keys) + 1):
+        for s in combinations(keys, size):
+            own = [b for k, b in pages if k >= set(s)]
+            share = sum(own) / len(own) if own else 0
+            if sum(own) >= least and share >= confidence and (1 - share) * url_filter.LEAST_GAIN <= 1 - n_bad / len(pages):
+                found[s] = share
+    return {s for s, c in found.items() if not any(found.get(s[:i] + s[i + 1 :], -1) >= c for i in range(len(s)))}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_rules_equal_trying_all(spark, seed):
+    import random
+
+    rng, keys = random.Random(seed), "pqrstu"
+    rows = []
+    for i in range(400):
+        own = [k for k in keys if rng.random() < 0.5] or ["p"]
+        bad = {"p", "q"} <= set(own) and "u" not in own or {"r", "s", "t"} <= set(own) or rng.random() < 0.02
+        rows.append((f"http://h{'abcdefghij'[i % 10]}x{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}.test/?" + "&".join(f"{k}=1" for k in own), bad))
+    mined = url_filter.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    got = {tuple(t.removeprefix("q:") for t in r.tokens) for r in mined if all(t.startswith("q:") for t in r.tokens)}
+    want = plain_rules(rows, url_filter.LEAST_PAGES, url_filter.CONFIDENCE)
+    assert got == want and max(map(len, got)) >= 2
