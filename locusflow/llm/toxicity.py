@@ -26,6 +26,8 @@ from locusflow.llm.training import crc_mod, labels, sample_texts
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
 #: Costs (negative log probabilities) of the channel.
 LEET_COST, DROP_COST, ONCE_COST, TWICE_COST, BREAK_COST = 1.0, 0.7, 0.2, 0.9, 2.5
+#: A character that may be a letter is left out at this further cost, above the price of a letter: else short readings would win.
+LOST_COST = 8.0
 #: Symbols of the character model: 0 is a word's edge, 1-26 letters, 27-31 classes of others.
 SYMBOLS = 32
 #: Labelled documents to learn from at most, and marks to keep at most.
@@ -44,6 +46,8 @@ _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 _EDGE = re.compile(_STRIP.pattern.replace(r"[\W_]", rf"(?:(?![{re.escape(''.join(LEET))}])[\W_])"))
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
+#: Letters set apart by several blanks or by tabs, all of them.
+_WIDE = re.compile(r"(?<!\S)(?:\S(?:[ ]{2,}|[ ]*\t[ \t]*)){2,}\S(?!\S)")
 
 
 def _symbols() -> np.ndarray:
@@ -108,7 +112,7 @@ def steps(token: str) -> list[list[tuple[int, str, float]]]:
             arcs += [(i + 1, "", DROP_COST), (i + 1, " ", BREAK_COST)]
         else:
             arcs += [(i + 1, x, LEET_COST) for x in LEET.get(c, "")]
-            arcs.append((i + 1, "", DROP_COST + (2.0 if c in LEET else 0.0)))
+            arcs.append((i + 1, "", DROP_COST + (LOST_COST if c in LEET else 0.0)))
         out.append(arcs)
     return out
 
@@ -195,6 +199,8 @@ class Restorer:
         if any(len(t) == 1 for t in tokens):
             for m in _SPACED.finditer(low):
                 out.update(viterbi(m.group(), self.lm).split())
+            for m in _WIDE.finditer(low):
+                out.update(viterbi(" ".join(m.group().split()), self.lm).split())
         for t in tokens:
             w = self.known.get(t)
             if w is None:

@@ -382,3 +382,24 @@ def test_mined_rules_equal_trying_all(spark, seed):
     got = {tuple(t.removeprefix("q:") for t in r.tokens) for r in mined if all(t.startswith("q:") for t in r.tokens)}
     want = plain_rules(rows, url_filter.LEAST_PAGES, url_filter.CONFIDENCE)
     assert got == want and max(map(len, got)) >= 2
+
+
+@needs_data
+def test_disguised_words_are_restored(spark):
+    """Over the commonest words of a corpus: digits and symbols for letters, a letter drawn out, letters set apart in several ways."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    restorer = toxicity.Restorer(toxicity.language_model(docs))
+    counts = Counter(w for r in docs.select("text").collect() for w in re.findall("[a-z]{4,}", r.text.lower()))
+    words = [w for w, _ in counts.most_common(500)]
+    swap = lambda w, to: "".join(to.get(c, c) for c in w)
+    middle = lambda w: w[: len(w) // 2] + w[len(w) // 2] * 6 + w[len(w) // 2 + 1 :]
+    disguises = {
+        "vowels": lambda w: swap(w, {"a": "4", "e": "3", "i": "1", "o": "0"}), "symbols": lambda w: swap(w, {"a": "@", "s": "$"}), "drawn": lambda w: w if re.search(r"(.)\1", w) else middle(w),
+        "dots": ".".join, "blanks": " ".join, "wide": "  ".join, "tabs": "\t".join, "both": " \t ".join,
+    }
+    for name, disguise in disguises.items():
+        hidden = [w for w in words if disguise(w) != w]
+        found = sum(w in restorer.words(f"so {disguise(w)}, and") or w in restorer.words(f"so\n{disguise(w)}\nand") for w in hidden)
+        assert found >= 0.95 * len(hidden), (name, found, len(hidden))
