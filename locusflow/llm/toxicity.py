@@ -112,6 +112,8 @@ def steps(token: str) -> list[list[tuple[int, str, float]]]:
             arcs += [(i + 1, "", DROP_COST), (i + 1, " ", BREAK_COST)]
         else:
             arcs += [(i + 1, x, LEET_COST) for x in LEET.get(c, "")]
+            if c in LEET and j - i >= 3:  # drawn out as letters are
+                arcs += [arc for x in LEET[c] for arc in ((j, x, LEET_COST + ONCE_COST), (j, x * 2, LEET_COST + TWICE_COST))]
             arcs.append((i + 1, "", DROP_COST + (LOST_COST if c in LEET else 0.0)))
         out.append(arcs)
     return out
