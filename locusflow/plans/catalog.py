@@ -17,7 +17,7 @@ from locusflow.operators.interval_join import interval_join
 from locusflow.operators.pairing import candidates, mate_rows, mates_in_splits, with_blocks
 from locusflow.plans import fixtures, oracle
 from locusflow.plans.count import count_once, count_reads
-from locusflow.plans.output import write_counts, write_summary
+from locusflow.plans.output import write_counts, write_details, write_summary
 from locusflow.sources.alignments import detect_paired, read_alignments
 from locusflow.sources.annotation import build_annotation, choose_type, detect_types, load_annotation, parse_lines, read_lines
 from locusflow.sources.bam import COUNT_FIELDS, open_input, read_bam, read_region
@@ -254,6 +254,20 @@ def _lines_of(spark, d, cfg, name):
     return lines.select(place.cast("bigint").alias("line"), F.col("value").alias("text"))
 
 
+def annotation_sniffed(spark, d):
+    """A gzipped file without the default feature type: it is inflated, and CDS are taken instead."""
+    features = load_annotation(spark, fixtures.gtf_file(spark, d), C()).features
+    return features.select("feature_idx", "gene_ord", "gene_id", F.col("chrom_ord").cast("bigint").alias("chrom_ord"), "chrom", "start", "end", "strand")
+
+
+def details_file(spark, d):
+    """Each fragment's outcome, as written to Parquet."""
+    path = f"{shared_folder(spark)}/details"
+    write_details(_run(spark, d, C(multi_overlap=True, min_overlap=5))[0], path)
+    idx = F.col("sample_idx").cast("bigint").alias("sample_idx")
+    return spark.read.parquet(path).select(idx, F.col("first_ord").alias("file_ord"), "qname", "status", F.size("targets").cast("bigint").alias("n_targets"))
+
+
 def feature_table_gzip(spark, d):
     return _lines_of(spark, d, C(feature_level=True, multi_overlap=True), "counts.gz")
 
@@ -276,7 +290,7 @@ def summary_file(spark, d):
 PLAIN: dict[str, Query] = {
     "bam_round_trip": bam_round_trip, "bam_blocks": bam_blocks, "bam_gene_counts": bam_gene_counts, "bam_pairs": bam_pairs, "bam_region": bam_region,
     "sam_round_trip": sam_round_trip, "sam_saf_gene_counts": sam_saf_gene_counts,
-    "count_table_file": count_table_file, "exon_table_file": exon_table_file, "feature_table_gzip": feature_table_gzip, "gene_table_lines": gene_table_lines, "summary_file": summary_file,
+    "count_table_file": count_table_file, "exon_table_file": exon_table_file, "feature_table_gzip": feature_table_gzip, "gene_table_lines": gene_table_lines, "annotation_sniffed": annotation_sniffed, "details_file": details_file, "summary_file": summary_file,
     "read_filter_status": _filter_status(C()), "read_filter_status_strict": _filter_status(STRICT.with_(paired=True, both_aligned=True, no_chimeric=True)),
     "cigar_blocks": cigar_block_rows, "interval_join_hits": interval_join_hits, "hit_overlap_len": hit_overlap_len, "mate_pairing": mate_pairing, "orphans": orphans,
     "collapsed_gene_length": collapsed_gene_length, "gene_metadata": gene_metadata, "exon_numbering": exon_numbering, "count_matrix_pivot": count_matrix_pivot,
@@ -334,6 +348,10 @@ SELECT CAST(sample_idx AS BIGINT) AS sample_idx, qname, CAST(flags AS BIGINT) AS
 p AS (SELECT gene_id, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM o LEFT JOIN n USING (gene_id) GROUP BY gene_id)
 SELECT row_number() OVER (ORDER BY o.o) - 1 AS line, gene_id, chr, starts, ends, strands, CAST(length AS VARCHAR) AS length, printf('%.6f', CAST(a AS DOUBLE) / 1000000) AS a, printf('%.6f', CAST(b AS DOUBLE) / 1000000) AS b
 FROM o JOIN m USING (gene_id) JOIN l USING (gene_id) JOIN p USING (gene_id)""",
+    "annotation_sniffed": f"""{_FA}, r AS (SELECT * FROM features WHERE feat_ord % 4 <> 0), c AS (SELECT chrom, row_number() OVER (ORDER BY min(feat_ord)) - 1 AS chrom_ord FROM r GROUP BY 1),
+g AS (SELECT gene_id, row_number() OVER (ORDER BY min(feat_ord)) - 1 AS gene_ord FROM r GROUP BY 1)
+SELECT row_number() OVER (ORDER BY chrom_ord, f_start, feat_ord) - 1 AS feature_idx, gene_ord, gene_id, chrom_ord, chrom, f_start AS start, f_end AS "end", strand FROM r JOIN c USING (chrom) JOIN g USING (gene_id)""",
+    "details_file": f"WITH {oracle.resolved_sql(C(multi_overlap=True, min_overlap=5))} SELECT CAST(res.sample_idx AS BIGINT) AS sample_idx, fid AS file_ord, qname, res.status, CAST(n_targets AS BIGINT) AS n_targets FROM res JOIN cls ON file_ord = fid",
     "feature_table_gzip": f"""{_FA}, o AS ({_ORD} features), n AS {_COUNT(C(feature_level=True, multi_overlap=True))}, {_HEAD},
 p AS (SELECT feat_ord, coalesce(sum(n) FILTER (sample_idx=0),0) AS a, coalesce(sum(n) FILTER (sample_idx=1),0) AS b FROM features LEFT JOIN n USING (feat_ord) GROUP BY feat_ord)
 SELECT line, text FROM h UNION ALL

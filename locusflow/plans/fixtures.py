@@ -6,6 +6,7 @@ same text, so both engines count the same reads.
 
 from __future__ import annotations
 
+import gzip
 import re
 import struct
 import uuid
@@ -194,3 +195,21 @@ def saf_file(spark: SparkSession, sf_dir: str) -> str:
 
     name = _sample_files(rows.repartition(1).sortWithinPartitions("feat_ord"), begin, lambda out, r: out.write(f"{r['line']}\n".encode()), lambda out: out.close())[0]
     return f"{folder}/{name}.saf"
+
+
+def gtf_file(spark: SparkSession, sf_dir: str) -> str:
+    """The features as a GTF file without exons, three of four lines CDS and the others genes, gzipped though its name does not say so."""
+    folder = shared_folder(spark)
+    line = "concat_ws('\\t', chrom, 'src', CASE WHEN feat_ord % 4 = 0 THEN 'gene' ELSE 'CDS' END, f_start, f_end, '.', strand, '.', concat('gene_id \"', gene_id, '\";'))"
+    rows = _sql(spark, FEATURES_SQL, "part", sf_dir).select(F.lit(0).alias("sample_idx"), "feat_ord", F.expr(line).alias("line"))
+
+    def begin(name: str):
+        raw = open_output(f"{folder}/{name}.data")
+        return raw, gzip.GzipFile(fileobj=raw, mode="wb")
+
+    def end(out) -> None:
+        for f in out[::-1]:
+            f.close()
+
+    name = _sample_files(rows.repartition(1).sortWithinPartitions("feat_ord"), begin, lambda out, r: out[1].write(f"{r['line']}\n".encode()), end)[0]
+    return f"{folder}/{name}.data"
