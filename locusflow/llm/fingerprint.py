@@ -12,17 +12,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusflow.llm.common import documents, mix, row_id
+from locusflow.llm.common import cut, documents, mix, row_id, texts
 
 K, BINS, LEAST = 8, 32, 2
 #: Expected k-mers per bin that are looked at first; a bin that gets fewer than LEAST of them makes all be looked at.
 FIRST = 16
 #: Signature components have so many hex digits; an empty bin is all zeros.
 DIGITS = 8
+#: Bytes of text a part of the shuffle should hold.
+PART_BYTES = 64 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _PACK = 22
 
@@ -123,65 +126,88 @@ def edited(text: str, after: str) -> str:
 
 
 def neighbour_parts(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, id, doc_id, text, ghost) such that each row's successor in descending id is in its part.
+    """Rows (doc_id, text) in ``parts`` ranges of descending id, sorted within each.
 
-    Ids are cut into ``parts`` ranges at approximate quantiles. The first row of
-    each range is also sent, as a ghost, to the range before it (of the first
-    range to the last), so one shuffle of the texts is enough.
+    Rows of one id follow one another by the hash of their texts, then by text, so an
+    id that many rows share is cut as other ids are; where whole rows are equal
+    it does not matter which of them comes first, so these are cut at random.
     """
-    spark = docs.sparkSession
     rows = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # There are `parts` cuts; rows without doc_id spread by the hashes that stand for it.
-    q = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q if parts > 1 else []
-    cuts = sorted({int(x) for x in q or []})
-    lit = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    part_of = lambda c: F.size(F.filter(lit, lambda x: x >= c))  # noqa: E731  descending: part 0 has the largest ids
-    placed = rows.withColumn("part", part_of(F.col("id")))
-    first = {r.part: r.top for r in rows.select("id", part_of(F.col("id")).alias("part")).groupBy("part").agg(F.max("id").alias("top")).collect()}
-    used = sorted(first)
-    ghosts = [(first[p], used[i - 1]) for i, p in enumerate(used)]
-    table = F.broadcast(spark.createDataFrame(ghosts, "id long, ghost_part int"))  # one row per part
-    both = F.filter(F.array(F.struct("part", F.lit(False).alias("ghost")), F.struct(F.col("ghost_part").alias("part"), F.lit(True).alias("ghost"))), lambda x: x["part"].isNotNull())
-    sent = placed.join(table, "id", "left").select("id", "doc_id", "text", F.explode(both).alias("to")).select("to.part", "id", "doc_id", "text", "to.ghost")
-    return sent, max(used, default=0)
+    order = [F.col("id").desc(), F.col("turn").asc()]
+    placed = rows.withColumns({"turn": F.xxhash64("text"), "salt": F.rand(7)}).repartitionByRange(parts, *order, "salt")
+    return placed.sortWithinPartitions(*order, "text").select("doc_id", "text")
 
 
-OUT = T.StructType().add("doc_id", "long").add("n_chars", "long").add("edited_sha256", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
+#: Fingerprints are raw bytes until they are shown, which halves what is written.
+REPORT = T.StructType().add("doc_id", "long").add("n_chars", "long").add("edited_sha256", "binary").add("fingerprint", "binary").add("edited_fingerprint", "binary").add("near_edited", "double").add("near_next", "double")
 
 
-def edit_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each document's fingerprint beside those of its edited text and of the next document in descending id.
+def report(doc_id: int | None, text: str, sig: np.ndarray, after: str, after_sig: np.ndarray) -> tuple:
+    """A row of REPORT: a document beside its edited text and the next document."""
+    new = edited(text, after)
+    new_sig = signature(new)
+    raw = lambda x: x.astype(">u4").tobytes()
+    return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "replace")).digest(), raw(sig), raw(new_sig), likeness(sig, new_sig), likeness(sig, after_sig)
 
-    Null texts are empty; repeated ids follow one another in the order of their
-    texts; a single document is its own successor; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, last = neighbour_parts(docs, parts)
+
+def reported(rows: list[tuple], fields: T.StructType) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "integer": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
+    cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[f.dataType.typeName()]) for c, f in zip(cols, fields, strict=True)], names=fields.names)
+
+
+def within_parts(placed: DataFrame) -> DataFrame:
+    """REPORT of all rows but the last of each part, and two rows more a part: ``first``, its first text; ``last``, its last document."""
+    fields = T.StructType([*REPORT, T.StructField("part", T.IntegerType()), T.StructField("first", T.StringType()), T.StructField("last", T.StringType())])
+    none = (None,) * len(REPORT)
 
     def run(batches):
-        held = None
+        part, held = TaskContext.get().partitionId(), None
         for b in batches:
             out = []
-            for part, doc_id, text, ghost in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text", "ghost")), strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 sig = signature(text)
-                if held and held[0] == part:
-                    out.append(report(*held[1:], text, sig))
-                held = None if ghost else (part, doc_id, text, sig)
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-
-    def report(doc_id, text, sig, after, after_sig):
-        new = edited(text, after)
-        new_sig = signature(new)
-        return {
-            "doc_id": doc_id, "n_chars": len(text), "edited_sha256": hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), "fingerprint": as_text(sig),
-            "edited_fingerprint": as_text(new_sig), "near_edited": likeness(sig, new_sig), "near_next": likeness(sig, after_sig),
-        }
-
-    placed = rows.repartition(min(last + 1, parts), "part").sortWithinPartitions("part", "ghost", F.col("id").desc(), "text")
-    return placed.mapInArrow(run, OUT)
+                out.append((*report(*held, text, sig), None, None, None) if held else (*none, part, text, None))
+                held = doc_id, text, sig
+            yield reported(out, fields)
+        if held:
+            yield reported([(held[0], *none[1:], part, None, held[1])], fields)
+
+    return placed.mapInArrow(run, fields)
+
+
+def across_parts(edges: DataFrame) -> DataFrame:
+    """REPORT of each part's last document from its own and the next part's edge; of the last part's, from the first part's."""
+    spark = edges.sparkSession
+    parts = sorted(r.part for r in edges.where("first is not null").select("part").collect())  # a number a part
+    follows = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "part int, next int")
+    after = edges.where("first is not null").select(F.col("part").alias("next"), F.col("first").alias("after"))
+    pairs = edges.where("last is not null").select("part", "doc_id", F.col("last").alias("text")).join(follows, "part").join(after, "next")
+
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column("doc_id").to_pylist(), texts(b), texts(b, "after"), strict=True)
+            yield reported([report(i, t, signature(t), a, signature(a)) for i, t, a in rows], REPORT)
+
+    return pairs.select("doc_id", "text", "after").mapInArrow(run, REPORT)
+
+
+def edit_report(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each document's fingerprint beside those of its edited text and of the next document in descending id.
+
+    Null texts are empty; rows without id come first, by a hash of their texts; repeated ids
+    follow one another by hash of text and text, repeated rows in any order, as their
+    reports are the same but for the last; a single document is its own successor; an empty
+    table gives no rows, further columns are ignored. Texts are shuffled once, in ``parts`` parts
+    (by default of PART_BYTES); a long text needs memory for its own k-mers only.
+    """
+    spark = docs.sparkSession
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    found = cut(within_parts(neighbour_parts(docs, parts)))
+    rows = found.where("part is null").select(REPORT.names).unionByName(across_parts(found.where("part is not null")))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

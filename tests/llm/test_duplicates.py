@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusflow.llm import decontaminate, fingerprint, simhash, suffix_dedup
 from tests.llm import brute
@@ -208,12 +209,20 @@ def test_fingerprints_of_awkward_rows(spark):
     assert [(r.near_next, r.n_chars) for r in alone] == [(1.0, 11)]
 
 
-def test_rows_without_id_are_dealt_to_many_parts(spark):
-    docs = brute.frame(spark, [(None, f"text number {i} of many", None) for i in range(2000)])
-    sent, _ = fingerprint.neighbour_parts(docs, 16)
-    sizes = [r["count"] for r in sent.groupBy("part").count().collect()]
-    assert len(sizes) > 12 and max(sizes) < 300
-    assert fingerprint.edit_report(docs, 16).count() == 2000
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_are_dealt_to_many_parts(spark, doc_id):
+    docs = brute.frame(spark, [(doc_id, f"text number {i} of many", None) for i in range(2000)] + [(i, f"another text {i}", None) for i in range(100, 500)])
+    sizes = [r["count"] for r in fingerprint.neighbour_parts(docs, 16).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 500
+    assert fingerprint.edit_report(docs, 16).count() == 2400
+
+
+def test_repeated_rows_are_dealt_to_many_parts(spark):
+    """Equal rows lie in several parts; the report is that of one part but for the order of ties."""
+    docs = brute.frame(spark, [(5, "one text that very many rows hold", None)] * 1500 + [(i, f"another text {i} {'word ' * (i % 9)}", None) for i in range(10, 400)] + [(5, f"odd {i}", None) for i in range(50)])
+    sizes = [r["count"] for r in fingerprint.neighbour_parts(docs, 16).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 500
+    assert brute.rows_of(fingerprint.edit_report(docs, 16)) == brute.rows_of(fingerprint.edit_report(docs, 1))
 
 
 @pytest.mark.parametrize("run", [simhash.near_duplicates, suffix_dedup.dedup_strings, simhash.keep_one])
