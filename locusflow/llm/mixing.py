@@ -54,7 +54,7 @@ def budget_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
     Per budget: the documents with h below ``threshold`` hold nearly ``budget``
     tokens, off by at most half of one cell of 2^-36 of the hash range, which is a
-    single document but for rows of one key. Any number of budgets a source.
+    single document but for repeated rows. Any number of budgets a source.
     """
     open_ = budgets.select("skey", "budget_id", "budget", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("base"))
     for level in range(LEVELS):
@@ -72,8 +72,8 @@ def budget_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix_columns() -> dict[str, Column]:
-    """What the mix reads of a document: skey, its source's key; size in words; h, the hash of its id."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+    """What the mix reads of a document: skey, its source's key; size in words; h, the hash of its id and text."""
+    key = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
     return {"skey": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "size": word_count(F.col("text")), "h": mix_hash(key)}
 
 
@@ -93,9 +93,9 @@ def mix_plan(rows: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target and taken, the words that the mix takes.
 
-    Null texts have size 0, a null doc_id is told by its text, rows of one doc_id
-    are taken alike, an empty table gives an empty result, further columns are
-    ignored.
+    Null texts have size 0, a null doc_id is like an empty one. Rows are told by id and
+    text, so rows of one id with different texts are taken each by itself, repeated rows
+    alike; an empty table gives an empty result, further columns are ignored.
     """
     rows = cut(docs.select("doc_id", "source", *(c.alias(n) for n, c in mix_columns().items())))
     times = F.col("whole") + F.coalesce((F.col("h") < F.col("threshold")).cast("bigint"), F.lit(0))
@@ -106,6 +106,8 @@ def take_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it.
 
     Only the plan, one row per source, is joined to the texts, which stay where they are.
+    Nulls, repeated rows and empty tables are as in ``mix_sources``; empty texts have no
+    words and are taken as often as their source is; all columns are kept, whatever their names.
     """
     columns = mix_columns()
     plan = mix_plan(cut(docs.select("source", *(c.alias(n) for n, c in columns.items()))))
@@ -122,7 +124,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(docs: str = "documents") -> str:
     """The mix in DuckDB: the same thresholds found by sorting."""
     return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '{WORD}')) AS BIGINT) AS size,
-  CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, {DIGITS * LEVELS})) AS BIGINT) AS h FROM {docs}),
+  CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', coalesce(text, ''))), 1, {DIGITS * LEVELS})) AS BIGINT) AS h FROM {docs}),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, {MOST} * source_size AS cap FROM s0),
 s2 AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS a, CAST(sum(w) OVER () AS BIGINT) AS aw, CAST(coalesce(sum(cap) OVER o, 0) AS BIGINT) AS cb, CAST(coalesce(sum(w) OVER o, 0) AS BIGINT) AS wb

@@ -51,6 +51,15 @@ def test_mix_of_awkward_rows(spark):
     assert mixing.mix_sources(brute.frame(spark, [])).count() == mixing.take_documents(brute.frame(spark, [])).count() == 0
 
 
+def test_a_source_of_one_id_meets_its_target(spark):
+    """Most rows of a source share an id; they are told by their texts."""
+    docs = brute.frame(spark, [(1, f"text {i} of one id", "a") for i in range(3000)] + [(i, f"other text {i} here and so on", "b") for i in range(10, 2500)])
+    rows = mixing.mix_sources(docs).collect()
+    for source in "ab":
+        got = [(r.taken, r.target) for r in rows if r.source == source]
+        assert sum(t for t, _ in got) == pytest.approx(got[0][1], abs=8)
+
+
 def test_larger_budgets_hold_smaller_ones(spark):
     rows = spark.range(5000).select(F.lit("k").alias("skey"), (F.col("id") % 7 + 1).alias("size"), mixing.mix_hash(F.col("id").cast("string")).alias("h"))
     budgets = spark.createDataFrame([("k", i, float(b)) for i, b in enumerate((10, 500, 9000, 19_000))], "skey string, budget_id int, budget double")
