@@ -7,7 +7,8 @@ within their block of the character table. Of a titled name the given name and t
 entities of their own, so a surname has one surrogate with or without a given name; a given
 name is replaced by one of its gender, which the lists or else the title tell. Check digits
 stay right, private addresses private. Emails, phone, card, account and identity numbers, IP
-addresses, secrets and titled names are found. A global check gives further tries
+addresses, secrets and names are found: names by a title or by a given name of the lists, and
+what is a name in one place of a text is one in every other. A global check gives further tries
 to surrogates that equal some real entity or one another, until none does; after
 ROUNDS tries surrogates grow longer, so that free ones do not run out.
 """
@@ -15,6 +16,7 @@ ROUNDS tries surrogates grow longer, so that free ones do not run out.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
 from hashlib import blake2b
 
@@ -43,7 +45,14 @@ PATTERNS = {
 GENDER = dict.fromkeys("Mrs Ms Miss Frau Madame Mme Señora Sra".split(), 0) | dict.fromkeys("Mr Herr Monsieur Señor Sr".split(), 1)
 # Private address ranges as (first address, bits that are free).
 PRIVATE = ((10 << 24, 24), (127 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16))
-NAME = re.compile(r"(?<![\w])(?P<title>Mrs?|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Dr)\.? (?P<name>[^\W\d_]+(?: [^\W\d_]+)?)")
+# Particles that stand small between given name and surname.
+PARTICLE = r"(?:van(?: der| den| de)?|von(?: der| dem)?|de(?: la| los)?|del|della|di|da|dos|du|bin|ibn|ten|ter) "
+#: A name's word: letters with their marks, parts joined by hyphen or apostrophe; a final 's is not of the name.
+_LETTERS = r"(?:[^\W\d_][\u0300-\u036f]*)+"
+NAME_WORD = rf"{_LETTERS}(?:['’-](?!s(?![^\W\d_])){_LETTERS})*"
+_TITLES = [*GENDER, "Dr"]
+NAME = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted({*_TITLES, *map(str.upper, _TITLES)}, reverse=True))})\.? (?:{PARTICLE})*(?P<first>{NAME_WORD})(?: (?:{PARTICLE})*(?P<second>{NAME_WORD}))?")
+WORDS = re.compile(rf"(?<![\w'’-]){NAME_WORD}")
 # Given names by gender and script; a surrogate comes from the same list.
 GIVEN = (
     "Anna Clara Emma Eva Ida Julia Laura Lena Lisa Maria Marie Nina Olivia Paula Rosa Sara Sofia Vera Alice Lucy".split(),
@@ -51,6 +60,10 @@ GIVEN = (
     "Анна Вера Елена Ирина Мария Нина Ольга Софья Татьяна Юлия".split(),
     "Антон Борис Виктор Иван Олег Павел Пётр Сергей Фёдор Юрий".split(),
 )
+#: A given name of the lists before a word, without title; a number before it makes it a date.
+UNTITLED = re.compile(rf"(?<![\w'’-])(?<!\d )(?P<first>{'|'.join(w for g in GIVEN for w in g)}) (?:{PARTICLE})*(?P<second>{NAME_WORD})")
+_LISTED = tuple(f"{w} " for g in GIVEN for w in g)
+_JOINS_NAME = re.compile(f" (?:{PARTICLE})*")
 #: Letters that are exchanged within their group: vowels for vowels keeps names speakable, scripts stay apart.
 GROUPS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 #: Blocks of one script that are longer than 128 places: Chinese characters and Hangul.
@@ -160,7 +173,8 @@ def given_name(kind: str, value: str, attempt: int, key: bytes) -> str:
     """A given name of the gender that ``kind`` names.
 
     Listed names change places within their list. Others become several names of the
-    list joined by hyphens, one more with each try, so that free ones do not run out.
+    list in one word, or joined by hyphens if they have one themselves; one name more with
+    each try, so that free ones do not run out.
     """
     own = gender_list(value)
     if own and not attempt:
@@ -168,7 +182,7 @@ def given_name(kind: str, value: str, attempt: int, key: bytes) -> str:
         return keyed[own.index(value.capitalize())].lower()
     cyrillic = 0x400 <= ord(value[0]) < 0x530
     names = GIVEN[int(kind[-1]) + 2 * cyrillic]
-    return "-".join(names[_number(kind, f"{attempt} {value}", i, "", len(names), key)].lower() for i in range(2 + attempt))
+    return ("-" if "-" in value else "").join(names[_number(kind, f"{attempt} {value}", i, "", len(names), key)].lower() for i in range(2 + attempt))
 
 
 def surrogate_of(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
@@ -223,8 +237,8 @@ def redress(kind: str, shown: str, new: str) -> str:
     out, chars = [], iter(new)
     if kind in ("card", "phone", "iban"):
         new = "".join(next(chars) if not re.match(r"[ .()|-]", c) else c for c in shown) + "".join(chars)
-    if kind == "name" or kind.startswith("given"):
-        return "-".join(w.upper() if shown.isupper() and len(shown) > 1 else w.capitalize() for w in new.split("-"))
+    if kind.startswith("given") or kind == "name" and len(new) != len(shown):
+        return new.upper() if shown.isupper() and len(shown) > 1 else re.sub(_LETTERS, lambda m: m.group().capitalize(), new)
     if len(new) != len(shown):
         return new.upper() if shown.isupper() else new
     for c, s in zip(new, shown, strict=True):
@@ -232,41 +246,98 @@ def redress(kind: str, shown: str, new: str) -> str:
     return "".join(out)
 
 
+def clear_of(found: list[tuple[int, int, str]]):
+    """Tells whether a span overlaps none of the found ones, which are sorted and apart."""
+    starts = [x for x, _, _ in found]
+
+    def clear(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return not i or found[i - 1][1] <= a
+
+    return clear
+
+
+def capital(word: str) -> bool:
+    """Whether a word starts like a name; letters of scripts without case do."""
+    return word[0] == word[0].title()
+
+
+def given_kind(word: str, title: str) -> str:
+    """``given0`` or ``given1`` for given names of women and men by the lists or the title, ``given`` for others."""
+    own = gender_list(word)
+    gender = GIVEN.index(own) % 2 if own else GENDER.get(title.capitalize(), "")
+    return f"given{gender if own or word.isascii() or 0x400 <= ord(word[0]) < 0x530 else ''}"
+
+
+def named_persons(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of names outside ``found``: titled ones, listed given names before a capital, and their words elsewhere in the text."""
+    full = [(m, m.group("title")) for m in NAME.finditer(text)]
+    out, single, clear = [], [], clear_of(found)
+    for m, title in full:
+        first, second = m.group("first"), m.group("second")
+        shouted = title.isupper() and len(title) > 1
+        fits = lambda w: w and capital(w) and (w.isupper() or not shouted)  # noqa: B023, E731
+        if not fits(first) or not clear(m.start(), m.end("first")):
+            continue
+        if fits(second) and clear(m.start(), m.end("second")):
+            out += [(*m.span("first"), given_kind(first, title)), (*m.span("second"), "name")]
+        else:
+            single.append(m.span("first"))
+    if any(w in text for w in _LISTED):
+        clear = clear_of(sorted([*found, *out, *((*x, "name") for x in single)]))
+        for m in UNTITLED.finditer(text):
+            if len(m.group("second")) > 1 and capital(m.group("second")) and clear(*m.span()):
+                out += [(*m.span("first"), given_kind(m.group("first"), "")), (*m.span("second"), "name")]
+    given: dict[str, str] = {}
+    for a, b, kind in out:
+        if kind != "name":
+            given[text[a:b].lower()] = max(kind, given.get(text[a:b].lower(), ""), key=len)
+    surnames = {text[a:b].lower() for a, b, kind in out if kind == "name"}
+    out = [(a, b, given[text[a:b].lower()] if kind == "given" else kind) for a, b, kind in out]
+    for a, b in single:
+        word = text[a:b].lower()
+        out.append((a, b, "name" if word in surnames else given.get(word, "name")))
+    surnames |= {text[a:b].lower() for a, b, kind in out if kind == "name"}
+    if out:
+        clear = clear_of(sorted([*found, *out]))
+        for m in WORDS.finditer(text):
+            word = m.group().lower()
+            if (word in surnames or word in given) and capital(m.group()) and clear(*m.span()):
+                out.append((*m.span(), "name" if word in surnames else given[word]))
+    return out
+
+
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all entities of a text, in order, without overlaps.
+    """(start, end, kind) of all entities of a text, in order, without overlaps; a null or empty text has none.
 
     A name's parts are apart: ``given0`` and ``given1`` are given names of women and
     men, ``given`` those of no known gender, ``name`` is a surname or all that is said.
+    A word that is part of a name anywhere in the text is one wherever it stands with a
+    capital; one that is both is a surname.
     """
     if not text:
         return []
     found = [(*m.span(m.lastgroup), m.lastgroup) for m in FIND.finditer(text)] if _QUICK.search(text) else []
-    for m in NAME.finditer(text):
-        a, b = m.span("name")
-        words = m.group("name").split(" ")
-        capital = [w[0] == w[0].title() for w in words]  # as are letters of scripts without case
-        kept = words[: 2 if capital[-1] else 1]
-        if capital[0] and not any(a < y and x < b for x, y, _ in found):
-            if len(kept) > 1:
-                own = gender_list(kept[0])
-                gender = GIVEN.index(own) % 2 if own else GENDER.get(m.group("title"), "")
-                fits = own or kept[0].isascii() or 0x400 <= ord(kept[0][0]) < 0x530
-                found.append((a, a + len(kept[0]), f"given{gender if fits else ''}"))
-            found.append((a + len(" ".join(kept)) - len(kept[-1]), a + len(" ".join(kept)), "name"))
-    return sorted(found)
+    return sorted(found + named_persons(text, found))
 
 
 def replace(text: str | None, attempts: dict, key: bytes = KEY) -> tuple[str | None, int, int]:
-    """The text with surrogates, and how many mentions and distinct entities it has; a given name counts with its surname."""
-    out, end, seen = [], 0, []
+    """The text with surrogates, and how many mentions and distinct entities it has.
+
+    A given name counts with the surname that follows; alone it is a mention of
+    the person whose full name the text has.
+    """
+    out, end, seen, mentioned = [], 0, set(), 0
     found = entities(text)
-    for a, b, kind in found:
+    for i, (a, b, kind) in enumerate(found):
         value = normal(kind, text[a:b])
+        joined = i + 1 < len(found) and found[i + 1][2] == "name" and _JOINS_NAME.fullmatch(text, b, found[i + 1][0])
         if not kind.startswith("given"):
-            seen.append((kind, value))
+            seen.add((kind, value))
+        mentioned += not (kind.startswith("given") and joined)
         out += [text[end:a], redress(kind, text[a:b], surrogate_of(kind, value, attempts.get((kind, value), 0), key))]
         end = b
-    return (text if not found else "".join(out) + text[end:]), len(seen), len(set(seen))
+    return (text if not found else "".join(out) + text[end:]), mentioned, len(seen)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
