@@ -7,19 +7,26 @@ same text, so both engines count the same reads.
 from __future__ import annotations
 
 import gzip
+import pickle
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
+from itertools import groupby, pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusflow.sources.annotation import Annotation
-from locusflow.sources.bam import CIGAR_OPS, open_output
-from locusflow.sources.bam_index import build_index
-from locusflow.sources.shared import shared_folder
+from locusflow.sources.bam import ADVANCE, CIGAR_OPS, flat, open_input, open_output
+from locusflow.sources.bam_index import IndexEntries, index_bytes, index_entries
+from locusflow.sources.line_sink import COPY_BYTES
+from locusflow.sources.shared import remove, shared_folder
 
 FEATURES_SQL = """
 SELECT p_partkey AS feat_ord, concat('chr', p_partkey % 20) AS chrom,
@@ -55,9 +62,9 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
     l_extendedprice,l_discount,l_tax,l_shipdate,l_returnflag,l_linestatus) AS rn FROM lineitem)"""
 
 
-def _sql(spark: SparkSession, sql: str, table: str, sf_dir: str) -> DataFrame:
+def _sql(spark: SparkSession, sql: str, table: str, sf_dir: str, dealt: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     head, _, tail = sql.rpartition(f"FROM {table}")
-    return spark.sql(head + "FROM {src}" + tail, src=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(head + "FROM {src}" + tail, src=dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
 
 def annotation(spark: SparkSession, sf_dir: str) -> Annotation:
@@ -74,20 +81,46 @@ def annotation(spark: SparkSession, sf_dir: str) -> Annotation:
     return Annotation(features, features.select("gene_id", "gene_ord").distinct(), features.select("chrom", "chrom_ord").distinct())
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, ALIGNMENTS_SQL, "lineitem", sf_dir)
+def alignments(spark: SparkSession, sf_dir: str, *dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return _sql(spark, ALIGNMENTS_SQL, "lineitem", sf_dir, *dealt)
 
 
 CONTIGS = [*(f"chr{i}" for i in range(20)), "chrUn"]
 
 
-def bam_record(r: dict) -> bytes:
-    """One alignment as BAM bytes, with its NH tag after a text and an array tag."""
-    ops = [int(n) << 4 | CIGAR_OPS.index(o) for n, o in re.findall(f"([0-9]+)([{CIGAR_OPS}])", r["cigar"])]
-    name, place = r["qname"].encode() + b"\0", [CONTIGS.index(r[c]) for c in ("chrom", "mate_chrom")]
-    body = struct.pack("<iiBBHHHiiii", place[0], r["pos"], len(name), r["mapq"], 0, len(ops), r["flags"], 0, place[1], -1, 0)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + b"MDZ50\0XBBs" + struct.pack("<I2h", 2, 1, 2) + b"NHi" + struct.pack("<i", r["nh"])
-    return struct.pack("<i", len(body)) + body
+#: The fixed fields of a record, its size first; then, after name and operations, the NH tag behind a text and an array tag.
+RECORD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("lname", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("nops", "<u2"), ("flags", "<u2"), ("lseq", "<i4"), ("mref", "<i4"), ("mpos", "<i4"), ("tlen", "<i4")])
+TAGS = np.dtype([("before", "S21"), ("nh", "<i4")])
+BEFORE_NH = b"MDZ50\0XBBs" + struct.pack("<I2h", 2, 1, 2) + b"NHi"
+
+
+def contig_numbers(names: pa.Array) -> np.ndarray:
+    found = pc.index_in(names, value_set=pa.array(CONTIGS))
+    if found.null_count:
+        raise ValueError("a contig is not in the header")
+    return found.to_numpy().astype(np.int64)
+
+
+def bam_records(b: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The alignments of a batch as BAM bytes, put together by numpy; of each its size, contig number, first place and the one after its last."""
+    col = lambda c: b.column(c).to_numpy()
+    name, cigar, n = b.column("qname"), b.column("cigar").dictionary_encode(), b.num_rows
+    lname, kind = pc.binary_length(name).to_numpy().astype(np.int64), cigar.indices.to_numpy()
+    spelled = [np.array([int(k) << 4 | CIGAR_OPS.index(o) for k, o in re.findall(f"([0-9]+)([{CIGAR_OPS}])", x)], "<u4") for x in cigar.dictionary.to_pylist()]
+    reach = np.array([int((x >> 4)[np.isin(x & 15, ADVANCE)].sum()) for x in spelled])
+    many = np.array([4 * len(x) for x in spelled])
+    nops, tags_at = many[kind], RECORD.itemsize + lname + 1 + many[kind]
+    size = tags_at + TAGS.itemsize
+    fixed, tags = np.zeros(n, RECORD), np.empty(n, TAGS)
+    fixed["size"], fixed["ref"], fixed["mref"], fixed["mpos"] = size - 4, contig_numbers(b.column("chrom")), contig_numbers(b.column("mate_chrom")), -1
+    fixed["pos"], fixed["lname"], fixed["mapq"], fixed["nops"], fixed["flags"] = col("pos"), lname + 1, col("mapq"), nops // 4, col("flags")
+    tags["before"], tags["nh"] = BEFORE_NH, col("nh")
+    out, at = np.zeros(int(size.sum()), np.uint8), np.cumsum(size) - size
+    out[at[:, None] + np.arange(RECORD.itemsize)] = fixed.view(np.uint8).reshape(n, -1)
+    out[flat(at + RECORD.itemsize, lname)] = np.frombuffer(b"".join(name.cast(pa.binary()).to_pylist()), np.uint8)
+    out[flat(at + RECORD.itemsize + lname + 1, nops)] = np.concatenate(spelled).view(np.uint8)[flat((np.cumsum(many) - many)[kind], nops)]
+    out[(at + tags_at)[:, None] + np.arange(TAGS.itemsize)] = tags.view(np.uint8).reshape(n, -1)
+    return out.tobytes(), size, fixed["ref"].astype(np.int64), col("pos"), col("pos") + reach[kind]
 
 
 def bgzf_block(data: bytes) -> bytes:
@@ -98,12 +131,12 @@ def bgzf_block(data: bytes) -> bytes:
 
 
 class BamFile:
-    """A BAM file that is written record by record, with its index if it is sorted by place."""
+    """A BAM file, or a part of one, to which records are added; with what an index says of them if they come sorted by place."""
 
     SIZE = 60_000
 
-    def __init__(self, path: str, head: bytes):
-        self.path, self.out, self.held, self.at, self.size, self.blocks, self.placed = path, open_output(path), head, 0, len(head), [], []
+    def __init__(self, path: str, head: bytes = b""):
+        self.path, self.out, self.held, self.at, self.size, self.blocks, self.placed = path, open_output(path), bytearray(head), 0, len(head), [], []
 
     def _block(self, data: bytes) -> None:
         packed = bgzf_block(data)
@@ -112,104 +145,160 @@ class BamFile:
         self.out.write(packed)
 
     def add(self, record: bytes, contig: int, pos: int, reach: int) -> None:
-        self.placed.append((contig, pos, pos + reach, self.size))
-        self.held += record
-        self.size += len(record)
-        while len(self.held) >= self.SIZE:
-            self._block(self.held[: self.SIZE])
-            self.held = self.held[self.SIZE :]
+        self.add_all(record, *(np.array([x]) for x in (len(record), contig, pos, pos + reach)))
+
+    def add_all(self, records: bytes, size: np.ndarray, *place: np.ndarray) -> None:
+        """``place`` is contig number, begin and end of each record; without it there will be no index."""
+        if place:
+            self.placed.append((*place, self.size + np.cumsum(size) - size))
+        self.held += records
+        self.size += len(records)
+        whole = len(self.held) // self.SIZE * self.SIZE
+        for i in range(0, whole, self.SIZE):
+            self._block(bytes(self.held[i : i + self.SIZE]))
+        del self.held[:whole]
+
+    def end(self, tail: bytes = b"") -> IndexEntries:
+        """What an index says of the records, by offsets from this file's first byte on."""
+        if self.held:
+            self._block(bytes(self.held))
+        self.out.write(tail)
+        self.out.close()
+        blocks, none = np.array([*self.blocks, self.at]), np.zeros(0, np.int64)
+        contig, begin, end, at = (np.concatenate(x) for x in zip(*self.placed, strict=True)) if self.placed else [none] * 4
+        place = lambda u: blocks[u // self.SIZE] << 16 | u % self.SIZE
+        return index_entries(contig, begin, end, place(at), place(np.append(at[1:], self.size)) if len(at) else none)
 
     def close(self, index: bool) -> None:
-        for data in (self.held, b""):
-            self._block(data)
-        self.out.close()
+        entries = self.end(bgzf_block(b""))
         if index:
-            place = lambda u: self.blocks[u // self.SIZE] << 16 | u % self.SIZE
-            ends = [*(p[3] for p in self.placed[1:]), self.size]
-            with open_output(self.path + ".bai") as f:
-                f.write(build_index(len(CONTIGS), ((*p[:3], place(p[3]), place(e)) for p, e in zip(self.placed, ends, strict=True))))
+            write_index(self.path, [(0, entries)])
+
+
+def write_index(path: str, parts: list[tuple[int, IndexEntries]]) -> None:
+    with open_output(path + ".bai") as f:
+        f.write(index_bytes(len(CONTIGS), parts))
+
+
+class BamPart:
+    """Part of a BAM file; ``end`` gives what the file's index says of it."""
+
+    def __init__(self, path: str, by_place: bool):
+        self.file, self.by_place = BamFile(path), by_place
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        records, size, *place = bam_records(rows)
+        self.file.add_all(records, size, *(place if self.by_place else ()))
 
+    def end(self) -> bytes:
+        return pickle.dumps(self.file.end())
 
-def _sample_files(rows: DataFrame, begin, add, end) -> list[str]:
-    """One file a sample, written by the task that has its rows, in their order; the paths by sample."""
 
-    def run(batches):
-        done, out = [], None
+class TextPart:
+    """Part of a text file, of rows whose ``line`` has its line feed."""
+
+    def __init__(self, path: str, packed: bool = False):
+        self.raw = open_output(path)
+        self.out = gzip.GzipFile(fileobj=self.raw, mode="wb") if packed else self.raw
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.out.write("".join(rows.column("line").to_pylist()).encode())
+
+    def end(self) -> bytes:
+        for f in dict.fromkeys([self.out, self.raw]):
+            f.close()
+        return b""
+
+
+def _sample_files(spark: SparkSession, rows: DataFrame, ending: str, part: Callable, head: bytes = b"", tail: bytes = b"", finish: Callable | None = None) -> list[str]:
+    """One file a sample, written in parts; the paths by sample.
+
+    Partitions of ``rows`` are ranges of the files' order and are sorted by sample. Each
+    task writes a part of each sample that it has rows of, and then one task a sample puts
+    the bytes of its parts together, a few MB at a time. ``finish`` gets the
+    file's path and (first byte, what ``part`` said at its end) of all parts.
+    """
+    folder = shared_folder(spark)
+
+    def write(batches):
+        number, out, done = TaskContext.get().partitionId(), None, []
         for b in batches:
-            for r in b.to_pylist():
-                if not done or r["sample_idx"] != done[-1][0]:
+            ids = b.column("sample_idx").to_numpy()
+            for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]):
+                if lo < hi and (not done or done[-1]["sample_idx"] != ids[lo]):
                     if out is not None:
-                        end(out)
-                    done.append((r["sample_idx"], uuid.uuid4().hex))
-                    out = begin(done[-1][1])
-                add(out, r)
+                        done[-1]["said"] = out.end()
+                    done.append({"sample_idx": int(ids[lo]), "number": number, "name": uuid.uuid4().hex})
+                    out = part(f"{folder}/parts/{done[-1]['name']}")
+                if lo < hi:
+                    out.add(b.slice(lo, hi - lo))
         if out is not None:
-            end(out)
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([p for _, p in done], pa.string())], names=["sample_idx", "name"])
-
-    return [r["name"] for r in rows.mapInArrow(run, "sample_idx int, name string").orderBy("sample_idx").collect()]
+            done[-1]["said"] = out.end()
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("sample_idx", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("said", pa.binary())]))
+
+    def join(batches):
+        found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["sample_idx"], r["number"]))  # a row a part
+        made = []
+        for sample, parts in groupby(found, key=lambda r: r["sample_idx"]):
+            made.append({"sample_idx": sample, "name": uuid.uuid4().hex})
+            path, said = f"{folder}/{made[-1]['name']}.{ending}", []
+            with open_output(path) as out:
+                out.write(head)
+                for r in parts:
+                    said.append((out.tell(), r["said"]))
+                    with open_input(f"{folder}/parts/{r['name']}") as f:
+                        while data := f.read(COPY_BYTES):
+                            out.write(data)
+                out.write(tail)
+            if finish is not None:
+                finish(path, said)
+        yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("sample_idx", pa.int32()), ("name", pa.string())]))
+
+    parts = rows.mapInArrow(write, "sample_idx int, number int, name string, said binary")
+    names = parts.repartition(spark.sparkContext.defaultParallelism, "sample_idx").mapInArrow(join, "sample_idx int, name string").orderBy("sample_idx").collect()
+    remove(spark, f"{folder}/parts")
+    return [f"{folder}/{r['name']}.{ending}" for r in names]
+
+
+def ordered_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments in ranges of the order of each sample's file, by the one shuffle that numbers them as well."""
+    return alignments(spark, sf_dir, lambda rows: rows.repartitionByRange("l_orderkey")).sortWithinPartitions("sample_idx", "file_ord")
 
 
 def bam_files(spark: SparkSession, sf_dir: str, by_place: bool = False) -> list[str]:
     """The alignments as BAM files, one a sample, written by the executors into a shared folder; sorted by place they get an index."""
-    folder = shared_folder(spark)
     head = b"BAM\x01" + struct.pack("<ii", 0, len(CONTIGS)) + b"".join(struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 1 << 28) for c in CONTIGS)
-    order = [F.array_position(F.array(*map(F.lit, CONTIGS)), F.col("chrom")), "pos"] if by_place else []
-
-    def add(out: BamFile, r: dict) -> None:
-        reach = sum(int(n) for n, o in re.findall(f"([0-9]+)([{CIGAR_OPS}])", r["cigar"]) if o in "MDN=X")
-        out.add(bam_record(r), CONTIGS.index(r["chrom"]), r["pos"], reach)
-
-    rows = alignments(spark, sf_dir).repartition("sample_idx").sortWithinPartitions("sample_idx", *order, "file_ord")
-    names = _sample_files(rows, lambda name: BamFile(f"{folder}/{name}.bam", head), add, lambda out: out.close(by_place))
-    return [f"{folder}/{name}.bam" for name in names]
+    if by_place:
+        order = ["sample_idx", F.array_position(F.array(*map(F.lit, CONTIGS)), F.col("chrom")), "pos", "file_ord"]
+        rows = alignments(spark, sf_dir).repartitionByRange(*order).sortWithinPartitions(*order)
+    else:
+        rows = ordered_alignments(spark, sf_dir)
+    finish = lambda path, said: write_index(path, [(at, pickle.loads(x)) for at, x in said])
+    return _sample_files(spark, rows, "bam", lambda path: BamPart(path, by_place), bgzf_block(head), bgzf_block(b""), finish if by_place else None)
 
 
 def sam_files(spark: SparkSession, sf_dir: str) -> list[str]:
     """The alignments as SAM text, one file a sample."""
-    folder = shared_folder(spark)
-    rows = alignments(spark, sf_dir).repartition("sample_idx").sortWithinPartitions("sample_idx", "file_ord")
+    head = "".join(["@HD\tVN:1.6\tSO:unsorted\n", *(f"@SQ\tSN:{c}\tLN:{1 << 28}\n" for c in CONTIGS)]).encode()
+    mate = F.when(F.col("mate_chrom") == F.col("chrom"), "=").otherwise(F.col("mate_chrom"))
+    fields = ["qname", "flags", "chrom", F.col("pos") + 1, "mapq", "cigar", mate, *map(F.lit, ("0", "0", "*", "*", "MD:Z:50")), F.concat(F.lit("NH:i:"), "nh")]
+    rows = ordered_alignments(spark, sf_dir).select("sample_idx", F.concat(F.concat_ws("\t", *fields), F.lit("\n")).alias("line"))
+    return _sample_files(spark, rows, "sam", TextPart, head)
 
-    def begin(name: str):
-        out = open_output(f"{folder}/{name}.sam")
-        out.write("".join(["@HD\tVN:1.6\tSO:unsorted\n", *(f"@SQ\tSN:{c}\tLN:{1 << 28}\n" for c in CONTIGS)]).encode())
-        return out
 
-    def add(out, r: dict) -> None:
-        mate = "=" if r["mate_chrom"] == r["chrom"] else r["mate_chrom"]
-        fields = (r["qname"], r["flags"], r["chrom"], r["pos"] + 1, r["mapq"], r["cigar"], mate, 0, 0, "*", "*", "MD:Z:50", f"NH:i:{r['nh']}")
-        out.write(("\t".join(map(str, fields)) + "\n").encode())
-
-    return [f"{folder}/{name}.sam" for name in _sample_files(rows, begin, add, lambda out: out.close())]
+def _feature_lines(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """A line of text a feature, as those of one sample, in ranges of their order."""
+    rows = _sql(spark, FEATURES_SQL, "part", sf_dir).repartitionByRange("feat_ord").sortWithinPartitions("feat_ord")
+    return rows.select(F.lit(0).alias("sample_idx"), F.concat(line, F.lit("\n")).alias("line"))
 
 
 def saf_file(spark: SparkSession, sf_dir: str) -> str:
-    """The features as a SAF table, written by one task: an annotation grows with the genome, not with the reads."""
-    folder = shared_folder(spark)
-    rows = _sql(spark, FEATURES_SQL, "part", sf_dir).select(F.lit(0).alias("sample_idx"), "feat_ord", F.concat_ws("\t", "gene_id", "chrom", "f_start", "f_end", "strand").alias("line"))
-
-    def begin(name: str):
-        out = open_output(f"{folder}/{name}.saf")
-        out.write(b"GeneID\tChr\tStart\tEnd\tStrand\n")
-        return out
-
-    name = _sample_files(rows.repartition(1).sortWithinPartitions("feat_ord"), begin, lambda out, r: out.write(f"{r['line']}\n".encode()), lambda out: out.close())[0]
-    return f"{folder}/{name}.saf"
+    """The features as a SAF table."""
+    rows = _feature_lines(spark, sf_dir, F.concat_ws("\t", "gene_id", "chrom", "f_start", "f_end", "strand"))
+    return _sample_files(spark, rows, "saf", TextPart, b"GeneID\tChr\tStart\tEnd\tStrand\n")[0]
 
 
 def gtf_file(spark: SparkSession, sf_dir: str) -> str:
-    """The features as a GTF file without exons, three of four lines CDS and the others genes, gzipped though its name does not say so."""
-    folder = shared_folder(spark)
+    """The features as a GTF file without exons, three of four lines CDS and the others genes, gzipped part by part though its name does not say so."""
     line = "concat_ws('\\t', chrom, 'src', CASE WHEN feat_ord % 4 = 0 THEN 'gene' ELSE 'CDS' END, f_start, f_end, '.', strand, '.', concat('gene_id \"', gene_id, '\";'))"
-    rows = _sql(spark, FEATURES_SQL, "part", sf_dir).select(F.lit(0).alias("sample_idx"), "feat_ord", F.expr(line).alias("line"))
-
-    def begin(name: str):
-        raw = open_output(f"{folder}/{name}.data")
-        return raw, gzip.GzipFile(fileobj=raw, mode="wb")
-
-    def end(out) -> None:
-        for f in out[::-1]:
-            f.close()
-
-    name = _sample_files(rows.repartition(1).sortWithinPartitions("feat_ord"), begin, lambda out, r: out[1].write(f"{r['line']}\n".encode()), end)[0]
-    return f"{folder}/{name}.data"
+    return _sample_files(spark, _feature_lines(spark, sf_dir, F.expr(line)), "data", lambda path: TextPart(path, True))[0]
