@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from locusflow.config import CountConfig
 from locusflow.operators.ordinals import with_ordinal
 from locusflow.sources.bam import open_input
+from locusflow.sources.shared import written
 
 DETECT_LINES = 10_000
 #: Bytes of lines that a stream hands on at once.
@@ -169,8 +170,10 @@ def build_annotation(rows: DataFrame) -> Annotation:
     """Number contigs and genes by first appearance and features by (contig, start, line).
 
     A contig counts as known even if none of its rows has a gene id. Each table is
-    written once with its numbers, so no task has to hold a whole one.
+    written once with its numbers, so no task has to hold a whole one. The rows are written
+    before that, as they are gone through several times and their lines shall be parsed once.
     """
+    rows = written(rows)
     chroms = with_ordinal(rows.groupBy("chrom").agg(F.min("line_ord").alias("o")), "chrom_ord", "o").select("chrom", F.col("chrom_ord").cast("int").alias("chrom_ord"))
     named = rows.where(F.col("gene_id").isNotNull())
     genes = with_ordinal(named.groupBy("gene_id").agg(F.min("line_ord").alias("o")), "gene_ord", "o").select("gene_id", "gene_ord")
