@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.config import CountConfig
@@ -14,13 +14,14 @@ from locusflow.operators import gene_metadata as gm
 from locusflow.operators.classify import classify
 from locusflow.operators.counts import assignment_rate, summary
 from locusflow.operators.interval_join import interval_join
+from locusflow.operators.ordinals import with_ordinal
 from locusflow.operators.pairing import candidates, mate_rows, mates_in_splits, with_blocks
 from locusflow.plans import fixtures, oracle
 from locusflow.plans.count import count_once, count_reads
 from locusflow.plans.output import write_counts, write_details, write_summary
 from locusflow.sources.alignments import detect_paired, read_alignments
 from locusflow.sources.annotation import build_annotation, choose_type, detect_types, load_annotation, parse_lines, read_lines
-from locusflow.sources.bam import COUNT_FIELDS, open_input, read_bam, read_region
+from locusflow.sources.bam import COUNT_FIELDS, read_bam, read_region
 from locusflow.sources.sam import read_sam
 from locusflow.sources.shared import shared_folder
 
@@ -228,14 +229,18 @@ def sam_saf_gene_counts(spark, d):
     return counts.join(ann.genes, F.col("target") == F.col("gene_ord")).select(F.col("sample_idx").cast("bigint").alias("sample_idx"), "gene_id", "n")
 
 
+def _numbered_lines(spark, path):
+    """(line, text) of a file that a writer made; lines are numbered by ranges, so neither a task nor the driver has all."""
+    return with_ordinal(read_lines(spark, path), "line", "line_ord").select(F.col("line").cast("bigint").alias("line"), F.col("value").alias("text"))
+
+
 def _written(spark, d, cfg, write, name, schema, skip):
     """The lines of a file that a writer made, as rows of strings with their number."""
     result, ann = _run(spark, d, cfg)
     path = f"{shared_folder(spark)}/{name}"
     write(result, ann, path)
-    with open_input(path) as f:
-        lines = f.read().decode().splitlines()[skip:]
-    return spark.createDataFrame([(i, *x.split("\t")) for i, x in enumerate(lines)], schema)
+    fields, names = F.split("text", "\t", -1), [x.split()[0] for x in schema.split(", ")[1:]]
+    return _numbered_lines(spark, path).where(F.col("line") >= skip).select((F.col("line") - skip).alias("line"), *[fields[i].alias(c) for i, c in enumerate(names)])
 
 
 def count_table_file(spark, d):
@@ -249,9 +254,7 @@ def _lines_of(spark, d, cfg, name):
     result, ann = _run(spark, d, cfg)
     path = f"{shared_folder(spark)}/{name}"
     write_counts(result, ann, [("a", ""), ("b", "")], cfg, path, "x")
-    lines = read_lines(spark, path)
-    place = F.row_number().over(Window.orderBy("line_ord")) - 1  # one line a feature of the annotation
-    return lines.select(place.cast("bigint").alias("line"), F.col("value").alias("text"))
+    return _numbered_lines(spark, path)
 
 
 def annotation_sniffed(spark, d):
