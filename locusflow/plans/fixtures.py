@@ -67,15 +67,26 @@ def _sql(spark: SparkSession, sql: str, table: str, sf_dir: str, dealt: Callable
     return spark.sql(head + "FROM {src}" + tail, src=dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
 
+#: Features are numbered in buckets of this many bases; as a shift.
+BASES = 20
+
+
 def annotation(spark: SparkSession, sf_dir: str) -> Annotation:
-    """Features of ``part``; ordinals as the annotation reader gives them."""
-    raw = _sql(spark, FEATURES_SQL, "part", sf_dir)
-    first = lambda c: F.min("feat_ord").over(Window.partitionBy(c))
-    rank = lambda c: (F.dense_rank().over(Window.orderBy(c)) - 1).cast("bigint")
-    rows = raw.withColumns({"_chrom": first("chrom"), "_gene": first("gene_id")}).withColumns({"chrom_ord": rank("_chrom").cast("int"), "gene_ord": rank("_gene")})
-    number = (F.row_number().over(Window.orderBy("chrom_ord", "f_start", "feat_ord")) - 1).cast("bigint")
+    """Features of ``part``, in the order that the annotation reader gives them, here without a job.
+
+    A feature's number is its place in its bucket and the rows of all buckets before. The table is
+    about evenly dense, so a bucket has some thousand rows, and one task only sees a row a bucket.
+    A gene's number is its first feature's, so these rise as the reader's do, with gaps.
+    """
+    raw = _sql(spark, FEATURES_SQL, "part", sf_dir).withColumn("bucket", F.shiftright("f_start", BASES))
+    spans = raw.groupBy("chrom", "bucket").agg(F.count("*").alias("n"), F.min("feat_ord").alias("o")).coalesce(1).withColumn("o", F.min("o").over(Window.partitionBy("chrom")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("o", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("chrom", "bucket", (F.dense_rank().over(Window.orderBy("o")) - 1).cast("int").alias("chrom_ord"), before.alias("before"))
+    first = F.min("feat_ord").over(Window.partitionBy("gene_id"))
+    place = F.row_number().over(Window.partitionBy("chrom", "bucket").orderBy("f_start", "feat_ord")) - 1
+    rows = raw.withColumn("gene_ord", first).withColumn("place", place).join(spans, ["chrom", "bucket"])
     features = rows.select(
-        number.alias("feature_idx"), "gene_ord", "gene_id", "chrom_ord", "chrom",
+        (F.col("before") + F.col("place")).alias("feature_idx"), "gene_ord", "gene_id", "chrom_ord", "chrom",
         F.col("f_start").alias("start"), F.col("f_end").alias("end"), "strand", F.col("feat_ord").alias("line_ord"),
     ).cache()  # fmt: skip  # as the reader keeps it: it grows with the genome, not with the reads
     return Annotation(features, features.select("gene_id", "gene_ord").distinct(), features.select("chrom", "chrom_ord").distinct())

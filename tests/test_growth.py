@@ -1,13 +1,15 @@
 """What must not land in one task, however large the tables are."""
 
 import os
+import re
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusflow.plans import fixtures
+from locusflow.plans import catalog, fixtures
+from locusflow.sources.annotation import build_annotation
 from locusflow.sources.bam import read_bam, read_region
 from locusflow.sources.bam_index import build_index, index_bytes, index_entries, parse_index, smallest_bin
 
@@ -65,3 +67,50 @@ def test_index_of_parts():
         assert any(x <= at and after <= y for x, y in found[contig].bins[smallest_bin(b, e)])
         assert all(found[contig].linear[w] <= at for w in range(b >> 14, (e - 1 >> 14) + 1))
     assert not found[2].bins and struct.unpack_from("<i", raw, 4)[0] == 3
+
+
+@tables
+def test_fixture_features_are_numbered_in_buckets(spark, monkeypatch):
+    """Numbers are those of the annotation reader, however many buckets there are, and no window but those over buckets lies in one partition."""
+    rows = fixtures._sql(spark, fixtures.FEATURES_SQL, "part", D)
+    reader = build_annotation(rows.select("chrom", F.col("f_start").alias("start"), F.col("f_end").alias("end"), "strand", "gene_id", F.col("feat_ord").alias("line_ord")))
+    places = ["line_ord", "feature_idx", "gene_id", "chrom_ord", "chrom", "start", "end", "strand"]
+    want = sorted(reader.features.select(*places).collect())
+    genes = [r.gene_id for r in reader.genes.orderBy("gene_ord").collect()]
+    for bases in (12, 20):
+        monkeypatch.setattr(fixtures, "BASES", bases)
+        found = fixtures.annotation(spark, D)
+        features = found.features
+        assert sorted(features.select(*places).collect()) == want
+        assert [r.gene_id for r in found.genes.orderBy("gene_ord").collect()] == genes
+    windows = re.findall(r"(\w+\([^()]*\)) windowspecdefinition\(\w+#\d+L? ASC", features._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and all(re.match(r"sum\(n#|dense_rank\(o#", x) for x in windows)  # without partitions only sums of buckets are looked at
+
+
+@tables
+def test_lines_of_a_file_are_numbered_in_ranges(spark, tmp_path, monkeypatch):
+    """A table's lines have their numbers in the file, and no row comes through the driver."""
+    path = tmp_path / "counts.txt"
+    path.write_text("".join(f"g{i * 7919 % 5000}\t{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = catalog._numbered_lines(spark, str(path))
+        assert [tuple(r) for r in lines.orderBy("line").collect()] == [(i, f"g{i * 7919 % 5000}\t{i}") for i in range(5000)]
+        assert "LocalTableScan" not in lines._jdf.queryExecution().toString() and "Window" not in lines._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_annotation_lines_are_parsed_once(spark):
+    """Numbering contigs, genes and features goes through the parsed rows, not through the lines again."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([("c1", i, i + 5, "+", f"g{i % 3}", i) for i in range(40)], "chrom string, start bigint, end bigint, strand string, gene_id string, line_ord bigint")
+
+    def parse(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    found = build_annotation(rows.mapInArrow(parse, rows.schema))
+    assert found.features.count() == 40 and found.genes.count() == 3
+    assert seen.value == 40
