@@ -104,6 +104,12 @@ class Inflated:
             self.next = got[1]
         return True
 
+    def ahead(self, upto: int, end: int) -> bool:
+        """As ``need``, but of blocks that begin before byte ``end`` of the file."""
+        while len(self.buf) < upto and self.next < end and self.need(len(self.buf) + 1):
+            pass
+        return len(self.buf) >= upto
+
     def get(self, at: int, n: int) -> bytes | None:
         return bytes(self.buf[at : at + n]) if self.need(at + n) else None
 
@@ -173,16 +179,18 @@ def begins_chain(s: Inflated, at: int, contigs: int) -> bool:
 def first_record(s: Inflated, contigs: int, end: int) -> int | None:
     """Place of the first record that begins in a block before byte ``end`` of the file; None: there is none.
 
-    Every place is looked at, a window at a time, so records may be of any length.
+    Every place is looked at, a window at a time, so records may be of any length. The first
+    window is short, as most records are.
     """
+    size = MAX_BLOCK
     while True:
-        more = s.need(BATCH)
-        own = s.own(end)
+        more = s.need(size)
+        own, seen, size = s.own(end), len(s.buf), BATCH
         ok, _ = plausible(bytes(s.buf[: own + 36]), slice(0, own), contigs)
         for at in np.flatnonzero(ok).tolist():
             if begins_chain(s, at, contigs):
                 return at
-        if not more or own < len(s.buf) - 36:
+        if not more or own < seen - 36:  # chains that were looked at may have made the window longer
             return None
         s.forget(own - 36)
 
@@ -329,7 +337,7 @@ def read_range(part: Range, fields: list[str]):
                 return
         more = True
         while more:
-            s.need(at + BATCH)
+            s.ahead(at + BATCH, part.end)
             own, found = s.own(part.end), []
             while at < own:
                 size = int.from_bytes(s.buf[at : at + 4], "little", signed=True) if s.need(at + 4) else 0
