@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from locusflow.llm import chat, decontaminate, fingerprint, mixing, periodic, quality, resampling, sharding, simhash, suffix_dedup, toxicity, url_filter, surrogate
+from locusflow.llm import chat, decontaminate, fingerprint, mixing, passages, periodic, quality, resampling, sharding, simhash, suffix_dedup, toxicity, url_filter, surrogate
 
 MODULES = (toxicity, decontaminate, surrogate, sharding, suffix_dedup, url_filter, fingerprint, mixing, quality, simhash, chat, resampling, periodic)
 
 
 def queries():
-    return {k: f for m in MODULES for k, f in vars(m).items() if k.startswith("op") and callable(f)}
+    found = {k: f for m in MODULES for k, f in vars(m).items() if k.startswith("op") and callable(f)}
+    return found | {"op5_suffix_dedup": passages.op5_suffix_dedup}
 
 
 def oracle_sql():

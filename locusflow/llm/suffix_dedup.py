@@ -36,9 +36,9 @@ _tables: dict = {}
 
 def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64."""
-    if base not in _tables:
+    if base not in _tables or len(_tables[base][0]) <= n:
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        _tables[base] = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(PIECE + LENGTH + 1, x, np.uint64)))) for x in (base, inverse))
+        _tables[base] = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n, PIECE + LENGTH + 1), x, np.uint64)))) for x in (base, inverse))
     return tuple(x[: n + 1] for x in _tables[base])
 
 
@@ -204,11 +204,8 @@ def repeats_by_string(rows: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(id, lo, hi): ranges of starts of repeated strings in texts (id, text).
-
-    The parse is made twice rather than kept: it costs less than its space.
-    """
-    parsed = phrases(docs)
+    """(id, lo, hi): ranges of starts of repeated strings in texts (id, text)."""
+    parsed = cut(phrases(docs))
     ctx = parsed.groupBy("ctx").agg(F.count("*").alias("n"), F.min("phrase").alias("a"), F.max("phrase").alias("b"))
     ctx = cut(ctx.where("n > 1").select("ctx", (F.col("a") != F.col("b")).alias("varied")))
     shared = cut(parsed.join(ctx, "ctx"))
@@ -254,14 +251,13 @@ def covered_runs(ranges: DataFrame) -> DataFrame:
     return distinct.repartition("id").sortWithinPartitions("id", "lo").mapInArrow(run, "id long, a int, b int")
 
 
-def dedup_strings(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): each text without the bytes of repeated strings.
+def told_apart(docs: DataFrame) -> DataFrame:
+    """(id, doc_id, text): rows of one ``doc_id`` have ids by their texts; null texts are empty."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    ``kept`` is binary, as a cut may fall inside a character. Null texts are empty,
-    repeated rows are repeats of each other, rows of one id are told apart by
-    their texts, further columns are ignored, an empty table gives no rows.
-    """
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+def dedup_rows(rows: DataFrame) -> DataFrame:
+    """``dedup_strings`` of rows (id, doc_id, text), with the id."""
     found = cut(covered_runs(repeated_ranges(rows.select("id", "text"))))
     ranges = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("r"))
 
@@ -276,15 +272,25 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
                 out.append((len(raw), len(raw) - len(kept), len(spans), kept))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
-    hit = may_hold(rows, found.select("id")).join(ranges, "id").select("doc_id", "text", "r").mapInArrow(run, schema)
+    schema = f"id long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+    hit = may_hold(rows, found.select("id")).join(ranges, "id").select("id", "doc_id", "text", "r").mapInArrow(run, schema)
     n = F.octet_length("text").cast("bigint").alias("n_bytes")
     zero = F.lit(0).cast("bigint")
     rest = rows.select("id", "doc_id", n, F.sha2("text", 256).alias("kept_sha256")).join(ranges.select("id"), "id", "left_anti")
-    hit = hit.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return hit.unionByName(rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256"))
+    hit = hit.select("id", "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return hit.unionByName(rest.select("id", "doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256"))
+
+
+def dedup_strings(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each text without the bytes of repeated strings.
+
+    A cut may fall inside a character. Null texts are empty,
+    repeated rows are repeats of each other, rows of one id are told apart by
+    their texts, further columns are ignored, an empty table gives no rows.
+    """
+    return dedup_rows(told_apart(docs)).drop("id")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
